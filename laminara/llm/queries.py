@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from laminara.llm.quality_crf import op1_quality
+from laminara.llm.recompression import op8_recompression
 from laminara.llm.simhash import op2_simhash
 from laminara.llm.sp_bpe import op10_sentencepiece
+from laminara.llm.toxicity_mil import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_crf": op1_quality,
         "op2_simhash_multi_index": op2_simhash,
+        "op6_toxicity_mil": op6_toxicity,
+        "op8_recompression": op8_recompression,
         "op10_sentencepiece_backtracking": op10_sentencepiece,
     }
 
