@@ -10,6 +10,7 @@ from laminara.llm.quality_crf import op1_quality
 from laminara.llm.recompression import op8_recompression
 from laminara.llm.simhash import op2_simhash
 from laminara.llm.sp_bpe import op10_sentencepiece
+from laminara.llm.topk_threshold import OP4_SQL, op4_threshold
 from laminara.llm.toxicity_mil import op6_toxicity
 
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_crf": op1_quality,
         "op2_simhash_multi_index": op2_simhash,
+        "op4_threshold_topk": op4_threshold,
         "op6_toxicity_mil": op6_toxicity,
         "op8_recompression": op8_recompression,
         "op10_sentencepiece_backtracking": op10_sentencepiece,
@@ -24,4 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_threshold_topk": OP4_SQL,
+    }
