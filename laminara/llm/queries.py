@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from laminara.llm.pii import op5_pii
 from laminara.llm.quality_crf import op1_quality
 from laminara.llm.recompression import op8_recompression
 from laminara.llm.simhash import op2_simhash
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_crf": op1_quality,
         "op2_simhash_multi_index": op2_simhash,
         "op4_threshold_topk": op4_threshold,
+        "op5_pii_surrogates": op5_pii,
         "op6_toxicity_mil": op6_toxicity,
         "op8_recompression": op8_recompression,
         "op10_sentencepiece_backtracking": op10_sentencepiece,
