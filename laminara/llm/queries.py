@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from laminara.llm.mixing import op9_mixing
 from laminara.llm.pii import op5_pii
 from laminara.llm.quality_crf import op1_quality
 from laminara.llm.recompression import op8_recompression
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pii_surrogates": op5_pii,
         "op6_toxicity_mil": op6_toxicity,
         "op8_recompression": op8_recompression,
+        "op9_soft_mixing": op9_mixing,
         "op10_sentencepiece_backtracking": op10_sentencepiece,
     }
 
