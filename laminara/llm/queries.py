@@ -12,6 +12,7 @@ from laminara.llm.quality_crf import op1_quality
 from laminara.llm.recompression import op8_recompression
 from laminara.llm.simhash import op2_simhash
 from laminara.llm.sp_bpe import op10_sentencepiece
+from laminara.llm.tool_calls import OP7_SQL, op7_tool_calls
 from laminara.llm.topk_threshold import OP4_SQL, op4_threshold
 from laminara.llm.toxicity_mil import op6_toxicity
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_threshold_topk": op4_threshold,
         "op5_pii_surrogates": op5_pii,
         "op6_toxicity_mil": op6_toxicity,
+        "op7_tool_calls": op7_tool_calls,
         "op8_recompression": op8_recompression,
         "op9_soft_mixing": op9_mixing,
         "op10_sentencepiece_backtracking": op10_sentencepiece,
@@ -32,4 +34,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_threshold_topk": OP4_SQL,
+        "op7_tool_calls": OP7_SQL,
     }
