@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from laminara.llm.katz import op3_katz
 from laminara.llm.mixing import op9_mixing
 from laminara.llm.pii import op5_pii
 from laminara.llm.quality_crf import op1_quality
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_crf": op1_quality,
         "op2_simhash_multi_index": op2_simhash,
+        "op3_katz_backoff": op3_katz,
         "op4_threshold_topk": op4_threshold,
         "op5_pii_surrogates": op5_pii,
         "op6_toxicity_mil": op6_toxicity,
