@@ -49,22 +49,28 @@ def telling_words(docs: DataFrame, labels: DataFrame, limit: int = TELLING_DOCS,
     return sorted(r.w for r in counts.orderBy(F.desc("a"), "w").limit(n).collect())
 
 
+def feature_struct(telling: list[str]) -> Column:
+    """n_tokens and the bins of the column ``text``."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    told = F.lit(0)
+    if telling:
+        told = text.rlike("(?i)(?<!\\p{L})(?:" + "|".join(map(re.escape, telling)) + ")(?!\\p{L})").cast("int")
+    bin_ = lambda x, bounds: sum(((x > b).cast("int") for b in bounds), F.lit(0))
+    share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / F.greatest(F.length(text), F.lit(1))
+    # Bound to names by transform, so that each pattern is counted once.
+    raw = F.array(F.struct(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("t"), share("[#*$%&|<>!]").alias("s"), share("\\p{Lu}").alias("c"), F.length(text).alias("n"), told.alias("told")))
+    return F.element_at(F.transform(raw, lambda r: F.struct(
+        r["t"].alias("n_tokens"), bin_(r["s"], BINS["symbols"]).alias("symbols"), bin_(r["c"], BINS["capitals"]).alias("capitals"),
+        bin_(r["n"], BINS["size"]).alias("size"), r["told"].alias("told"),
+    )), 1)
+
+
 def features(docs: DataFrame, telling: list[str]) -> DataFrame:
     """(doc_id, n_tokens, symbols, capitals, size, told) for every row; a null text counts as empty.
 
     Tokens are words between ASCII white space; the other columns are numbers of bins.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    chars = F.length(text)
-    share = lambda pattern: F.coalesce(F.try_divide(F.regexp_count(text, F.lit(pattern)), chars), F.lit(0.0))
-    bin_ = lambda x, bounds: sum(((x > b).cast("int") for b in bounds), F.lit(0))
-    told = F.lit(0)
-    if telling:
-        told = text.rlike("(?i)(?<!\\p{L})(?:" + "|".join(map(re.escape, telling)) + ")(?!\\p{L})").cast("int")
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("n_tokens"),
-        share("[#*$%&|<>!]").alias("_s"), share("\\p{Lu}").alias("_c"), chars.alias("_n"), told.alias("told"),
-    ).select("doc_id", "n_tokens", bin_(F.col("_s"), BINS["symbols"]).alias("symbols"), bin_(F.col("_c"), BINS["capitals"]).alias("capitals"), bin_(F.col("_n"), BINS["size"]).alias("size"), "told")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), feature_struct(telling).alias("f")).select("doc_id", "f.*")
 
 
 CELL = ("symbols", "capitals", "size", "told")
@@ -141,23 +147,53 @@ def fit_rates(cells: DataFrame, targets: dict[str, float] | None, kept: dict[str
     return steps
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, kept: dict[str, float] | None = None, max_rate: float | None = None) -> DataFrame:
-    """(doc_id, n_tokens, p_<domain> ..., rate, copies) for every row of ``docs``.
+def binned(docs: DataFrame, telling: list[str]) -> DataFrame:
+    """``docs`` with the columns of ``features`` but doc_id, their names led by an underscore."""
+    names = ("n_tokens", *CELL)
+    packed = docs.withColumn("_f", feature_struct(telling))
+    return packed.select(*docs.columns, *(F.col(f"_f.{n}").alias(f"_{n}") for n in names))
 
-    ``rate`` is how often a document is wanted on average, ``copies`` its whole part plus one more in the share of
-    cases of the rest, by a hash of the id, so a run can be repeated. Targets that can't be met are met as well as
-    squares allow. Null and empty texts have no tokens and the rate of their cell; rows with a null id count too.
-    """
+
+def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, kept: dict[str, float] | None, max_rate: float | None) -> tuple[DataFrame, Stored, list[str]]:
+    """The table of cells with posteriors and rates, the stored features of all rows, and the telling words."""
     targets = TARGETS if targets is None and kept is None else targets
     words = telling_words(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels)
     feats = Stored(features(docs, words))
     ps = posteriors(feats.df.join(labelled(labels), "doc_id").select("domain", *CELL))
-    cells = Stored(feats.df.groupBy(*CELL).agg(F.sum("n_tokens").cast("double").alias("n")).withColumn("p", ps).select("*", *(F.get("p", F.lit(i)).alias(f"p{i}") for i in range(len(DOMAINS)))).drop("p").coalesce(1))
+    cells = feats.df.groupBy(*CELL).agg(F.sum("n_tokens").cast("double").alias("n")).withColumn("p", ps)
+    cells = Stored(cells.select("*", *(F.get("p", F.lit(i)).alias(f"p{i}") for i in range(len(DOMAINS)))).drop("p").coalesce(1))
     steps = fit_rates(cells.df, targets, kept, max_rate)
     rated = cells.df.select(*CELL, *(f"p{i}" for i in range(len(DOMAINS))), rate_of(steps, len(DOMAINS), max_rate).alias("rate"))
+    return rated, feats, words
+
+
+def copies(rate: str = "rate") -> Column:
     u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 11) / F.lit(float(1 << 53))
+    return F.floor(F.col(rate) + u).cast("int")
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, kept: dict[str, float] | None = None, max_rate: float | None = None) -> DataFrame:
+    """(doc_id, n_tokens, p_<domain> ..., rate, copies) for every row of ``docs``.
+
+    ``rate`` is how often a document is wanted on average, ``copies`` its whole part plus one more in the share of
+    cases of the rest, by a hash of the id, so a run can be repeated. Targets that can't be met are met as well as
+    squares allow. Null and empty texts have no tokens and the rate of their cell; rows with a null id count too.
+    """
+    rated, feats, _ = fitted(docs, labels, targets, kept, max_rate)
     out = feats.df.join(F.broadcast(rated), list(CELL))  # one row for each cell, bounded by the bins
-    return out.select("doc_id", "n_tokens", *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", F.floor(F.col("rate") + u).cast("int").alias("copies"))
+    return out.select("doc_id", "n_tokens", *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", copies().alias("copies"))
+
+
+def mixed_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, kept: dict[str, float] | None = None, max_rate: float | None = None) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` says, with their columns; no text is shuffled."""
+    rated, _, words = fitted(docs, labels, targets, kept, max_rate)
+    rated = rated.select(*(F.col(c).alias(f"_{c}") for c in CELL), "rate")
+    rows = binned(docs, words).join(F.broadcast(rated.withColumnRenamed("rate", "_rate")), [f"_{c}" for c in CELL])
+    n = copies("_rate")
+    rows = rows.where(n > 0)
+    if max_rate is None or max_rate > 1:
+        rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), n)))
+    return rows.select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

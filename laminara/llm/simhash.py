@@ -109,6 +109,19 @@ def near_duplicates(docs: DataFrame, n: int = 3) -> DataFrame:
     return stored.df.join(ids, "fp").select("doc_id", "fp", "component_id", "n_same")
 
 
+def keep_one(docs: DataFrame, n: int = 3) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, with all their columns.
+
+    Of rows that share this id one stays. Rows with a null id have no place in the order of ids: all of them stay.
+    """
+    found = near_duplicates(docs, n)
+    first = Stored(found.where("doc_id = component_id").groupBy("doc_id").count())
+    kept = docs.join(first.df.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    if not first.df.where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: fingerprint as 16 hex digits and component of every document."""
     out = near_duplicates(read_table(spark, sf_dir, "documents"))
