@@ -190,3 +190,34 @@ def minus_neighbour_mean(rows: DataFrame, keys: list[str], id_: str, i: str, j:
     near = left.join(right, [*keys, "_ci", "_cj"]).withColumn("d", d).where(F.col("d") <= radius)
     w = Window.partitionBy(*keys, id_).orderBy("d", "_nid")
     return near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).groupBy(*keys, id_).agg((F.max("_v") - F.avg("_nv")).alias("rest"))
+
+
+def spanning_tree(edge: DataFrame, section: str = "z") -> DataFrame:
+    """(section, a, b, r, step): from the smallest tile on, always the best edge with one end in the tree.
+
+    ``edge`` has section, a, b, r. A section's tiles are few thousand at most, so each section is one group. Ties go to
+    smaller ends; tiles that no edge reaches are left out.
+    """
+    import heapq
+
+    import pandas as pd
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, list] = {}
+        for a, b, r in zip(rows.a, rows.b, rows.r, strict=True):
+            near.setdefault(a, []).append((-r, min(a, b), max(a, b), b))
+            near.setdefault(b, []).append((-r, min(a, b), max(a, b), a))
+        start = min(near)
+        seen, heap, out = {start}, list(near[start]), []
+        heapq.heapify(heap)
+        while heap:
+            r, a, b, to = heapq.heappop(heap)
+            if to in seen:
+                continue
+            seen.add(to)
+            out.append((key[0], a, b, -r, len(out) + 1))
+            for x in near[to]:
+                heapq.heappush(heap, x)
+        return pd.DataFrame(out, columns=[section, "a", "b", "r", "step"])
+
+    return edge.select(F.col(section).cast("long").alias(section), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("r").cast("double").alias("r")).groupBy(section).applyInPandas(run, f"{section} long, a long, b long, r double, step int")

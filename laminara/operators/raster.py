@@ -153,3 +153,24 @@ def components(px: DataFrame, diagonal: bool = True, max_rounds: int = 1000) ->
         if done:
             return labels.select(*key, (F.floor(F.col("n") / (1 << 20)) + 1).cast("int").alias("i"), (F.col("n") % (1 << 20)).cast("int").alias("j"), "label")
     raise RuntimeError("components did not settle")
+
+
+def equalised(px: DataFrame, clip: float = 4.0, bins: int = 64) -> DataFrame:
+    """Contrast-limited equalisation of each tile by its own histogram, and a full-range stretch.
+
+    A tile's histogram is cut at ``clip`` times its mean height and what is cut off is spread over all bins; a pixel
+    becomes the share of the tile at or below its bin.
+    """
+    width = 256 // bins
+    binned = px.withColumn("bin", F.floor(F.col("px") / width).cast("int"))
+    hist = binned.groupBy("z", "bin").agg(F.count(F.lit(1)).alias("n"))
+    total = hist.groupBy("z").agg(F.sum("n").alias("total"))
+    all_bins = total.select("z", "total", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    top = clip * F.col("total") / bins
+    cut = all_bins.join(hist, ["z", "bin"], "left").select("z", "bin", "total", F.least(F.coalesce("n", F.lit(0)).cast("double"), top).alias("h"))
+    spare = cut.groupBy("z").agg(((F.max("total") - F.sum("h")) / bins).alias("spare"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("z").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # ``bins`` rows for each tile
+    curve = cut.join(spare, "z").select("z", "bin", (F.sum(F.col("h") + F.col("spare")).over(w) / F.col("total")).alias("share"))
+    return binned.join(curve, ["z", "bin"]).select(*AT, F.least(F.lit(255), F.floor(F.round(255 * F.col("share"), 6)).cast("int")).alias("px"))

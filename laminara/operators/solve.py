@@ -102,6 +102,7 @@ def relax_blocks(nodes: DataFrame, ends: DataFrame, max_iters: int = 4000, ftol:
         x, it = (relax(x0, a.fixed.to_numpy(bool), rows, cols, b.val.to_numpy(float), k, rest, max_iters, ftol)) if len(b) else (x0, 0)
         return pd.DataFrame({"block": key[0], "node": a.node.to_numpy(), "dst_i": x[:, 0], "dst_j": x[:, 1], "energy_before": e(x0), "energy_after": e(x), "iters": it})
 
+    nodes, ends = nodes.toDF(*nodes.columns), ends.toDF(*ends.columns)  # both may come from one table
     return nodes.groupBy("block").cogroup(ends.groupBy("block")).applyInPandas(run, SYSTEM)
 
 

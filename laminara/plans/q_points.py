@@ -302,10 +302,10 @@ def jon_node_offsets(spark, sf):
 
 @query("jon_minus_neighbour_mean", f"""{BASE}, p AS (SELECT * FROM base WHERE corr_id % 5 = 0), n AS (SELECT a.corr_id, a.r_max AS v, b.r_max AS nv, row_number() OVER (PARTITION BY a.corr_id ORDER BY greatest(abs(a.pre_i - b.pre_i), abs(a.pre_j - b.pre_j)), b.corr_id) AS k
 FROM p a JOIN p b ON a.src_z = b.src_z AND abs(a.pre_i - b.pre_i) <= 80 AND abs(a.pre_j - b.pre_j) <= 80)
-SELECT corr_id, round(max(v) - avg(nv), 6) + 0.0 AS rest FROM n WHERE k <= 8 GROUP BY corr_id""")
+SELECT corr_id, round(max(v) - avg(nv), 9) + 0.0 AS rest FROM n WHERE k <= 8 GROUP BY corr_id""")
 def jon_minus_neighbour_mean(spark, sf):
     p = correspondences(spark, sf).where("corr_id % 5 = 0")
-    return jon.minus_neighbour_mean(p, ["src_z"], "corr_id", "pre_i", "pre_j", "r_max", 80.0, 8).select("corr_id", R(F.col("rest")).alias("rest"))
+    return jon.minus_neighbour_mean(p, ["src_z"], "corr_id", "pre_i", "pre_j", "r_max", 80.0, 8).select("corr_id", R(F.col("rest"), 9).alias("rest"))
 
 
 @query("jon_split_by_date", "SELECT CAST(o_orderdate AS DATE) >= DATE '1995-06-01' AS keep, count(*) AS n, count(DISTINCT CAST(o_orderdate AS DATE)) AS days FROM orders GROUP BY ALL")
@@ -432,8 +432,8 @@ def agg_precision_recall(spark, sf):
     return p.select(R(F.col("precision")).alias("precision"), R(F.col("recall")).alias("recall"), "workload")
 
 
-@query("agg_sweep", f"""{BASE} SELECT CAST(k AS INT) AS k, count(*) FILTER (r_max < k * 0.01 AND rejected) AS tp, count(*) FILTER (r_max < k * 0.01 AND NOT rejected) AS fp,
-count(*) FILTER (NOT r_max < k * 0.01 AND rejected) AS fn, count(*) FILTER (NOT r_max < k * 0.01 AND NOT rejected) AS tn FROM base, generate_series(1, 100) AS g(k) GROUP BY ALL""")
+@query("agg_sweep", f"""{BASE} SELECT CAST(k AS INT) AS k, count(*) FILTER (r_max < k * 0.01::DOUBLE AND rejected) AS tp, count(*) FILTER (r_max < k * 0.01::DOUBLE AND NOT rejected) AS fp,
+count(*) FILTER (NOT r_max < k * 0.01::DOUBLE AND rejected) AS fn, count(*) FILTER (NOT r_max < k * 0.01::DOUBLE AND NOT rejected) AS tn FROM base, generate_series(1, 100) AS g(k) GROUP BY ALL""")
 def agg_sweep(spark, sf):
     return st.sweep(base(spark, sf), "r_max", F.col("rejected"))
 
