@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laminara.functions.registry import COMPARATORS
+from laminara.sources.storage import Stored
 
 AT = ["z", "i", "j"]
 
@@ -139,19 +140,25 @@ def components(px: DataFrame, diagonal: bool = True, max_rounds: int = 1000) ->
     code = (F.col("i") - 1) * (1 << 20) + F.col("j")
     steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (diagonal or not (a and b))]
     around = F.explode(F.array(*(F.lit(a * (1 << 20) + b) for a, b in steps)))
-    nodes = px.select(*key, code.cast("long").alias("n")).distinct()
-    edge = nodes.select(*key, "n", around.alias("d")).select(*key, "n", (F.col("n") + F.col("d")).alias("m"))
-    edge = edge.join(nodes.withColumnRenamed("n", "m"), [*key, "m"]).select(*key, "n", "m")
-    labels = nodes.withColumn("label", F.col("n"))
+    nodes = Stored(px.select(*key, code.cast("long").alias("n")).distinct())
+    edge = nodes.df.select(*key, "n", around.alias("d")).select(*key, "n", (F.col("n") + F.col("d")).alias("m"))
+    edge = Stored(edge.join(nodes.df.withColumnRenamed("n", "m"), [*key, "m"]).select(*key, "n", "m"))
+    labels = Stored(nodes.df.withColumn("label", F.col("n")))
     for _ in range(max_rounds):
-        near = edge.join(labels.select(*key, F.col("n").alias("m"), "label"), [*key, "m"]).groupBy(*key, "n").agg(F.min("label").alias("least"))
-        step = labels.join(near, [*key, "n"], "left").select(*key, "n", F.least("label", F.coalesce("least", "label")).alias("up"), F.col("label").alias("was"))
-        jump = labels.select(*key, F.col("n").alias("up"), F.col("label").alias("upper"))
-        step = step.join(jump, [*key, "up"]).select(*key, "n", F.least("up", "upper").alias("label"), "was").checkpoint()
-        done = step.where("label <> was").isEmpty()
-        labels = step.drop("was")
+        old = labels.df.select(*key, "n", "label")
+        near = edge.df.join(old.select(*key, F.col("n").alias("m"), "label"), [*key, "m"]).groupBy(*key, "n").agg(F.min("label").alias("least"))
+        step = old.join(near, [*key, "n"], "left").select(*key, "n", F.least("label", F.coalesce("least", "label")).alias("up"), F.col("label").alias("was"))
+        for _ in range(2):
+            upper = old.select(*key, F.col("n").alias("up"), F.col("label").alias("upper"))
+            step = step.join(upper, [*key, "up"]).select(*key, "n", F.least("up", "upper").alias("up"), "was")
+        new = Stored(step.withColumnRenamed("up", "label"))
+        done = new.df.where("label <> was").isEmpty()
+        labels.drop()
+        labels = new
         if done:
-            return labels.select(*key, (F.floor(F.col("n") / (1 << 20)) + 1).cast("int").alias("i"), (F.col("n") % (1 << 20)).cast("int").alias("j"), "label")
+            nodes.drop()
+            edge.drop()
+            return labels.df.select(*key, (F.floor(F.col("n") / (1 << 20)) + 1).cast("int").alias("i"), (F.col("n") % (1 << 20)).cast("int").alias("j"), "label")
     raise RuntimeError("components did not settle")
 
 

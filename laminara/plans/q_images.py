@@ -170,7 +170,6 @@ def img_gather(spark, sf):
 r AS (SELECT tile, n AS label, i, j FROM n UNION SELECT r.tile, r.label, n.i, n.j FROM r JOIN n ON n.tile = r.tile AND abs(n.i - r.i) <= 1 AND abs(n.j - r.j) <= 1)
 SELECT tile, i, j, CAST(min(label) AS BIGINT) AS label FROM r GROUP BY ALL""")
 def img_components(spark, sf):
-    storage.ensure_checkpoint_dir(spark)
     return ra.components(pixels(spark, sf).where("px > 150 and tile < 60")).select("tile", "i", "j", "label")
 
 
@@ -178,7 +177,6 @@ def img_components(spark, sf):
 r AS (SELECT tile, n AS label, i, j FROM n UNION SELECT r.tile, r.label, n.i, n.j FROM r JOIN n ON n.tile = r.tile AND abs(n.i - r.i) + abs(n.j - r.j) <= 1),
 l AS (SELECT tile, i, j, min(label) AS label FROM r GROUP BY ALL) SELECT tile, CAST(label AS BIGINT) AS label, count(*) AS n FROM l GROUP BY ALL HAVING count(*) >= 4""")
 def img_components_large(spark, sf):
-    storage.ensure_checkpoint_dir(spark)
     return ra.components(pixels(spark, sf).where("px > 150 and tile < 60"), diagonal=False).groupBy("tile", "label").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
 
 

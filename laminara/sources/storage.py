@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,6 +22,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="laminara-"))
 
 
+class Stored:
+    """A table written to the shared folder, so that what follows doesn't carry its lineage; ``drop`` deletes it."""
+
+    def __init__(self, df: DataFrame) -> None:
+        spark = self.spark = df.sparkSession
+        ensure_checkpoint_dir(spark)
+        self.path = f"{spark.sparkContext.getCheckpointDir()}/laminara-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.df = spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def to_chunks(px: DataFrame, size: int, mip: int = 0) -> DataFrame:
     """Pixel rows (z, i, j, px) as chunks of ``size`` squared bytes, pixels that are missing as zero; each chunk is a
     group of bounded size."""
