@@ -5,7 +5,7 @@ features of the text; it gives every document posteriors over the domains. Docum
 posteriors, so sums over documents are kept by cell of bins, exactly; the number of cells follows the bins and not the
 data. Rates start at 1 and take projected-gradient steps on the squared differences between expected and wanted
 tokens of each domain. A step is the residual times the inverse Gram matrix of the rates that can still move; a round
-sums over the cells in Spark and brings some sums for each pair of domains to the driver.
+sums over the cells in Spark and brings a few sums for each pair of domains to the driver.
 """
 
 from __future__ import annotations
@@ -121,29 +121,33 @@ def fit_rates(cells: DataFrame, targets: dict[str, float] | None, kept: dict[str
     if not have.sum():
         return []
     want = np.array([targets[d] for d in DOMAINS]) * have.sum() / sum(targets.values()) if targets else have * np.array([kept[d] for d in DOMAINS])
-    steps, best, scale = [], math.inf, 1.0
+    steps: list[list[float]] = []
     pending: list[float] | None = None
-    last = None
+    best, scale, last = math.inf, 1.0, None
     for _ in range(rounds):
         trial = steps + ([pending] if pending else [])
         rated = cells.withColumn("r", rate_of(trial, k, max_rate))
-        free = (F.col("r") > 0) if max_rate is None else ((F.col("r") > 0) & (F.col("r") < max_rate))
-        pairs = [F.sum(F.when(free | F.lit(not trial), F.col("n") * F.col(f"p{i}") * F.col(f"p{j}"))).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]
-        got = rated.agg(*(F.sum(F.col("r") * F.col("n") * F.col(f"p{i}")).alias(f"t{i}") for i in range(k)), *pairs).first()
+        got = rated.agg(*(F.sum(F.col("r") * F.col("n") * F.col(f"p{i}")).alias(f"t{i}") for i in range(k))).first()
         rest = np.array([got[f"t{i}"] for i in range(k)]) - want
         loss = float((rest**2).sum())
         if loss < best:
             gain = (best - loss) / max(loss, 1e-300)
             steps, best, scale = trial, loss, min(1.0, scale * 2)
-            gram = np.array([[float(got[f"m{min(i, j)}_{max(i, j)}"] or 0.0) for j in range(k)] for i in range(k)])
-            last = (rest, gram + np.eye(k) * max(1e-9 * np.trace(gram), 1e-9))
-            if best <= 1e-12 * float((want**2).sum()) or gain < 1e-4:
+            if best <= 1e-12 * float((want**2).sum()) or gain < 1e-5:
                 break
+            # Rates at a bound that the slope pushes against it can't move; the others make the Gram matrix.
+            slope = sum((F.col(f"p{i}") * float(rest[i]) for i in range(1, k)), F.col("p0") * float(rest[0]))
+            free = (F.col("r") > 0) | (slope < 0)
+            if max_rate is not None:
+                free = free & ((F.col("r") < max_rate) | (slope > 0))
+            sums = rated.where(free).agg(*(F.sum(F.col("n") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k))).first()
+            gram = np.array([[float(sums[f"m{min(i, j)}_{max(i, j)}"] or 0.0) for j in range(k)] for i in range(k)])
+            last = np.linalg.solve(gram + np.eye(k) * max(1e-9 * np.trace(gram), 1e-9), rest)
         else:
             scale /= 2
             if scale < 1e-3:
                 break
-        pending = [float(x) for x in scale * np.linalg.solve(last[1], last[0])]
+        pending = [float(x) for x in scale * last]
     return steps
 
 

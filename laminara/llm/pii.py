@@ -16,6 +16,7 @@ from laminara.llm.common import Stored, read_table, release
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Господин|Г-н"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|Г-жа"
+MALE, FEMALE = f"{MALE}|{MALE.upper()}", f"{FEMALE}|{FEMALE.upper()}"
 #: Kind to pattern, tried in this order. Look-behinds keep a scan linear: only the start of a word can begin a match.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}",
@@ -162,24 +163,25 @@ def assign(entities: DataFrame, key: str) -> Stored:
 def replace_pii(docs: DataFrame, key: str = "change-me") -> DataFrame:
     """``docs`` with surrogates in ``text`` and a column ``n_entities`` with the number of mentions replaced.
 
-    All other columns stay. A null text stays null with 0 mentions, an empty one stays empty. Rows may repeat and ids
+    All other columns stay; an old ``n_entities`` is replaced. A null text stays null with 0 mentions, an empty one stays empty. Rows may repeat and ids
     may be null. Only texts with a mention are shuffled; a mention in very many documents is one entity and is joined
     on its value, which adaptive execution splits when it is skewed.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c != "n_entities"]
     hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
-    found = docs.withColumn("n_entities", F.when(hinted, F.regexp_count("text", F.lit(ANY))).otherwise(0))
+    found = docs.select(*names, F.when(hinted, F.regexp_count("text", F.lit(ANY))).otherwise(0).alias("n_entities"))
     plain = found.where("n_entities = 0")
-    full = found.where("n_entities > 0").withColumn("_row", F.xxhash64("text")).withColumn("_m", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-    spread = full.select("_row", F.explode(F.array_distinct("_m")).alias("mention")).distinct().withColumn("kind", kind_of()).withColumn("canon", F.expr(canonical()))
+    # All other columns travel in one, so that their names can't clash with those below.
+    full = found.where("n_entities > 0").select(F.struct(*names, "n_entities").alias("doc"), F.xxhash64("text").alias("text_id"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("found"))
+    spread = full.select("text_id", F.explode(F.array_distinct("found")).alias("mention")).distinct().withColumn("kind", kind_of()).withColumn("canon", F.expr(canonical()))
     mentions = Stored(spread)
     table = assign(mentions.df.select("kind", "canon").distinct(), key)
-    shown = mentions.df.join(table.df, ["kind", "canon"]).select("_row", "mention", F.expr(render()).alias("shown"))
-    maps = shown.groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct("mention", "shown"))).alias("_map"))
-    parts = F.split("text", ANY, -1)
-    text = F.array_join(F.transform(parts, lambda g, i: F.concat(g, F.coalesce(F.element_at("_map", F.get("_m", i)), F.lit("")))), "")
-    changed = full.join(maps, "_row").withColumn("text", text).select(*names, "n_entities")
-    return plain.select(*names, "n_entities").unionByName(changed)
+    shown = mentions.df.join(table.df, ["kind", "canon"]).select("text_id", "mention", F.expr(render()).alias("shown"))
+    maps = shown.groupBy("text_id").agg(F.map_from_entries(F.collect_set(F.struct("mention", "shown"))).alias("shown_as"))
+    parts = F.split(F.col("doc.text"), ANY, -1)
+    text = F.array_join(F.transform(parts, lambda g, i: F.concat(g, F.coalesce(F.element_at("shown_as", F.get("found", i)), F.lit("")))), "")
+    changed = full.join(maps, "text_id").select(*(text.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in [*names, "n_entities"]))
+    return plain.unionByName(changed)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
