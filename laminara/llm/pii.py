@@ -31,7 +31,7 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every text with a mention holds; cheap to look for, so that most texts never meet the patterns. Titles are
 #: looked for at their first letters only.
-HINT = rf"[0-9@=:]|(?=[MHFSГ])(?<!\w)(?:{MALE}|{FEMALE})\.?[ \u00A0]\p{{Lu}}"
+HINT = rf"[0-9@=:]|AKIA|[a-f]{{40}}|(?=[MHFSГ])(?<!\w)(?:{MALE}|{FEMALE})\.?[ \u00A0]\p{{Lu}}"
 #: Parts of made-up names by script; an ending tells the gender.
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ka ke ko la le lo ma me mi mo na ne ni no pa pe ra re ri ro sa se so ta te to va ve vi vo".split()}
 SYLLABLES["cyrillic"] = "ба бе бо да де до га го ка ко ла ле ло ма ме ми мо на не ни но па пе ра ре ри ро са се со та те то ва ве ви во фа фе зи зо".split()
