@@ -224,10 +224,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     found.drop()
     shared.drop()
     release(spark)
-    variants = some.df.groupBy("anchor", "variant").agg(F.min("doc_id").alias("lowest"))
-    several = some.df.groupBy("anchor").agg(F.min("variant").alias("a"), F.max("variant").alias("b")).where("a <> b").select("anchor", F.lit(True).alias("several"))
-    told = Stored(some.df.join(variants, ["anchor", "variant"]).join(several, "anchor", "left").select("doc_id", "row", "start", "n", "lowest", "several"))
+    # Stored, as a join that also has to finish an aggregate can't be split where one anchor has very many rows.
+    variants = Stored(some.df.groupBy("anchor", "variant").agg(F.min("doc_id").alias("lowest")))
+    several = Stored(variants.df.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor", F.lit(True).alias("several")))
+    told = Stored(some.df.join(variants.df, ["anchor", "variant"]).join(several.df, "anchor", "left").select("doc_id", "row", "start", "n", "lowest", "several"))
     some.drop()
+    variants.drop()
+    several.drop()
     release(spark)
     asked = told.df.where("doc_id = lowest and several").groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     single = Stored(single_windows(with_row(docs).join(asked, ["doc_id", "row"]), window))
