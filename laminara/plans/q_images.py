@@ -243,9 +243,8 @@ def img_xc_byte(spark, sf):
 # Block matching
 
 
-def patch_rows(spark, sf):
+def patch_rows(p):
     """Rows 3 to 5 and columns 3 to 5 of a tile against the whole next tile."""
-    p = images(spark, sf).where("z < 120")
     src = p.where("i between 3 and 5 and j between 3 and 5").select(F.col("z").alias("match"), (F.col("i") - 2).alias("i"), (F.col("j") - 2).alias("j"), "px")
     return src, p.where("z > 0").select((F.col("z") - 1).alias("match"), "i", "j", "px")
 
@@ -257,24 +256,24 @@ r AS (SELECT match, x.i - t.i AS oi, x.j - t.j AS oj, corr(t, x) AS r FROM t JOI
 
 @query("mat_correlation", f"{XC} SELECT match, CAST(oi AS INT) AS oi, CAST(oj AS INT) AS oj, round(r, 6) + 0.0 AS r FROM r")
 def mat_correlation(spark, sf):
-    return bm.correlation_rows(*patch_rows(spark, sf)).select("match", "oi", "oj", R(F.col("r")).alias("r"))
+    return bm.correlation_rows(*patch_rows(images(spark, sf).where("z < 120"))).select("match", "oi", "oj", R(F.col("r")).alias("r"))
 
 
-def patches(spark, sf):
-    src, dst = patch_rows(spark, sf)
+def patches(p):
+    src, dst = patch_rows(p)
     pack = lambda d, n: bm.section_patches(d, "match").toDF("match", n, f"{n}_h", f"{n}_w")
     return pack(src, "src").join(pack(dst, "dst"), "match").select("match", "src", "dst", "src_h", "src_w", "dst_h", "dst_w")
 
 
 @query("mat_peak", f"{XC} SELECT match, round(max(r), 6) + 0.0 AS r_max FROM r GROUP BY match")
 def mat_peak(spark, sf):
-    return bm.match_blocks(patches(spark, sf)).select("match", R(F.col("r_max")).alias("r_max"))
+    return bm.match_blocks(patches(images(spark, sf).where("z < 120"))).select("match", R(F.col("r_max")).alias("r_max"))
 
 
 @query("mat_features")
 def mat_features(spark, sf):
     """All features of every block; the refinement and the spread have no compact SQL, tests hold them."""
-    return bm.match_blocks(patches(spark, sf))
+    return bm.match_blocks(patches(images(spark, sf)))
 
 
 @query("mat_dyn_kurtosis", f"{IMG} SELECT z, round((max(px) - min(px)) / 255, 6) + 0.0 AS dyn_range, round(kurtosis_pop(px), 6) + 0.0 AS kurt FROM img GROUP BY z")

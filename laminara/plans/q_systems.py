@@ -269,7 +269,7 @@ def src_volume(spark, sf):
     """Pixels written as chunks, and a cut-out read again by section and rows."""
     path = scratch(spark)
     p = images(spark, sf).select(F.col("z").cast("int").alias("z"), "i", "j", "px")
-    storage.write_volume(storage.to_chunks(p.where("z < 50"), 4), path)
+    storage.write_volume(storage.to_chunks(p.repartition("z"), 4), path)
     return storage.from_chunks(storage.read_volume(spark, path, z=[3, 7, 11], mip=0, box=(5, 8, 1, 8))).select("z", "i", "j", "px").where("i > 4")
 
 
