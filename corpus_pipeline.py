@@ -12,7 +12,7 @@ from laminara.llm.common import Stored, read_table
 from laminara.llm.mixing import mixed_rows
 from laminara.llm.pii import replace_pii
 from laminara.llm.quality_crf import keep_documents, train
-from laminara.llm.simhash import keep_one
+from laminara.llm.simhash import keep_dissimilar, keep_one
 from laminara.llm.sp_bpe import default_model, encode_decode, load_vocabulary
 
 #: Shares of each domain's expected tokens that mixing keeps; no document comes more than once.
@@ -29,6 +29,11 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return keep_one(docs)
 
 
+def stage_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of what ``stage_near_dedup`` leaves, documents without one of smaller id at a similarity of 0.8 or more."""
+    return keep_dissimilar(Stored(stage_near_dedup(spark, docs, sf_dir)).df)
+
+
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data, and their new length."""
     return replace_pii(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
@@ -46,7 +51,7 @@ def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality rules", stage_quality),
-    ("SimHash near-dedup", stage_near_dedup),
+    ("SimHash near-dedup", stage_similar),
     ("PII surrogates", stage_pii),
     ("mixing to target weights", stage_mixing),
     ("SentencePiece encoding and decoding", stage_encode),

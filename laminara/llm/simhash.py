@@ -10,7 +10,7 @@ share such a point if and only if they differ in at most two bits, and at most 6
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -122,6 +122,87 @@ def keep_one(docs: DataFrame, n: int = 3) -> DataFrame:
     return kept.unionByName(docs.where("doc_id is null"))
 
 
+def shingle_sets(docs: DataFrame, n: int = 5, late: Sequence[int] = ()) -> DataFrame:
+    """(row, set): the different hashes of the shingles of ``n`` words of each text, in ascending order but for those
+    in ``late``, which come last.
+
+    ``docs`` has row and text; words are those of ``simhash``, and texts without words are left out.
+    """
+    small_batches(docs.sparkSession)
+    late = list(late)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import xxhash
+
+        common = np.array(late, np.int64)
+        for b in batches:
+            rows, sets = [], []
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                if words:
+                    shifted = [words[i:] for i in range(n)] if len(words) >= n else [[b" ".join(words)]]
+                    hashes = [xxhash.xxh64_intdigest(b" ".join(s)) for s in zip(*shifted, strict=False)]
+                    rows.append(row)
+                    found = np.unique(np.array(hashes, np.uint64).view(np.int64))
+                    last = np.isin(found, common)
+                    sets.append(np.concatenate([found[~last], found[last]]))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["row", "set"])
+
+    return docs.select("row", F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, set array<long>")
+
+
+def common_shingles(docs: DataFrame, n: int = 5, limit: int = 50_000) -> list[int]:
+    """Hashes of the shingles most common in a sixteenth of the rows, ``limit`` at most; only an order hangs on them."""
+    seen = shingle_sets(docs.where("pmod(xxhash64(row), 16) = 0"), n).select(F.explode("set").alias("key"))
+    return [r.key for r in seen.groupBy("key").count().where("count > 3").orderBy(F.desc("count"), "key").limit(limit).collect()]
+
+
+def similar_rows(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(row) of the rows of ``docs`` (row, text; rows differ) that have a smaller row at a Jaccard similarity of
+    ``percent`` or more of their shingles.
+
+    Exact: in any common order of shingles, two such sets share one among the first size - ceil(share * size) + 1 of
+    each; the order has common shingles last, so that few rows meet at one. Sizes that can't reach the share are left out of the pairs. Rounds first compare each row with the smallest
+    row that is left at each of its keys and take out those found, so that a large group of near copies falls to its
+    smallest row; only the rows left are then paired with the smaller ones.
+    """
+    sets = Stored(shingle_sets(docs, n, common_shingles(docs, n)).withColumn("size", F.size("set")))
+    size = F.col("size")
+    first = (size - F.ceil(size * percent / 100) + 1).cast("int")
+    keys = Stored(sets.df.select("row", "size", F.explode(F.slice("set", F.lit(1), first)).alias("key")))
+    shared = keys.df.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
+    keys = Stored(keys.df.join(shared, "key", "left_semi"))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        u, v = (sets.df.select(F.col("row").alias(x), F.col("set").alias(f"{x}_set")) for x in "uv")
+        both = F.size(F.array_intersect("u_set", "v_set"))
+        close = 100 * both >= percent * (F.size("u_set") + F.size("v_set") - both)
+        return pairs.join(u, "u").join(v, "v").where(close).select(F.col("v").alias("row")).distinct()
+
+    fits = F.least("u_size", "v_size") * 100 >= F.greatest("u_size", "v_size") * percent
+    gone = None
+    while True:
+        left = keys.df if gone is None else keys.df.join(gone, "row", "left_anti")
+        pivot = left.groupBy("key").agg(F.min(F.struct("row", "size")).alias("p"))
+        pairs = left.withColumnRenamed("size", "v_size").join(pivot, "key").select(F.col("p.row").alias("u"), F.col("p.size").alias("u_size"), F.col("row").alias("v"), "v_size")
+        found = Stored(similar(pairs.where("u < v").where(fits).select("u", "v").distinct()))
+        if found.df.isEmpty():
+            break
+        gone = found.df if gone is None else gone.unionByName(found.df)
+    u = keys.df.select("key", F.col("row").alias("u"), F.col("size").alias("u_size"))
+    v = left.select("key", F.col("row").alias("v"), F.col("size").alias("v_size"))
+    rest = similar(u.join(v, "key").where("u < v").where(fits).select("u", "v").distinct())
+    return rest if gone is None else gone.unionByName(rest)
+
+
+def keep_dissimilar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without a row of smaller id at a Jaccard similarity of ``percent`` or more, with all their
+    columns. Ids differ, but for null ones; rows with a null id and texts without words stay."""
+    found = similar_rows(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("row"), "text"), n, percent)
+    return docs.join(Stored(found).df.withColumnRenamed("row", "doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: fingerprint as 16 hex digits and component of every document."""
     out = near_duplicates(read_table(spark, sf_dir, "documents"))
