@@ -20,19 +20,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrow_rows(spark: SparkSession, rows: int) -> None:
+    """Rows in one Arrow batch from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches short, so that a Python worker's memory follows a batch and not a partition."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    arrow_rows(spark, ARROW_ROWS)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one of our own."""
+    """The folder in ``spark.checkpoint.dir``, or the one set on the context.
+
+    Where neither is set, a temporary folder of our own serves a local session; on a cluster it would be out of the
+    executors' sight, so there this is an error.
+    """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="laminara-"))
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="laminara-"))
     return sc.getCheckpointDir()
 
 

@@ -1,22 +1,28 @@
-"""Katz backoff scores of whole texts.
-
-Bigram counts are discounted by Good and Turing, and what the discount leaves goes to the unigram probabilities of the
-words not seen after a context, normalised exactly:
-
-    P(w | h) = d(r) r / (c(h) + 1)      for r = count of (h, w) > 0
-    P(w | h) = a(h) P(w)                else, with a(h) = (1 - sum of the above) / (1 - sum of P(w) over words seen)
-    P(w)     = d1(c) c / N              for c = count of w > 0; all unknown words together have what is left.
-
-The one in c(h) + 1 leaves some mass also where no count is small. Counting and scoring share one exchange: every
-token goes, with its context, to a bucket of its word, in blocks that hold each different pair of a block of texts
-once. A bucket counts its pairs, scores what it can, and gives sums for each text, parts of the normaliser for each
-context, and the tokens that have to back off; those are joined with the contexts' normalisers.
+"""Katz backoff scores of whole texts, with n-grams of orders one to three.
+
+    P(w | g h) = d3(r) r / c(g h)           for r = count of (g, h, w) > 0
+               = a(g h) P(w | h)            else; P(w | h) itself where (g, h) was never seen
+    P(w | h)   = d2(r) r / c(h)             for r = count of (h, w) > 0
+               = a(h) P(w)                  else; P(w) itself where h was never seen
+    P(w)       = d1(c) c / N                for c = count of w > 0; all unknown words together have what is left.
+
+d are the discounts of Good and Turing for counts up to ``K``, and a(.) is what the discounts leave, divided by what the
+shorter context gives to all words not seen here, so probabilities sum to one exactly. A context whose counts are all
+above ``K`` leaves nothing: only there c(.) + 1 stands in place of c(.), so that no word becomes impossible.
+
+Tables, all written to shared storage: ``words`` (one row for each word with a dense number and its count), ``blocks``
+(texts as numbers of words), and ``grams``, one row for each bucket of middle words h. As every occurrence of (g, h, w)
+lies in the bucket of h, a bucket holds its trigrams, its bigrams and the weights of its contexts, and a token is
+evaluated there, level by level. What goes to a bucket is counted by block of texts before: one entry for each
+different trigram and document. Words seen more than ``HOT`` times are dealt out by (g, h), and contexts seen as often by
+(g, h, w); the counts that are then spread over buckets come from a table ``pairs`` of the pairs behind such words.
 """
 
 from __future__ import annotations
 
-import math
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laminara.llm.common import Stored, read_table, release, small_batches
-from laminara.llm.recompression import U, chunks, mix, words_of
+from laminara.llm.common import Stored, arrow_rows, read_table, release, small_batches
 
-#: Names of the end of a text and of the context before its first word.
-END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 #: Counts up to this are discounted.
 K = 5
-#: Tokens in a block of texts, tokens in a bucket (about), and the least number of buckets.
-BLOCK, BUCKET, BUCKETS = 2_000_000, 3_000_000, 48
-#: Words of more than this share of the tokens are dealt out by their context too; so there are 20,000 at most.
-HOT = 1 / 20_000
+#: Tokens in a block of texts, tokens in a bucket (about), the least number of buckets, and the count of a hot word.
+BLOCK, BUCKET, BUCKETS, HOT = 1_000_000, 1_500_000, 12, 750_000
+#: Local numbers of the end of a text and of what stands before its first word; the global number of the latter.
+END, START = 0, 1
+START_ID = 0
 
 
 class Discounts:
@@ -67,240 +71,580 @@ class Unigrams:
         return np.where(c > 0, known, self.unknown)
 
 
-def tokens_of(part: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word, context and text number of each token of some texts, in order; each text ends with END."""
-    name, _, _, first = words_of([p.lower() for p in part])
-    size = np.diff(first)
-    doc = np.repeat(np.arange(len(part)), size + 1)
-    ends = np.cumsum(size + 1) - 1
-    w = np.empty(len(name) + len(part), np.uint64)
-    inner = np.ones(len(w), bool)
-    inner[ends] = False
-    w[inner], w[ends] = name, END
-    h = np.empty_like(w)
-    h[1:] = w[:-1]
-    h[np.concatenate([[0], ends[:-1] + 1])] = START
-    return w, h, doc
+@dataclass
+class Model:
+    """What evaluation needs beside the tables; every part is bounded (hot words and contexts have ``HOT`` tokens each)."""
+
+    tokens: int
+    types: int
+    texts: int
+    unigrams: Unigrams
+    d2: Discounts | None = None
+    d3: Discounts | None = None
+    #: Number of a hot word to its weight, and (g, h) of a hot context to its weight.
+    weight: dict[int, float] = field(default_factory=dict)
+    context_weight: dict[tuple[int, int], float] = field(default_factory=dict)
+
+
+def pack(a: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, or doubles, compressed plane of bytes by plane of bytes."""
+    import zstandard
+
+    a = np.ascontiguousarray(a)
+    if a.dtype != np.float64:
+        most = int(a.max(initial=0))
+        a = a.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
+    kind = b"f" if a.dtype == np.float64 else str(a.itemsize).encode()
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes() if len(a) else b""
+    return kind + zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    import zstandard
 
+    kind = raw[:1]
+    size = 8 if kind == b"f" else int(kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(size, -1)
+    flat = np.ascontiguousarray(planes.T).reshape(-1)
+    return flat.view(np.float64) if kind == b"f" else flat.view(np.dtype(f"u{size}")).astype(np.int64)
 
-def prepared(docs: DataFrame, held_out: Column) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
 
+def heads(*arrays: np.ndarray) -> np.ndarray:
+    """Where a row of sorted arrays differs from the row before."""
+    new = np.zeros(len(arrays[0]), bool)
+    new[:1] = True
+    for a in arrays:
+        new[1:] |= a[1:] != a[:-1]
+    return new
 
-def unigram_counts(docs: DataFrame) -> DataFrame:
-    """(w, c) of the training texts of ``docs`` (doc_id, text, held_out), counted in blocks before the exchange."""
+
+def spread(a: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads all bits."""
+    x = a.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+BLOCKS = "block long, ids binary, sizes binary, doc_id binary, no_id binary, held binary, names binary"
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """The texts of ``docs`` (doc_id, text, held_out) as numbers of words, in blocks of about ``BLOCK`` tokens.
+
+    ids are the local numbers of all tokens, ``END`` after each text; names the 64-bit hashes of the local words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        import xxhash
+
+        block = TaskContext.get().partitionId() << 33
+
+        def fresh() -> defaultdict:
+            number: defaultdict = defaultdict()
+            number.default_factory = lambda: len(number) + 2
+            return number
+
+        number, parts, rows, count = fresh(), [], [], 0
 
         def flush() -> pa.RecordBatch:
-            w, c = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c.astype(np.int64))], ["w", "c"])
+            nonlocal number, count, block
+            names = np.array([0, 0, *map(xxhash.xxh64_intdigest, number)], np.uint64)
+            doc, none, held = zip(*rows, strict=True)
+            cols = [pack(np.concatenate(parts)), pack(np.array([len(p) for p in parts])), np.array(doc, np.int64).tobytes(), pack(np.array(none)), pack(np.array(held)), names.tobytes()]
+            out = pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([c], pa.binary()) for c in cols)], [c.split()[0] for c in BLOCKS.split(", ")])
+            number, count, block = fresh(), 0, block + 1
+            parts.clear()
+            rows.clear()
+            return out
 
         for b in batches:
-            for _, part in chunks(b.column(0).to_pylist()):
-                held.append(tokens_of(part)[0])
-                if sum(map(len, held)) > BLOCK:
+            for i, text, out in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                ids = np.zeros(len(found) + 1, np.uint32)
+                ids[:-1] = np.fromiter(map(number.__getitem__, found), np.uint32, len(found))
+                parts.append(ids)
+                rows.append((i or 0, i is None, bool(out)))
+                count += len(ids)
+                if count >= BLOCK:
                     yield flush()
-        if held:
+        if parts:
             yield flush()
 
-    return docs.where("not held_out").select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, BLOCKS)
 
 
-BLOB = "bucket int, base long, train binary, w binary, nw binary, h binary, nh binary, d binary, doc_id binary, size binary, null_id binary"
+class Block:
+    """The arrays of one row of ``blocks``; with ``number`` and ``count`` of the local words once they are known."""
 
+    def __init__(self, row: dict, lists: dict[str, list[np.ndarray]]) -> None:
+        self.block, self.lists = row["block"], lists
+        self.ids, self.sizes, self.held = unpack(row["ids"]), unpack(row["sizes"]), unpack(row["held"]).astype(bool)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.row = row
 
-def dealt(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
-    """The tokens of ``docs`` in compressed blocks, one row for each block of texts and bucket.
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The word before each token and the one before that, as local numbers."""
+        first = np.cumsum(self.sizes) - self.sizes
+        h = np.empty_like(self.ids)
+        h[1:] = self.ids[:-1]
+        h[first] = START
+        g = np.empty_like(h)
+        g[1:] = h[:-1]
+        g[first] = START
+        return g, h
+
+    def numbered(self, texts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Global number and count of each local word."""
+        local, numbers, counts = self.lists["known"]
+        number, count = np.zeros(len(local) + 1, np.int64), np.zeros(len(local) + 1, np.int64)
+        number[local], count[local] = numbers, counts
+        number[START], count[START] = START_ID, texts
+        return number, count
+
+
+def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for b in batches:
+        names = b.schema.names
+        plain = [n for n in names if not pa.types.is_list(b.schema.field(n).type)]
+        for k, row in enumerate(b.select(plain).to_pylist()):
+            listed = {n: b.column(n)[k].values for n in names if n not in plain}
+            yield Block(row, {n: [v.field(i).to_numpy(zero_copy_only=False) for i in range(v.type.num_fields)] for n, v in listed.items() if v is not None})
 
-    A row holds the words (w) in order with their numbers of pairs (nw), the contexts of the pairs (h) with their
-    numbers of tokens (nh), and the texts of the tokens (d). One row of each block also lists the texts' ids and sizes.
-    """
-    hot = np.sort(hot.astype(np.uint64))
+
+def word_rows(stored: DataFrame) -> DataFrame:
+    """(block, local, name, n): the words of each block and their training tokens there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+        for b in each_block(batches):
+            names = np.frombuffer(b.row["names"], np.int64)
+            n = np.bincount(b.ids[~b.held[b.doc]], minlength=len(names))
+            local = np.array([END, *range(2, len(names))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(local), b.block)), pa.array(local.astype(np.int32)), pa.array(names[local]), pa.array(local == END), pa.array(n[local])], ["block", "local", "name", "ends", "n"])
 
-        pack = lambda a: zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
-        base = TaskContext.get().partitionId() << 33
-        held: list[tuple] = []
-        count, texts = 0, 0
+    return stored.mapInArrow(run, "block long, local int, name long, ends boolean, n long")
 
-        def flush() -> pa.RecordBatch:
-            nonlocal base, count, texts
-            w, h = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            d = np.concatenate([x[2] for x in held])
-            ids = [i for x in held for i in x[3]]
-            train = np.concatenate([x[4] for x in held])
-            key = mix(w)
-            if len(hot):
-                common = hot[np.minimum(np.searchsorted(hot, w), len(hot) - 1)] == w
-                key = np.where(common, mix(w ^ mix(h)), key)
-            b = (key % U(buckets)).astype(np.int32)
-            order = np.lexsort((h, w, b))
-            w, h, d, b = w[order], h[order], d[order], b[order]
-            new_b = np.concatenate([[True], b[1:] != b[:-1]])
-            new_w = new_b | np.concatenate([[True], w[1:] != w[:-1]])
-            new_p = new_w | np.concatenate([[True], h[1:] != h[:-1]])
-            pairs = np.flatnonzero(new_p)
-            nh = np.diff(np.concatenate([pairs, [len(w)]])).astype(np.uint32)
-            words = np.flatnonzero(new_w[pairs])
-            nw = np.diff(np.concatenate([words, [len(pairs)]])).astype(np.uint32)
-            w, h = w[pairs[words]], h[pairs]
-            rows = []
-            at = np.flatnonzero(new_b)
-            word_at = np.searchsorted(pairs[words], np.concatenate([at, [len(d)]]))
-            pair_at = np.searchsorted(pairs, np.concatenate([at, [len(d)]]))
-            token_at = np.concatenate([at, [len(d)]])
-            bits = pack(np.packbits(train))
-            size = np.bincount(np.concatenate([x[2] for x in held]), minlength=len(train))
-            own = int(base >> 3) % len(at)
-            for k in range(len(at)):
-                ws, ps, ts = slice(word_at[k], word_at[k + 1]), slice(pair_at[k], pair_at[k + 1]), slice(token_at[k], token_at[k + 1])
-                listed = [pack(np.array([i or 0 for i in ids], np.int64)), pack(size.astype(np.int64)), pack(np.array([i is None for i in ids]))] if k == own else [None] * 3
-                rows.append([int(b[at[k]]), base, bits, pack(w[ws]), pack(nw[ws]), pack(h[ps]), pack(nh[ps]), pack(d[ts].astype(np.uint32)), *listed])
-            base += len(train)
-            held.clear()
-            count = texts = 0
-            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 9]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in BLOB.split(", ")])
-
-        for batch in batches:
-            ids, out = batch.column(0).to_pylist(), np.array(batch.column(2).to_pylist(), bool)
-            for begin, part in chunks(batch.column(1).to_pylist()):
-                w, h, d = tokens_of(part)
-                held.append((w, h, d + texts, ids[begin : begin + len(part)], ~out[begin : begin + len(part)]))
-                count, texts = count + len(w), texts + len(part)
-                if count > BLOCK:
-                    yield flush()
-        if held:
-            yield flush()
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, BLOB)
+def pair_rows(known: DataFrame, hot: list[int], texts: int) -> DataFrame:
+    """(block, h, w, n, c): pairs with a hot first word, their training tokens in the block, and the count of w."""
+    frequent = np.array(sorted(hot), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in each_block(batches):
+            number, count = b.numbered(texts)
+            _, h = b.contexts()
+            at = np.flatnonzero(np.isin(number, frequent)[h])
+            pairs, inverse = np.unique(h[at] * len(number) + b.ids[at], return_inverse=True)
+            n = np.bincount(inverse, ~b.held[b.doc[at]], minlength=len(pairs)).astype(np.int64)
+            w = pairs % len(number)
+            cols = [np.full(len(pairs), b.block), number[pairs // len(number)], number[w], n, count[w]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["block", "h", "w", "n", "c"])
+
+    return known.mapInArrow(run, "block long, h long, w long, n long, c long")
 
 
-#: Rows of four kinds: 0 sums of a text (key), 1 parts of a context (key), 2 tokens of a text (other) that back off from
-#: a context (key), 3 numbers of pairs (other) seen key times, 4 a text with its id (other), size (m1) and train (m2).
-PARTS = "kind int, key long, other long, x double, y double, m1 long, m2 long, m3 long, m4 long, m5 long"
+#: words: global numbers, and n their counts; contexts: code g * words + h of local words by h, g; each: trigrams of a context; w: their last words; both:
+#: count of (h, w) where h is hot; context_count: where the context is hot; docs: entries of a trigram; doc, times: the entries.
+PIECES = "bucket int, block long, held binary, words binary, n binary, g binary, h binary, each binary, w binary, both binary, context_count binary, docs binary, doc binary, times binary"
+PIECE_NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
-def count_and_score(blobs: DataFrame, unigrams: Unigrams, hot_words: np.ndarray, hot_counts: np.ndarray) -> DataFrame:
-    order = np.argsort(hot_words)
-    hot, hot_c = hot_words[order], hot_counts[order]
+def dealt(known: DataFrame, buckets: int, hot: list[int], texts: int, hot_count: int) -> DataFrame:
+    """The trigrams of each block with their documents, dealt out to the buckets of their middle words."""
+    frequent = np.array(sorted(hot), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in each_block(batches):
+            number, count = b.numbered(texts)
+            m = len(number)
+            g, h = b.contexts()
+            context = h * m + g
+            pair_keys = pair_values = np.zeros(0, np.int64)
+            if "pairs" in b.lists:
+                by_number = np.argsort(number)
+                first, second, pair_values = b.lists["pairs"]
+                pair_keys = by_number[np.searchsorted(number, first, sorter=by_number)] * m + by_number[np.searchsorted(number, second, sorter=by_number)]
+                at = np.argsort(pair_keys)
+                pair_keys, pair_values = pair_keys[at], pair_values[at]
+
+            def looked_up(first: np.ndarray, second: np.ndarray, m=m, keys=pair_keys, values=pair_values) -> np.ndarray:
+                if not len(keys):
+                    return np.zeros(len(first), np.int64)
+                code = first * m + second
+                at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+                return np.where(keys[at] == code, values[at], 0)
+
+            key = spread(number)[h]
+            if len(frequent):
+                is_hot = np.isin(number, frequent)
+                far = is_hot[h]
+                key = np.where(far, spread(key + number[g].astype(np.uint64)), key)
+                seen = looked_up(g, h)
+                seen = np.where((g == START) & (h == START), texts, seen)
+                key = np.where(far & (seen > hot_count), spread(key + number[b.ids].astype(np.uint64)), key)
+            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            # Tokens are in order of documents, which a stable sort keeps.
+            if m**3 * buckets < 1 << 63:
+                order = np.argsort((bucket * m * m + context) * m + b.ids, kind="stable")
+            else:
+                order = np.lexsort((b.ids, context, bucket))
+            bucket, context, w, doc = bucket[order], context[order], b.ids[order], b.doc[order]
+            entry = np.flatnonzero(heads(bucket, context, w, doc))
+            times = np.diff(np.append(entry, len(w)))
+            bucket, context, w, doc = bucket[entry], context[entry], w[entry], doc[entry]
+            edges = np.flatnonzero(heads(bucket))
+            rows = []
+            for lo, hi in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
+                co, wo = context[lo:hi], w[lo:hi]
+                tri = np.flatnonzero(heads(co, wo))
+                docs = np.diff(np.append(tri, hi - lo))
+                co, wo = co[tri], wo[tri]
+                ctx = np.flatnonzero(heads(co))
+                each = np.diff(np.append(ctx, len(co)))
+                both = looked_up(co // m, wo)
+                co = co[ctx]
+                hh, gg = co // m, co % m
+                seen = looked_up(gg, hh)
+                seen = np.where(seen > hot_count, seen, 0)
+                if len(frequent):
+                    seen = np.where((gg == START) & (hh == START) & (texts > hot_count), texts, seen)
+                used = np.unique(np.concatenate([hh, gg, wo]))
+                used = used[np.argsort(number[used])]
+                place = np.zeros(m, np.int64)
+                place[used] = np.arange(len(used))
+                cols = [pack(b.held), pack(np.diff(number[used], prepend=0)), pack(count[used]), pack(place[gg]), pack(place[hh]), pack(each), pack(place[wo]), pack(both), pack(seen), pack(docs), pack(doc[lo:hi]), pack(times[lo:hi])]
+                rows.append((int(bucket[lo]), b.block, *cols))
+            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 12]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], PIECE_NAMES)
+
+    return known.mapInArrow(run, PIECES)
+
+
+#: One row of n-gram tables for each bucket; ``types2`` and ``types3`` count bigrams and trigrams by count.
+GRAMS = "bucket int, words binary, n binary, g binary, h binary, context_count binary, context binary, w binary, both binary, c3 binary, docs binary, blocks binary, block binary, doc binary, times binary, types2 array<long>, types3 array<long>, has_hot boolean"
+GRAM_NAMES = [c.split()[0] for c in GRAMS.split(", ")]
+
+
+def count_grams(pieces: DataFrame) -> DataFrame:
+    """``GRAMS`` of every bucket: pieces put together, counts of the training texts added up."""
 
     def run(table: pa.Table) -> pa.Table:
-        import zstandard
+        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        bucket = rows[0]["bucket"]
+        parts = defaultdict(list)
+        ids = np.array(sorted({r["block"] for r in rows}), np.int64)
+        for r in rows:
+            x = {n: unpack(r[n]) for n in PIECE_NAMES[2:]}
+            number = np.cumsum(x["words"])
+            held = x["held"].astype(bool)
+            tri = np.repeat(np.arange(len(x["w"])), x["docs"])
+            parts["number"].append(number)
+            parts["count"].append(x["n"])
+            ctx = np.repeat(np.arange(len(x["g"])), x["each"])
+            parts["g"].append(number[x["g"]][ctx])
+            parts["h"].append(number[x["h"]][ctx])
+            parts["seen"].append(x["context_count"][ctx])
+            parts["w"].append(number[x["w"]])
+            parts["both"].append(x["both"])
+            parts["n"].append(np.bincount(tri, x["times"] * ~held[x["doc"]], minlength=len(x["w"])).astype(np.int64))
+            parts["docs"].append(x["docs"])
+            parts["block"].append(np.full(len(x["doc"]), np.searchsorted(ids, r["block"]), np.int64))
+            parts["doc"].append(x["doc"])
+            parts["times"].append(x["times"])
+        rows.clear()
+        p = {n: np.concatenate(v) for n, v in parts.items()}
+        parts.clear()
+        words, at = np.unique(p.pop("number"), return_index=True)
+        count = p.pop("count")[at]
+        m = len(words)
+        code = np.searchsorted(words, p.pop("h")) * m + np.searchsorted(words, p.pop("g"))
+        contexts, at, ctx = np.unique(code, return_index=True, return_inverse=True)
+        seen = p.pop("seen")[at]
+        tris, at, tri = np.unique(ctx * m + np.searchsorted(words, p.pop("w")), return_index=True, return_inverse=True)
+        both = p.pop("both")[at]
+        c3 = np.bincount(tri, p.pop("n"), minlength=len(tris)).astype(np.int64)
+        entry = np.repeat(tri, p.pop("docs"))
+        order = np.argsort(entry, kind="stable")  # by block and document within
+        context, w = tris // m, tris % m
+        g, h = contexts % m, contexts // m
+        c2, pair, _ = pairs_of(h[context] * m + w, c3, both)
+        first = np.zeros(len(c2), np.int64)
+        first[pair] = both
+        local = c2[(first == 0) & (c2 > 0)]  # pairs behind hot words are counted elsewhere
+        types = lambda c: np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2].tolist()
+        cols = [np.diff(words, prepend=0), count, g, h, seen, np.diff(context, prepend=0), w, both, c3, np.bincount(entry, minlength=len(tris)), np.diff(ids, prepend=0), p["block"][order], p["doc"][order], p["times"][order]]
+        row = [bucket, *map(pack, cols), types(local), types(c3[c3 > 0]), bool((seen > 0).any())]
+        kinds = [pa.int32(), *[pa.binary()] * 14, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_()]
+        return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], GRAM_NAMES)
+
+    return pieces.groupBy("bucket").applyInArrow(run, GRAMS)
+
+
+def pairs_of(code: np.ndarray, c3: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The count of each different (h, w), the place of each trigram's pair, and the pairs."""
+    pairs, pair = np.unique(code, return_inverse=True)
+    c2 = np.bincount(pair, c3, minlength=len(pairs)).astype(np.int64)
+    known = np.zeros(len(pairs), np.int64)
+    known[pair] = both
+    return np.where(known > 0, known, c2), pair, pairs
+
+
+class Grams:
+    """The tables of one bucket with probabilities under a model."""
+
+    def __init__(self, row: dict, model: Model) -> None:
+        x = {n: unpack(row[n]) for n in GRAM_NAMES[1:15]}
+        self.x, self.model = x, model
+        self.words = np.cumsum(x["words"])
+        self.count, self.g, self.h, self.w, self.c3 = x["n"], x["g"], x["h"], x["w"], x["c3"]
+        self.context = np.cumsum(x["context"])
+        m = len(self.words)
+        self.c2, self.pair, pairs = pairs_of(self.h[self.context] * m + self.w, self.c3, x["both"])
+        self.pair_h, self.pair_w = pairs // m, pairs % m
+        local = np.bincount(self.context, self.c3, minlength=len(self.g)).astype(np.int64)
+        self.context_count = np.where(x["context_count"] > 0, x["context_count"], local)
+        self.p1 = model.unigrams.of(self.count)
+        self.weights()
+
+    def weights(self) -> None:
+        """p2 and p3 of what was seen, and what each context and each middle word passes on."""
+        m, d2, d3 = self.model, self.model.d2, self.model.d3
+        size = len(self.words)
+        cut = np.where(self.c2 > 0, (1 - d2.of(self.c2)) * self.c2, 0.0)
+        total = self.count[self.pair_h].astype(float)
+        left = np.bincount(self.pair_h, cut, minlength=size)
+        for_h = np.maximum(self.count, 1).astype(float)
+        hot = np.flatnonzero(np.isin(self.words, list(m.weight)))
+        bare = left == 0
+        bare[hot] = [m.weight[int(self.words[i])][1] for i in hot]
+        self.p2 = np.where(self.c2 > 0, d2.of(self.c2) * self.c2 / np.maximum(total + bare[self.pair_h], 1), 0.0)
+        free = np.where(bare, 1.0, left) / (for_h + bare)
+        rest = 1 - np.bincount(self.pair_h, np.where(self.c2 > 0, self.p1[self.pair_w], 0.0), minlength=size)
+        self.weight = free / np.maximum(rest, 1e-300)
+        self.weight[hot] = [m.weight[int(self.words[i])][0] for i in hot]
+        n = len(self.g)
+        cut = np.where(self.c3 > 0, (1 - d3.of(self.c3)) * self.c3, 0.0)
+        self.left3 = np.bincount(self.context, cut, minlength=n)
+        self.seen2 = np.bincount(self.context, np.where(self.c3 > 0, self.p2[self.pair], 0.0), minlength=n)
+        bare = self.left3 == 0
+        self.spread = self.x["context_count"] > 0
+        given = {}
+        for i in np.flatnonzero(self.spread):
+            given[i] = m.context_weight.get((int(self.words[self.g[i]]), int(self.words[self.h[i]])), (1.0, False))
+            bare[i] = given[i][1]
+        total = self.context_count.astype(float) + bare
+        self.p3 = np.where(self.c3 > 0, d3.of(self.c3) * self.c3 / np.maximum(total[self.context], 1), 0.0)
+        self.context_weight = np.where(bare, 1.0, self.left3) / np.maximum(total, 1) / np.maximum(1 - self.seen2, 1e-300)
+        for i, (a, _) in given.items():
+            self.context_weight[i] = a
+
+    def logs(self) -> np.ndarray:
+        """log10 P(w | g h) of every trigram, by recursion through the shorter contexts."""
+        h = self.h[self.context]
+        low = np.where(self.count[h] > 0, self.weight[h], 1.0) * self.p1[self.w]
+        low = np.where(self.c2[self.pair] > 0, self.p2[self.pair], low)
+        low = np.where(self.context_count[self.context] > 0, self.context_weight[self.context], 1.0) * low
+        return np.log10(np.where(self.c3 > 0, self.p3, low))
+
+
+def hot_sums(grams: DataFrame, model: Model) -> DataFrame:
+    """(g, h, total, left, seen): what each bucket has of the contexts that are spread over buckets."""
 
-        un = lambda raw, t: np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), t)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                t = Grams(row, model)
+                at = np.flatnonzero(t.spread)
+                cols = [t.words[t.g[at]], t.words[t.h[at]], t.context_count[at], t.left3[at], t.seen2[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["g", "h", "total", "left", "seen"])
+
+    rows = grams.where("has_hot").mapInArrow(run, "g long, h long, total long, left double, seen double")
+    return rows.groupBy("g", "h").agg(F.max("total").alias("total"), F.sum("left").alias("left"), F.sum("seen").alias("seen"))
+
+
+PARTS = "block long, doc binary, x binary, doc_id binary, no_id binary, held binary, sizes binary, known binary"
+PART_NAMES = [c.split()[0] for c in PARTS.split(", ")]
+
+
+def evaluated(grams: DataFrame, model: Model) -> DataFrame:
+    """Sums of log10 probabilities by document, one row for each bucket and block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                t = Grams(row, model)
+                x = t.x
+                value = np.repeat(t.logs(), x["docs"]) * x["times"]
+                ids = np.cumsum(x["blocks"])
+                most = int(x["doc"].max(initial=0)) + 1
+                keys, inverse = np.unique(x["block"] * most + x["doc"], return_inverse=True)
+                sums = np.bincount(inverse, value, minlength=len(keys))
+                block, doc = keys // most, keys % most
+                edges = np.append(np.flatnonzero(heads(block)), len(block))
+                out = [(int(ids[block[lo]]), pack(doc[lo:hi]), pack(sums[lo:hi]), *[None] * 5) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), *[pa.binary()] * 7], strict=True)], PART_NAMES)
+
+    return grams.mapInArrow(run, PARTS)
+
+
+def own_rows(known: DataFrame, model: Model) -> DataFrame:
+    """One row for each block with its documents: ids, sizes, known tokens and the base sum as ``x``."""
+    texts = model.texts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in each_block(batches):
+            _, count = b.numbered(texts)
+            c = count[b.ids]
+            base, hits = (np.bincount(b.doc, v, minlength=len(b.sizes)) for v in (np.log10(c + 1.0), c > 0))
+            row = [b.block, None, pack(base), b.row["doc_id"], b.row["no_id"], b.row["held"], b.row["sizes"], pack(hits.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64(), *[pa.binary()] * 7], strict=True)], PART_NAMES)
+
+    return known.mapInArrow(run, PARTS)
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def put_together(parts: DataFrame, model: Model) -> DataFrame:
+    """The scores of all documents of each block."""
+    tokens, log_v = model.tokens, np.log10(model.tokens + model.types + 1)
+
+    def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        w, h, nh, tokens, n_train, bases, listed = [], [], [], [], [], [], []
-        for r in rows:
-            ww, nw = un(r["w"], np.uint64), un(r["nw"], np.uint32)
-            d, n = un(r["d"], np.uint32).astype(np.int64), un(r["nh"], np.uint32).astype(np.int64)
-            train = np.unpackbits(un(r["train"], np.uint8)).astype(np.int64)
-            start = np.cumsum(n) - n
-            w.append(np.repeat(ww, nw))
-            h.append(un(r["h"], np.uint64))
-            nh.append(n)
-            tokens.append(d)
-            n_train.append(np.add.reduceat(train[d], start))
-            bases.append(r["base"])
-            if r["doc_id"] is not None:
-                ids, size, none = un(r["doc_id"], np.int64), un(r["size"], np.int64), un(r["null_id"], bool)
-                listed.append((r["base"] + np.arange(len(ids)), ids, size, train[: len(ids)], none))
-        pw, ph, pn = np.concatenate(w), np.concatenate(h), np.concatenate(n_train)
-        order = np.lexsort((ph, pw))
-        sw, sh = pw[order], ph[order]
-        new_w = np.concatenate([[True], sw[1:] != sw[:-1]])
-        new = new_w | np.concatenate([[True], sh[1:] != sh[:-1]])
-        group = np.cumsum(new) - 1
-        at = np.flatnonzero(new)
-        r_of = np.add.reduceat(pn[order], at)
-        h_of, w_of = sh[at], sw[at]
-        word_at = np.flatnonzero(new_w[at])
-        c_of = np.repeat(np.add.reduceat(r_of, word_at), np.diff(np.concatenate([word_at, [len(at)]])))
-        if len(hot):
-            k = np.minimum(np.searchsorted(hot, w_of), len(hot) - 1)
-            c_of = np.where(hot[k] == w_of, hot_c[k], c_of)
-        p_of = unigrams.of(c_of)
-        local = np.where(r_of > 0, np.log10(np.maximum(r_of, 1)), np.log10(p_of))
-        base_of = np.log10(c_of + 1.0)
-        back = np.empty(len(order), np.int64)
-        back[order] = group
-        out: list[list[np.ndarray]] = []
-        zero = lambda n: np.zeros(n, np.int64)
-
-        def add(kind, key, other=None, x=None, y=None, m=None) -> None:
-            n = len(key)
-            out.append([np.full(n, kind, np.int32), key.astype(np.int64) if key.dtype != np.uint64 else key.view(np.int64), zero(n) if other is None else other, np.zeros(n) if x is None else x, np.zeros(n) if y is None else y, *(m or [zero(n)] * K)])
-
-        p0 = 0
-        for n, d, b in zip(nh, tokens, bases, strict=True):
-            g = np.repeat(back[p0 : p0 + len(n)], n)
-            p0 += len(n)
-            docs, i = np.unique(d, return_inverse=True)
-            r = r_of[g]
-            many = lambda v, i=i, k=len(docs): np.bincount(i, v, minlength=k)
-            m = [many(r == k).astype(np.int64) for k in range(1, K + 1)]
-            add(0, docs + b, many(c_of[g] > 0).astype(np.int64), many(local[g]), many(base_of[g]), m)
-            off = np.flatnonzero(r == 0)
-            if len(off):
-                hh, dd = h_of[g[off]], d[off]
-                o = np.lexsort((dd, hh))
-                hh, dd = hh[o], dd[o]
-                s = np.flatnonzero(np.concatenate([[True], (hh[1:] != hh[:-1]) | (dd[1:] != dd[:-1])]))
-                add(2, hh[s].copy(), dd[s] + b, m=[np.diff(np.concatenate([s, [len(hh)]])), *[zero(len(s))] * (K - 1)])
-        seen = r_of > 0
-        if seen.any():
-            contexts, i = np.unique(h_of[seen], return_inverse=True)
-            many = lambda v: np.bincount(i, v, minlength=len(contexts))
-            add(1, contexts, x=many(p_of[seen]), m=[many(r_of[seen] == k).astype(np.int64) for k in range(1, K + 1)])
-            add(3, np.arange(1, K + 2), np.bincount(np.minimum(r_of[seen], K + 2), minlength=K + 3)[1 : K + 2])
-        for mid, ids, size, train, none in listed:
-            add(4, mid, ids, m=[size, train, none.astype(np.int64), *[zero(len(ids))] * (K - 3)])
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return pa.Table.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in PARTS.split(", ")])
-
-    return blobs.groupBy("bucket").applyInArrow(run, PARTS)
-
-
-def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
+        own = next(r for r in rows if r["sizes"] is not None)
+        size = unpack(own["sizes"])
+        score = np.zeros(len(size))
+        # Always in the same order, so that sums come out alike in every run.
+        for d, x in sorted((r["doc"], r["x"]) for r in rows if r["doc"] is not None):
+            score[unpack(d)] += unpack(x)
+        ids = pa.array(np.frombuffer(own["doc_id"], np.int64), mask=unpack(own["no_id"]).astype(bool))
+        cols = [ids, pa.array(unpack(own["held"]).astype(bool)), pa.array(size), pa.array(unpack(own["known"])), pa.array(np.full(len(size), tokens)), pa.array(unpack(own["x"]) - size * log_v), pa.array(score)]
+        return pa.Table.from_arrays(cols, [c.split()[0] for c in SCORES.split(", ")])
+
+    return parts.groupBy("block").applyInArrow(run, SCORES)
+
+
+@dataclass
+class Tables:
+    """The model and its tables: ``words`` (name, number, c), ``blocks``, ``grams``, and ``pairs`` (h, w, c2, c) or None."""
+
+    model: Model
+    words: Stored
+    blocks: Stored
+    grams: Stored
+    pairs: Stored | None
+
+    def drop(self) -> None:
+        for t in (self.words, self.blocks, self.grams, self.pairs):
+            if t is not None:
+                t.drop()
+
+
+def hot_weights(pairs: DataFrame, model: Model, count: dict[int, int]) -> dict[int, tuple[float, bool]]:
+    """The backoff weight of each hot word, and whether none of its counts is discounted; one row a word."""
+    u, d2 = model.unigrams, model.d2
+    by = lambda d, c: F.element_at(F.array(*(F.lit(float(x)) for x in d[1:])), F.least(F.greatest(F.col(c), F.lit(1)), F.lit(K)).cast("int"))
+    p1 = F.when(F.col("c") <= K, by(u.discounts.d, "c")).otherwise(1.0) * F.col("c") * (u.scale / max(u.tokens, 1))
+    cut = F.when(F.col("c2") <= K, (1 - by(d2.d, "c2")) * F.col("c2")).otherwise(0.0)
+    rows = pairs.where("c2 > 0").groupBy("h").agg(F.sum(cut).alias("left"), F.sum(p1).alias("seen")).collect()
+    out = {}
+    for r in rows:
+        bare = r["left"] == 0
+        out[r["h"]] = ((1.0 if bare else r["left"]) / (count[r["h"]] + bare) / max(1 - r["seen"], 1e-300), bare)
+    return out
+
+
+def fit(docs: DataFrame, held_out: Column, bucket: int | None = None, hot_count: int | None = None) -> Tables:
+    """Count the n-grams of the rows where ``held_out`` is not true and store them, with the tokens of all rows."""
+    spark = docs.sparkSession
+    bucket, hot_count = bucket or BUCKET, hot_count or HOT
+    small_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    texts = Stored(blocks(docs))
+    arrow_rows(spark, 1)  # a row is a block from here on
+    seen = Stored(word_rows(texts.df))
+    arrow_rows(spark, 1)
+    counted = seen.df.groupBy("ends", "name").agg(F.sum("n").alias("c")).select("ends", "name", "c", F.monotonically_increasing_id().alias("at"))
+    words = Stored(counted)
+    # Dense numbers from the partition and the place within it; 0 is what stands before a text.
+    partitions = words.df.agg(F.max(F.shiftright("at", 33))).first()[0]
+    dense = (F.col("at").bitwiseAND((1 << 33) - 1) * ((partitions or 0) + 1) + F.shiftright("at", 33) + 1).alias("number")
+    numbered = words.df.select("ends", "name", dense, "c")
+    release(spark)
+    total = words.df.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.max(F.when(F.col("ends"), F.col("c"))).alias("texts")).first()
+    n, v, n_texts = total.n or 0, total.v, total.texts or 0
+    types = {r.c: r.n for r in words.df.where(F.col("c").between(1, K + 1)).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    model = Model(n, v, n_texts, Unigrams(n, types))
+    # Each has more than hot_count of the tokens, which bounds their number.
+    hot = {r.number: r.c for r in numbered.where((F.col("c") > hot_count) & ~F.col("ends")).collect()}
+    if n_texts > hot_count:
+        hot[START_ID] = n_texts
+    listed = seen.df.join(numbered, ["ends", "name"]).groupBy("block").agg(F.collect_list(F.struct("local", "number", "c")).alias("known"))
+    known = Stored(texts.df.drop("names").join(listed, "block"))
+    texts.drop()
+    seen.drop()
+    release(spark)
+    pairs, of_blocks = None, known.df.withColumn("pairs", F.lit(None).cast("array<struct<h:bigint,w:bigint,c2:bigint>>"))
+    if hot:
+        found = Stored(pair_rows(known.df, list(hot), n_texts))
+        pairs = Stored(found.df.groupBy("h", "w").agg(F.sum("n").alias("c2"), F.max("c").alias("c")))
+        by_block = Stored(found.df.select("block", "h", "w").join(pairs.df, ["h", "w"]).groupBy("block").agg(F.collect_list(F.struct("h", "w", "c2")).alias("pairs")))
+        found.drop()
+        release(spark)
+        of_blocks = known.df.join(by_block.df, "block", "left")
+    buckets = max(BUCKETS, -(-n // bucket))
+    grams = Stored(count_grams(dealt(of_blocks, buckets, list(hot), n_texts, hot_count)))
+    if hot:
+        by_block.drop()
+    release(spark)
+    by_count = lambda name, df: {r.pos + 1: r.n for r in df.select(F.posexplode(name).alias("pos", "n")).groupBy("pos").agg(F.sum("n").alias("n")).collect()}
+    types2 = by_count("types2", grams.df)
+    if pairs is not None:
+        for r in pairs.df.where(F.col("c2").between(1, K + 1)).groupBy("c2").agg(F.count(F.lit(1)).alias("n")).collect():
+            types2[r.c2] = types2.get(r.c2, 0) + r.n
+    model.d2, model.d3 = Discounts(types2), Discounts(by_count("types3", grams.df))
+    if pairs is not None:
+        model.weight = hot_weights(pairs.df, model, hot)
+        for r in hot_sums(grams.df, model).collect():
+            bare = r["left"] == 0
+            model.context_weight[r.g, r.h] = ((1.0 if bare else r["left"]) / (r.total + bare) / max(1 - r.seen, 1e-300), bare)
+    return Tables(model, words, known, grams, pairs)
+
+
+def ngrams(tables: Tables) -> DataFrame:
+    """(g, h, w, c, p, weight): every trigram seen, by numbers of words, with its count and probability, and the weight of its context."""
+    model = tables.model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                t = Grams(row, model)
+                k = np.flatnonzero(t.c3 > 0)
+                c = t.context[k]
+                cols = [t.words[t.g[c]], t.words[t.h[c]], t.words[t.w[k]], t.c3[k], t.p3[k], t.context_weight[c]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["g", "h", "w", "c", "p", "weight"])
+
+    return tables.grams.df.mapInArrow(run, "g long, h long, w long, c long, p double, weight double")
+
+
+def score_documents(docs: DataFrame, held_out: Column, bucket: int | None = None, hot_count: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     The model is trained on the rows where ``held_out`` is not true (null counts as not). Texts that are null count as
     empty: they have the end token only. Repeated rows are repeated texts, and null ids stay null. Without training
-    texts every token is unknown and has probability one.
+    texts every token is unknown and has probability one. An empty table gives an empty result; columns other than
+    doc_id and text are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    docs = prepared(docs, held_out)
-    counts = Stored(unigram_counts(docs))
-    total = counts.df.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = total.n or 0, total.v
-    types = {r.c: r.n for r in counts.df.where(F.col("c") <= K + 1).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    hot = counts.df.where(F.col("c") > n * HOT).collect()  # 20,000 rows at most
-    counts.drop()
+    tables = fit(docs, held_out, bucket, hot_count)
+    parts = Stored(evaluated(tables.grams.df, tables.model).unionByName(own_rows(tables.blocks.df, tables.model)))
+    model = tables.model
+    tables.drop()
     release(spark)
-    hot_w, hot_c = np.array([r.w for r in hot], np.int64).view(np.uint64), np.array([r.c for r in hot], np.int64)
-    unigrams = Unigrams(n, types)
-    parts = Stored(count_and_score(dealt(docs, max(BUCKETS, -(-n // BUCKET)), hot_w), unigrams, hot_w, hot_c))
-    release(spark)
-    of = lambda k: parts.df.where(F.col("kind") == k)
-    discounts = Discounts({r.key: r.n for r in of(3).groupBy("key").agg(F.sum("other").alias("n")).collect()})
-    left = sum((F.col(f"m{r}") * float((1 - discounts.d[r]) * r) for r in range(1, K + 1)), F.lit(0.0))
-    contexts = of(1).select("key", left.alias("left"), "x").groupBy("key").agg(F.sum("left").alias("left"), F.sum("x").alias("x"))
-    weight = F.log10((1 + F.col("left")) / (1 - F.col("x")))
-    backed = of(2).select("key", F.col("other").alias("mid"), "m1").join(contexts, "key").groupBy("mid").agg(F.sum(F.col("m1") * weight).alias("backed"))
-    discounted = sum((F.col(f"m{r}") * math.log10(discounts.d[r]) for r in range(1, K + 1)), F.lit(0.0))
-    sums = of(0).select(F.col("key").alias("mid"), "other", "y", (F.col("x") + discounted - F.col("y")).alias("x")).groupBy("mid").agg(F.sum("other").alias("n_known"), F.sum("x").alias("x"), F.sum("y").alias("y"))
-    texts = of(4).select(F.col("key").alias("mid"), F.when(F.col("m3") == 0, F.col("other")).alias("doc_id"), (F.col("m2") == 0).alias("held_out"), F.col("m1").alias("n_tokens"))
-    out = texts.join(sums, "mid").join(backed, "mid", "left")
-    return out.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("y") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"), (F.col("x") + F.coalesce("backed", F.lit(0.0))).alias("score"),
-    )
+    small_batches(spark)
+    out = Stored(put_together(parts.df, model))
+    parts.drop()
+    return out.df
 
 
 HELD_OUT = "crc32(cast(cast(doc_id as string) as binary)) % 7 = 2"
