@@ -126,13 +126,14 @@ def spread(a: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BLOCKS = "block long, ids binary, sizes binary, doc_id binary, no_id binary, held binary, names binary"
+BLOCKS = "block long, ids binary, sizes binary, doc_id binary, no_id binary, held binary, names binary, n_names long"
 
 
 def blocks(docs: DataFrame) -> DataFrame:
     """The texts of ``docs`` (doc_id, text, held_out) as numbers of words, in blocks of about ``BLOCK`` tokens.
 
-    ids are the local numbers of all tokens, ``END`` after each text; names the 64-bit hashes of the local words.
+    ids are the local numbers of all tokens, ``END`` after each text; names the 64-bit hashes of the local words, zero
+    for ``END`` and ``START``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +153,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             names = np.array([0, 0, *map(xxhash.xxh64_intdigest, number)], np.uint64)
             doc, none, held = zip(*rows, strict=True)
             cols = [pack(np.concatenate(parts)), pack(np.array([len(p) for p in parts])), np.array(doc, np.int64).tobytes(), pack(np.array(none)), pack(np.array(held)), names.tobytes()]
-            out = pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([c], pa.binary()) for c in cols)], [c.split()[0] for c in BLOCKS.split(", ")])
+            out = pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([c], pa.binary()) for c in cols), pa.array([len(names)])], [c.split()[0] for c in BLOCKS.split(", ")])
             number, count, block = fresh(), 0, block + 1
             parts.clear()
             rows.clear()
@@ -175,7 +176,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 
 class Block:
-    """The arrays of one row of ``blocks``; with ``number`` and ``count`` of the local words once they are known."""
+    """The arrays of one row of ``blocks`` or ``numbered_blocks``."""
 
     def __init__(self, row: dict, lists: dict[str, list[np.ndarray]]) -> None:
         self.block, self.lists = row["block"], lists
@@ -196,10 +197,8 @@ class Block:
 
     def numbered(self, texts: int) -> tuple[np.ndarray, np.ndarray]:
         """Global number and count of each local word."""
-        local, numbers, counts = self.lists["known"]
-        number, count = np.zeros(len(local) + 1, np.int64), np.zeros(len(local) + 1, np.int64)
-        number[local], count[local] = numbers, counts
-        number[START], count[START] = START_ID, texts
+        number, count = unpack(self.row["number"]), unpack(self.row["count"])
+        count[START] = texts
         return number, count
 
 
@@ -212,17 +211,84 @@ def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
             yield Block(row, {n: [v.field(i).to_numpy(zero_copy_only=False) for i in range(v.type.num_fields)] for n, v in listed.items() if v is not None})
 
 
-def word_rows(stored: DataFrame) -> DataFrame:
-    """(block, local, name, n): the words of each block and their training tokens there."""
+def word_order(names: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray]:
+    """The share of each local word but ``START``, and the local words in order of share and name."""
+    local = np.delete(np.arange(len(names)), START)
+    share = (names[local] % np.uint64(shares)).astype(np.int64)
+    order = np.lexsort((names[local], share))
+    return share[order], local[order]
+
+
+NUMBERED = "block long, ids binary, sizes binary, doc_id binary, no_id binary, held binary, number binary, count binary"
+NUMBERED_NAMES = [c.split()[0] for c in NUMBERED.split(", ")]
+
+
+def numbered_blocks(joined: DataFrame, shares: int) -> DataFrame:
+    """Blocks with the global number and the count of each local word in place of its name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in each_block(batches):
+            parts = sorted(zip(*b.lists["known"], strict=True))
+            names = np.frombuffer(b.row["names"], np.uint64)
+            cols = []
+            for i in (1, 2):
+                values = np.zeros(len(names), np.int64)
+                values[word_order(names, shares)[1]] = np.concatenate([unpack(p[i]) for p in parts])
+                cols.append(pack(values))
+            kept = [pa.array([b.row[n]], pa.int64() if n == "block" else pa.binary()) for n in NUMBERED_NAMES[:6]]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array([c], pa.binary()) for c in cols)], NUMBERED_NAMES)
+
+    return joined.mapInArrow(run, NUMBERED)
+
+
+def word_pieces(stored: DataFrame, shares: int) -> DataFrame:
+    """(share, block, names, n): the words of each block by share of names, with their training tokens there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in each_block(batches):
-            names = np.frombuffer(b.row["names"], np.int64)
+            names = np.frombuffer(b.row["names"], np.uint64)
             n = np.bincount(b.ids[~b.held[b.doc]], minlength=len(names))
-            local = np.array([END, *range(2, len(names))])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(local), b.block)), pa.array(local.astype(np.int32)), pa.array(names[local]), pa.array(local == END), pa.array(n[local])], ["block", "local", "name", "ends", "n"])
+            share, local = word_order(names, shares)
+            edges = np.append(np.flatnonzero(heads(share)), len(share))
+            rows = [(int(share[lo]), b.block, names[local[lo:hi]].tobytes(), pack(n[local[lo:hi]])) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["share", "block", "names", "n"])
+
+    return stored.mapInArrow(run, "share int, block long, names binary, n binary")
+
+
+#: Rows of two kinds: with a block, the numbers and counts of its words of a share; without, the words of the share
+#: themselves with names, statistics and the hot ones.
+WORDS = "share int, block long, names binary, number binary, c binary, tokens long, seen long, texts long, types array<long>, hot array<long>, hot_c array<long>"
+WORD_NAMES = [c.split()[0] for c in WORDS.split(", ")]
+WORD_KINDS = [pa.int32(), pa.int64(), *[pa.binary()] * 3, *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 3]
+
 
-    return stored.mapInArrow(run, "block long, local int, name long, ends boolean, n long")
+def types_of(c: np.ndarray) -> list[int]:
+    """How many of the counts are 1, 2, ... K + 1."""
+    return np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2].tolist()
+
+
+def count_words(pieces: DataFrame, shares: int, hot_count: int) -> DataFrame:
+    """``WORDS``: the count and a dense number of every word."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        share = rows[0]["share"]
+        parts = [np.frombuffer(r["names"], np.uint64) for r in rows]
+        names, at = np.unique(np.concatenate(parts), return_inverse=True)
+        c = np.bincount(at, np.concatenate([unpack(r["n"]) for r in rows]), minlength=len(names)).astype(np.int64)
+        number = np.arange(len(names)) * shares + share + 1
+        ends = names == 0
+        hot = np.flatnonzero((c > hot_count) & ~ends)
+        out = [(share, None, names.tobytes(), pack(number), pack(c), int(c.sum()), int((c > 0).sum()), int(c[ends].sum()), types_of(c[c > 0]), number[hot].tolist(), c[hot].tolist())]
+        done = 0
+        for r, p in zip(rows, parts, strict=True):
+            k = at[done : done + len(p)]
+            done += len(p)
+            out.append((share, r["block"], None, pack(number[k]), pack(c[k]), *[None] * 6))
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), WORD_KINDS, strict=True)], WORD_NAMES)
+
+    return pieces.groupBy("share").applyInArrow(run, WORDS)
 
 
 def pair_rows(known: DataFrame, hot: list[int], texts: int) -> DataFrame:
@@ -371,9 +437,8 @@ def count_grams(pieces: DataFrame) -> DataFrame:
         first = np.zeros(len(c2), np.int64)
         first[pair] = both
         local = c2[(first == 0) & (c2 > 0)]  # pairs behind hot words are counted elsewhere
-        types = lambda c: np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2].tolist()
         cols = [np.diff(words, prepend=0), count, g, h, seen, np.diff(context, prepend=0), w, both, c3, np.bincount(entry, minlength=len(tris)), np.diff(ids, prepend=0), p["block"][order], p["doc"][order], p["times"][order]]
-        row = [bucket, *map(pack, cols), types(local), types(c3[c3 > 0]), bool((seen > 0).any())]
+        row = [bucket, *map(pack, cols), types_of(local), types_of(c3[c3 > 0]), bool((seen > 0).any())]
         kinds = [pa.int32(), *[pa.binary()] * 14, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_()]
         return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], GRAM_NAMES)
 
@@ -526,7 +591,7 @@ def put_together(parts: DataFrame, model: Model) -> DataFrame:
 
 @dataclass
 class Tables:
-    """The model and its tables: ``words`` (name, number, c), ``blocks``, ``grams``, and ``pairs`` (h, w, c2, c) or None."""
+    """The model and its tables: ``words``, ``blocks``, ``grams``, and ``pairs`` (h, w, c2, c) or None."""
 
     model: Model
     words: Stored
@@ -554,6 +619,12 @@ def hot_weights(pairs: DataFrame, model: Model, count: dict[int, int]) -> dict[i
     return out
 
 
+def by_count(name: str, tables: DataFrame) -> dict[int, int]:
+    """Sums of the counts of counts in the arrays ``name``."""
+    rows = tables.select(F.posexplode(name).alias("pos", "n")).groupBy("pos").agg(F.sum("n").alias("n")).collect()
+    return {r.pos + 1: r.n for r in rows}
+
+
 def fit(docs: DataFrame, held_out: Column, bucket: int | None = None, hot_count: int | None = None) -> Tables:
     """Count the n-grams of the rows where ``held_out`` is not true and store them, with the tokens of all rows."""
     spark = docs.sparkSession
@@ -562,27 +633,22 @@ def fit(docs: DataFrame, held_out: Column, bucket: int | None = None, hot_count:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     texts = Stored(blocks(docs))
     arrow_rows(spark, 1)  # a row is a block from here on
-    seen = Stored(word_rows(texts.df))
-    arrow_rows(spark, 1)
-    counted = seen.df.groupBy("ends", "name").agg(F.sum("n").alias("c")).select("ends", "name", "c", F.monotonically_increasing_id().alias("at"))
-    words = Stored(counted)
-    # Dense numbers from the partition and the place within it; 0 is what stands before a text.
-    partitions = words.df.agg(F.max(F.shiftright("at", 33))).first()[0]
-    dense = (F.col("at").bitwiseAND((1 << 33) - 1) * ((partitions or 0) + 1) + F.shiftright("at", 33) + 1).alias("number")
-    numbered = words.df.select("ends", "name", dense, "c")
+    shares = max(BUCKETS, -(-(texts.df.agg(F.sum("n_names")).first()[0] or 0) // BLOCK))
+    found = Stored(count_words(word_pieces(texts.df, shares), shares, hot_count))
     release(spark)
-    total = words.df.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.max(F.when(F.col("ends"), F.col("c"))).alias("texts")).first()
-    n, v, n_texts = total.n or 0, total.v, total.texts or 0
-    types = {r.c: r.n for r in words.df.where(F.col("c").between(1, K + 1)).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    words = Stored(found.df.where("block is null"))
+    each = words.df.select("tokens", "seen", "texts", "types", "hot", "hot_c").agg(*(F.sum(c).alias(c) for c in ("tokens", "seen", "texts"))).first()
+    n, v, n_texts = each.tokens or 0, each.seen or 0, each.texts or 0
+    types = by_count("types", words.df)
     model = Model(n, v, n_texts, Unigrams(n, types))
     # Each has more than hot_count of the tokens, which bounds their number.
-    hot = {r.number: r.c for r in numbered.where((F.col("c") > hot_count) & ~F.col("ends")).collect()}
+    hot = {r.h: r.c for r in words.df.select(F.explode(F.arrays_zip("hot", "hot_c")).alias("x")).select(F.col("x.hot").alias("h"), F.col("x.hot_c").alias("c")).collect()}
     if n_texts > hot_count:
         hot[START_ID] = n_texts
-    listed = seen.df.join(numbered, ["ends", "name"]).groupBy("block").agg(F.collect_list(F.struct("local", "number", "c")).alias("known"))
-    known = Stored(texts.df.drop("names").join(listed, "block"))
+    listed = found.df.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("share", "number", "c")).alias("known"))
+    known = Stored(numbered_blocks(texts.df.join(listed, "block"), shares))
     texts.drop()
-    seen.drop()
+    found.drop()
     release(spark)
     pairs, of_blocks = None, known.df.withColumn("pairs", F.lit(None).cast("array<struct<h:bigint,w:bigint,c2:bigint>>"))
     if hot:
@@ -597,7 +663,6 @@ def fit(docs: DataFrame, held_out: Column, bucket: int | None = None, hot_count:
     if hot:
         by_block.drop()
     release(spark)
-    by_count = lambda name, df: {r.pos + 1: r.n for r in df.select(F.posexplode(name).alias("pos", "n")).groupBy("pos").agg(F.sum("n").alias("n")).collect()}
     types2 = by_count("types2", grams.df)
     if pairs is not None:
         for r in pairs.df.where(F.col("c2").between(1, K + 1)).groupBy("c2").agg(F.count(F.lit(1)).alias("n")).collect():
@@ -611,6 +676,17 @@ def fit(docs: DataFrame, held_out: Column, bucket: int | None = None, hot_count:
     return Tables(model, words, known, grams, pairs)
 
 
+def unigrams(tables: Tables) -> DataFrame:
+    """(name, number, c): the 64-bit hash, the number and the count of every word; the end of a text has name 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.select(["names", "number", "c"]).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["names"], np.int64)), pa.array(unpack(row["number"])), pa.array(unpack(row["c"]))], ["name", "number", "c"])
+
+    return tables.words.df.mapInArrow(run, "name long, number long, c long")
+
+
 def ngrams(tables: Tables) -> DataFrame:
     """(g, h, w, c, p, weight): every trigram seen, by numbers of words, with its count and probability, and the weight of its context."""
     model = tables.model

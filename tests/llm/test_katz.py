@@ -104,7 +104,7 @@ def test_stored_tables(spark, sf):
     docs = table(spark, sf, "documents").where("doc_id < 60")
     m = Brute(d.text for d in docs.collect() if not split([d])[d.doc_id])
     t = k.fit(docs, F.expr(k.HELD_OUT), hot_count=30)
-    assert sorted(r.c for r in t.words.df.where("c > 0").collect()) == sorted(m.counts[1].values())
+    assert sorted(r.c for r in k.unigrams(t).where("c > 0").collect()) == sorted(m.counts[1].values())
     rows = k.ngrams(t).collect()
     assert sorted(r.c for r in rows) == sorted(m.counts[3].values())
     assert sorted(round(r.p, 9) for r in rows) == sorted(round(m.p(g[:2], g[2]), 9) for g in m.counts[3])
