@@ -36,6 +36,8 @@ from laminara.llm.common import Stored, arrow_rows, read_table, release, small_b
 K = 5
 #: Tokens in a block of texts, tokens in a bucket (about), the least number of buckets, and the count of a hot word.
 BLOCK, BUCKET, BUCKETS, HOT = 1_000_000, 1_500_000, 12, 750_000
+#: Parts of the buckets that are dealt one after another, so that not all pieces lie on disk at once.
+PASSES = 2
 #: Local numbers of the end of a text and of what stands before its first word; the global number of the latter.
 END, START = 0, 1
 START_ID = 0
@@ -315,8 +317,11 @@ PIECES = "bucket int, block long, held binary, words binary, n binary, g binary,
 PIECE_NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
-def dealt(known: DataFrame, buckets: int, hot: list[int], texts: int, hot_count: int) -> DataFrame:
-    """The trigrams of each block with their documents, dealt out to the buckets of their middle words."""
+def dealt(known: DataFrame, buckets: int, hot: list[int], texts: int, hot_count: int, part: int, passes: int) -> DataFrame:
+    """The trigrams of each block with their documents, dealt out to the buckets of their middle words.
+
+    Only the buckets whose number gives ``part`` modulo ``passes``.
+    """
     frequent = np.array(sorted(hot), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,12 +354,16 @@ def dealt(known: DataFrame, buckets: int, hot: list[int], texts: int, hot_count:
                 seen = np.where((g == START) & (h == START), texts, seen)
                 key = np.where(far & (seen > hot_count), spread(key + number[b.ids].astype(np.uint64)), key)
             bucket = (key % np.uint64(buckets)).astype(np.int64)
+            here = np.flatnonzero(bucket % passes == part)
+            if not len(here):
+                continue
+            bucket, context, w, doc = bucket[here], context[here], b.ids[here], b.doc[here]
             # Tokens are in order of documents, which a stable sort keeps.
             if m**3 * buckets < 1 << 63:
-                order = np.argsort((bucket * m * m + context) * m + b.ids, kind="stable")
+                order = np.argsort((bucket * m * m + context) * m + w, kind="stable")
             else:
-                order = np.lexsort((b.ids, context, bucket))
-            bucket, context, w, doc = bucket[order], context[order], b.ids[order], b.doc[order]
+                order = np.lexsort((w, context, bucket))
+            bucket, context, w, doc = bucket[order], context[order], w[order], doc[order]
             entry = np.flatnonzero(heads(bucket, context, w, doc))
             times = np.diff(np.append(entry, len(w)))
             bucket, context, w, doc = bucket[entry], context[entry], w[entry], doc[entry]
@@ -589,6 +598,19 @@ def put_together(parts: DataFrame, model: Model) -> DataFrame:
     return parts.groupBy("block").applyInArrow(run, SCORES)
 
 
+class Several:
+    """Stored tables of one schema as one."""
+
+    def __init__(self, parts: list[Stored]) -> None:
+        self.parts, self.df = parts, parts[0].df
+        for p in parts[1:]:
+            self.df = self.df.unionByName(p.df)
+
+    def drop(self) -> None:
+        for p in self.parts:
+            p.drop()
+
+
 @dataclass
 class Tables:
     """The model and its tables: ``words``, ``blocks``, ``grams``, and ``pairs`` (h, w, c2, c) or None."""
@@ -596,7 +618,7 @@ class Tables:
     model: Model
     words: Stored
     blocks: Stored
-    grams: Stored
+    grams: Several
     pairs: Stored | None
 
     def drop(self) -> None:
@@ -657,12 +679,16 @@ def fit(docs: DataFrame, held_out: Column, bucket: int | None = None, hot_count:
         by_block = Stored(found.df.select("block", "h", "w").join(pairs.df, ["h", "w"]).groupBy("block").agg(F.collect_list(F.struct("h", "w", "c2")).alias("pairs")))
         found.drop()
         release(spark)
-        of_blocks = known.df.join(by_block.df, "block", "left")
-    buckets = max(BUCKETS, -(-n // bucket))
-    grams = Stored(count_grams(dealt(of_blocks, buckets, list(hot), n_texts, hot_count)))
-    if hot:
+        with_pairs = Stored(known.df.join(by_block.df, "block", "left"))
+        known.drop()
         by_block.drop()
-    release(spark)
+        release(spark)
+        known, of_blocks = with_pairs, with_pairs.df
+    buckets, done = max(BUCKETS, -(-n // bucket)), []
+    for part in range(PASSES):
+        done.append(Stored(count_grams(dealt(of_blocks, buckets, list(hot), n_texts, hot_count, part, PASSES))))
+        release(spark)
+    grams = Several(done)
     types2 = by_count("types2", grams.df)
     if pairs is not None:
         for r in pairs.df.where(F.col("c2").between(1, K + 1)).groupBy("c2").agg(F.count(F.lit(1)).alias("n")).collect():
