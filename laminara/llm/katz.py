@@ -15,7 +15,7 @@ Tables, all written to shared storage: ``words`` (one row for each word with a d
 lies in the bucket of h, a bucket holds its trigrams, its bigrams and the weights of its contexts, and a token is
 evaluated there, level by level. What goes to a bucket is counted by block of texts before: one entry for each
 different trigram and document. Words seen more than ``HOT`` times are dealt out by (g, h), and contexts seen as often by
-(g, h, w); the counts that are then spread over buckets come from a table ``pairs`` of the pairs behind such words.
+(g, h, w); the counts of the pairs behind such words, then spread over buckets, are made before and travel with the blocks.
 """
 
 from __future__ import annotations
@@ -221,12 +221,63 @@ def word_order(names: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray]:
     return share[order], local[order]
 
 
-NUMBERED = "block long, ids binary, sizes binary, doc_id binary, no_id binary, held binary, number binary, count binary"
+NUMBERED = "block long, ids binary, sizes binary, doc_id binary, no_id binary, held binary, number binary, count binary, pair binary, pair_count binary"
 NUMBERED_NAMES = [c.split()[0] for c in NUMBERED.split(", ")]
 
 
-def numbered_blocks(joined: DataFrame, shares: int) -> DataFrame:
-    """Blocks with the global number and the count of each local word in place of its name."""
+def hot_pairs(b: Block, hot: np.ndarray, start_hot: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a hot word and the next one: code of local words, number of training tokens, and 64-bit name; in order
+    of code."""
+    names = np.frombuffer(b.row["names"], np.uint64)
+    is_hot = np.isin(names.view(np.int64), hot)
+    is_hot[[END, START]] = False, start_hot
+    _, h = b.contexts()
+    at = np.flatnonzero(is_hot[h])
+    code, inverse = np.unique(h[at] * len(names) + b.ids[at], return_inverse=True)
+    n = np.bincount(inverse, ~b.held[b.doc[at]], minlength=len(code)).astype(np.int64)
+    first, second = code // len(names), code % len(names)
+    return code, n, spread(spread(names[first] + (first == START)) + names[second])
+
+
+def shared_order(name: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray]:
+    share = (name % np.uint64(shares)).astype(np.int64)
+    order = np.lexsort((name, share))
+    return share[order], order
+
+
+def pair_pieces(stored: DataFrame, shares: int, hot: np.ndarray, start_hot: bool) -> DataFrame:
+    """(share, block, names, n): the pairs of each block that ``hot_pairs`` gives, by share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in each_block(batches):
+            _, n, name = hot_pairs(b, hot, start_hot)
+            share, order = shared_order(name, shares)
+            edges = np.append(np.flatnonzero(heads(share)), len(share))
+            rows = [(int(share[lo]), b.block, name[order[lo:hi]].tobytes(), pack(n[order[lo:hi]])) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["share", "block", "names", "n"])
+
+    return stored.mapInArrow(run, "share int, block long, names binary, n binary")
+
+
+def count_pairs(pieces: DataFrame) -> DataFrame:
+    """(share, block, c, types): the counts of each block's pairs, and without a block the counts of counts of a share."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        parts = [np.frombuffer(r["names"], np.uint64) for r in rows]
+        names, at = np.unique(np.concatenate(parts), return_inverse=True)
+        c = np.bincount(at, np.concatenate([unpack(r["n"]) for r in rows]), minlength=len(names)).astype(np.int64)
+        edges = np.cumsum([0, *map(len, parts)])
+        out = [(r["share"], r["block"], pack(c[at[lo:hi]]), None) for r, lo, hi in zip(rows, edges[:-1], edges[1:], strict=True)]
+        out.append((rows[0]["share"], None, None, types_of(c[c > 0])))
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())], strict=True)], ["share", "block", "c", "types"])
+
+    return pieces.groupBy("share").applyInArrow(run, "share int, block long, c binary, types array<long>")
+
+
+def numbered_blocks(joined: DataFrame, shares: int, pair_shares: int, hot: np.ndarray, start_hot: bool) -> DataFrame:
+    """Blocks with the global number and the count of each local word in place of its name, and the counts of pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in each_block(batches):
@@ -237,6 +288,13 @@ def numbered_blocks(joined: DataFrame, shares: int) -> DataFrame:
                 values = np.zeros(len(names), np.int64)
                 values[word_order(names, shares)[1]] = np.concatenate([unpack(p[i]) for p in parts])
                 cols.append(pack(values))
+            code, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if b.lists.get("of_pairs"):
+                code, _, name = hot_pairs(b, hot, start_hot)
+                count = np.zeros(len(code), np.int64)
+                found = dict(zip(*b.lists["of_pairs"], strict=True))
+                count[shared_order(name, pair_shares)[1]] = np.concatenate([unpack(found[k]) for k in sorted(found)])
+            cols += [pack(np.diff(code, prepend=0)), pack(count)]
             kept = [pa.array([b.row[n]], pa.int64() if n == "block" else pa.binary()) for n in NUMBERED_NAMES[:6]]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array([c], pa.binary()) for c in cols)], NUMBERED_NAMES)
 
@@ -260,9 +318,9 @@ def word_pieces(stored: DataFrame, shares: int) -> DataFrame:
 
 #: Rows of two kinds: with a block, the numbers and counts of its words of a share; without, the words of the share
 #: themselves with names, statistics and the hot ones.
-WORDS = "share int, block long, names binary, number binary, c binary, tokens long, seen long, texts long, types array<long>, hot array<long>, hot_c array<long>"
+WORDS = "share int, block long, names binary, number binary, c binary, tokens long, seen long, texts long, types array<long>, hot array<long>, hot_c array<long>, hot_name array<long>"
 WORD_NAMES = [c.split()[0] for c in WORDS.split(", ")]
-WORD_KINDS = [pa.int32(), pa.int64(), *[pa.binary()] * 3, *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 3]
+WORD_KINDS = [pa.int32(), pa.int64(), *[pa.binary()] * 3, *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 4]
 
 
 def types_of(c: np.ndarray) -> list[int]:
@@ -282,35 +340,17 @@ def count_words(pieces: DataFrame, shares: int, hot_count: int) -> DataFrame:
         number = np.arange(len(names)) * shares + share + 1
         ends = names == 0
         hot = np.flatnonzero((c > hot_count) & ~ends)
-        out = [(share, None, names.tobytes(), pack(number), pack(c), int(c.sum()), int((c > 0).sum()), int(c[ends].sum()), types_of(c[c > 0]), number[hot].tolist(), c[hot].tolist())]
+        out = [(share, None, names.tobytes(), pack(number), pack(c), int(c.sum()), int((c > 0).sum()), int(c[ends].sum()), types_of(c[c > 0]), number[hot].tolist(), c[hot].tolist(), names[hot].view(np.int64).tolist())]
         done = 0
         for r, p in zip(rows, parts, strict=True):
             k = at[done : done + len(p)]
             done += len(p)
-            out.append((share, r["block"], None, pack(number[k]), pack(c[k]), *[None] * 6))
+            out.append((share, r["block"], None, pack(number[k]), pack(c[k]), *[None] * 7))
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), WORD_KINDS, strict=True)], WORD_NAMES)
 
     return pieces.groupBy("share").applyInArrow(run, WORDS)
 
 
-def pair_rows(known: DataFrame, hot: list[int], texts: int) -> DataFrame:
-    """(block, h, w, n, c): pairs with a hot first word, their training tokens in the block, and the count of w."""
-    frequent = np.array(sorted(hot), np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in each_block(batches):
-            number, count = b.numbered(texts)
-            _, h = b.contexts()
-            at = np.flatnonzero(np.isin(number, frequent)[h])
-            pairs, inverse = np.unique(h[at] * len(number) + b.ids[at], return_inverse=True)
-            n = np.bincount(inverse, ~b.held[b.doc[at]], minlength=len(pairs)).astype(np.int64)
-            w = pairs % len(number)
-            cols = [np.full(len(pairs), b.block), number[pairs // len(number)], number[w], n, count[w]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["block", "h", "w", "n", "c"])
-
-    return known.mapInArrow(run, "block long, h long, w long, n long, c long")
-
-
 #: words: global numbers, and n their counts; contexts: code g * words + h of local words by h, g; each: trigrams of a context; w: their last words; both:
 #: count of (h, w) where h is hot; context_count: where the context is hot; docs: entries of a trigram; doc, times: the entries.
 PIECES = "bucket int, block long, held binary, words binary, n binary, g binary, h binary, each binary, w binary, both binary, context_count binary, docs binary, doc binary, times binary"
@@ -331,12 +371,8 @@ def dealt(known: DataFrame, buckets: int, hot: list[int], texts: int, hot_count:
             g, h = b.contexts()
             context = h * m + g
             pair_keys = pair_values = np.zeros(0, np.int64)
-            if "pairs" in b.lists:
-                by_number = np.argsort(number)
-                first, second, pair_values = b.lists["pairs"]
-                pair_keys = by_number[np.searchsorted(number, first, sorter=by_number)] * m + by_number[np.searchsorted(number, second, sorter=by_number)]
-                at = np.argsort(pair_keys)
-                pair_keys, pair_values = pair_keys[at], pair_values[at]
+            if len(frequent):
+                pair_keys, pair_values = np.cumsum(unpack(b.row["pair"])), unpack(b.row["pair_count"])
 
             def looked_up(first: np.ndarray, second: np.ndarray, m=m, keys=pair_keys, values=pair_values) -> np.ndarray:
                 if not len(keys):
@@ -408,34 +444,34 @@ def count_grams(pieces: DataFrame) -> DataFrame:
         bucket = rows[0]["bucket"]
         parts = defaultdict(list)
         ids = np.array(sorted({r["block"] for r in rows}), np.int64)
+        n_words = n_contexts = 0
         for r in rows:
             x = {n: unpack(r[n]) for n in PIECE_NAMES[2:]}
-            number = np.cumsum(x["words"])
             held = x["held"].astype(bool)
             tri = np.repeat(np.arange(len(x["w"])), x["docs"])
-            parts["number"].append(number)
+            parts["number"].append(np.cumsum(x["words"]))
             parts["count"].append(x["n"])
-            ctx = np.repeat(np.arange(len(x["g"])), x["each"])
-            parts["g"].append(number[x["g"]][ctx])
-            parts["h"].append(number[x["h"]][ctx])
-            parts["seen"].append(x["context_count"][ctx])
-            parts["w"].append(number[x["w"]])
+            for name in "ghw":
+                parts[name].append(x[name] + n_words)
+            parts["seen"].append(x["context_count"])
+            parts["ctx"].append(np.repeat(np.arange(n_contexts, n_contexts + len(x["g"])), x["each"]))
             parts["both"].append(x["both"])
             parts["n"].append(np.bincount(tri, x["times"] * ~held[x["doc"]], minlength=len(x["w"])).astype(np.int64))
             parts["docs"].append(x["docs"])
-            parts["block"].append(np.full(len(x["doc"]), np.searchsorted(ids, r["block"]), np.int64))
-            parts["doc"].append(x["doc"])
-            parts["times"].append(x["times"])
+            parts["block"].append(np.full(len(x["doc"]), np.searchsorted(ids, r["block"]), np.int32))
+            parts["doc"].append(x["doc"].astype(np.int32))
+            parts["times"].append(x["times"].astype(np.int32))
+            n_words, n_contexts = n_words + len(x["words"]), n_contexts + len(x["g"])
         rows.clear()
         p = {n: np.concatenate(v) for n, v in parts.items()}
         parts.clear()
-        words, at = np.unique(p.pop("number"), return_index=True)
+        words, at, place = np.unique(p.pop("number"), return_index=True, return_inverse=True)
         count = p.pop("count")[at]
         m = len(words)
-        code = np.searchsorted(words, p.pop("h")) * m + np.searchsorted(words, p.pop("g"))
-        contexts, at, ctx = np.unique(code, return_index=True, return_inverse=True)
+        contexts, at, ctx = np.unique(place[p.pop("h")] * m + place[p.pop("g")], return_index=True, return_inverse=True)
         seen = p.pop("seen")[at]
-        tris, at, tri = np.unique(ctx * m + np.searchsorted(words, p.pop("w")), return_index=True, return_inverse=True)
+        ctx = ctx[p.pop("ctx")]
+        tris, at, tri = np.unique(ctx * m + place[p.pop("w")], return_index=True, return_inverse=True)
         both = p.pop("both")[at]
         c3 = np.bincount(tri, p.pop("n"), minlength=len(tris)).astype(np.int64)
         entry = np.repeat(tri, p.pop("docs"))
@@ -613,27 +649,36 @@ class Several:
 
 @dataclass
 class Tables:
-    """The model and its tables: ``words``, ``blocks``, ``grams``, and ``pairs`` (h, w, c2, c) or None."""
+    """The model and its tables."""
 
     model: Model
     words: Stored
     blocks: Stored
     grams: Several
-    pairs: Stored | None
 
     def drop(self) -> None:
-        for t in (self.words, self.blocks, self.grams, self.pairs):
-            if t is not None:
-                t.drop()
-
-
-def hot_weights(pairs: DataFrame, model: Model, count: dict[int, int]) -> dict[int, tuple[float, bool]]:
-    """The backoff weight of each hot word, and whether none of its counts is discounted; one row a word."""
-    u, d2 = model.unigrams, model.d2
-    by = lambda d, c: F.element_at(F.array(*(F.lit(float(x)) for x in d[1:])), F.least(F.greatest(F.col(c), F.lit(1)), F.lit(K)).cast("int"))
-    p1 = F.when(F.col("c") <= K, by(u.discounts.d, "c")).otherwise(1.0) * F.col("c") * (u.scale / max(u.tokens, 1))
-    cut = F.when(F.col("c2") <= K, (1 - by(d2.d, "c2")) * F.col("c2")).otherwise(0.0)
-    rows = pairs.where("c2 > 0").groupBy("h").agg(F.sum(cut).alias("left"), F.sum(p1).alias("seen")).collect()
+        for t in (self.words, self.blocks, self.grams):
+            t.drop()
+
+
+def hot_weights(grams: DataFrame, model: Model, count: dict[int, int]) -> dict[int, tuple[float, bool]]:
+    """The backoff weight of each hot word, and whether none of its counts is discounted; one row a word.
+
+    A pair may lie in several buckets; each takes the share of it that its own occurrences are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                x = {n: unpack(row[n]) for n in ("words", "n", "h", "context", "w", "both", "c3")}
+                at = np.flatnonzero((x["both"] > 0) & (x["c3"] > 0))
+                h, c2, c3 = x["h"][np.cumsum(x["context"])[at]], x["both"][at], x["c3"][at]
+                hs, inverse = np.unique(h, return_inverse=True)
+                left = np.bincount(inverse, (1 - model.d2.of(c2)) * c3, minlength=len(hs))
+                seen = np.bincount(inverse, model.unigrams.of(x["n"][x["w"][at]]) * c3 / c2, minlength=len(hs))
+                yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(x["words"])[hs]), pa.array(left), pa.array(seen)], ["h", "left", "seen"])
+
+    rows = grams.mapInArrow(run, "h long, left double, seen double").groupBy("h").agg(F.sum("left").alias("left"), F.sum("seen").alias("seen")).collect()
     out = {}
     for r in rows:
         bare = r["left"] == 0
@@ -664,42 +709,39 @@ def fit(docs: DataFrame, held_out: Column, bucket: int | None = None, hot_count:
     types = by_count("types", words.df)
     model = Model(n, v, n_texts, Unigrams(n, types))
     # Each has more than hot_count of the tokens, which bounds their number.
-    hot = {r.h: r.c for r in words.df.select(F.explode(F.arrays_zip("hot", "hot_c")).alias("x")).select(F.col("x.hot").alias("h"), F.col("x.hot_c").alias("c")).collect()}
-    if n_texts > hot_count:
+    rows = words.df.select(F.explode(F.arrays_zip("hot", "hot_c", "hot_name")).alias("x")).select("x.*").collect()
+    hot, hot_names = {r.hot: r.hot_c for r in rows}, np.array(sorted(r.hot_name for r in rows), np.int64)
+    start_hot = n_texts > hot_count
+    if start_hot:
         hot[START_ID] = n_texts
     listed = found.df.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("share", "number", "c")).alias("known"))
-    known = Stored(numbered_blocks(texts.df.join(listed, "block"), shares))
-    texts.drop()
-    found.drop()
-    release(spark)
-    pairs, of_blocks = None, known.df.withColumn("pairs", F.lit(None).cast("array<struct<h:bigint,w:bigint,c2:bigint>>"))
+    joined, types2, pairs = texts.df.join(listed, "block"), {}, None
+    pair_shares = max(BUCKETS, -(-n // BLOCK))
     if hot:
-        found = Stored(pair_rows(known.df, list(hot), n_texts))
-        pairs = Stored(found.df.groupBy("h", "w").agg(F.sum("n").alias("c2"), F.max("c").alias("c")))
-        by_block = Stored(found.df.select("block", "h", "w").join(pairs.df, ["h", "w"]).groupBy("block").agg(F.collect_list(F.struct("h", "w", "c2")).alias("pairs")))
-        found.drop()
-        release(spark)
-        with_pairs = Stored(known.df.join(by_block.df, "block", "left"))
-        known.drop()
-        by_block.drop()
+        pairs = Stored(count_pairs(pair_pieces(texts.df, pair_shares, hot_names, start_hot)))
         release(spark)
-        known, of_blocks = with_pairs, with_pairs.df
+        types2 = by_count("types", pairs.df.where("block is null"))
+        of_pairs = pairs.df.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("share", "c")).alias("of_pairs"))
+        joined = joined.join(of_pairs, "block", "left")
+    known = Stored(numbered_blocks(joined, shares, pair_shares, hot_names, start_hot))
+    for t in (texts, found, pairs):
+        if t is not None:
+            t.drop()
+    release(spark)
     buckets, done = max(BUCKETS, -(-n // bucket)), []
     for part in range(PASSES):
-        done.append(Stored(count_grams(dealt(of_blocks, buckets, list(hot), n_texts, hot_count, part, PASSES))))
+        done.append(Stored(count_grams(dealt(known.df, buckets, list(hot), n_texts, hot_count, part, PASSES))))
         release(spark)
     grams = Several(done)
-    types2 = by_count("types2", grams.df)
-    if pairs is not None:
-        for r in pairs.df.where(F.col("c2").between(1, K + 1)).groupBy("c2").agg(F.count(F.lit(1)).alias("n")).collect():
-            types2[r.c2] = types2.get(r.c2, 0) + r.n
+    for r, c in by_count("types2", grams.df).items():
+        types2[r] = types2.get(r, 0) + c
     model.d2, model.d3 = Discounts(types2), Discounts(by_count("types3", grams.df))
-    if pairs is not None:
-        model.weight = hot_weights(pairs.df, model, hot)
+    if hot:
+        model.weight = hot_weights(grams.df, model, hot)
         for r in hot_sums(grams.df, model).collect():
             bare = r["left"] == 0
             model.context_weight[r.g, r.h] = ((1.0 if bare else r["left"]) / (r.total + bare) / max(1 - r.seen, 1e-300), bare)
-    return Tables(model, words, known, grams, pairs)
+    return Tables(model, words, known, grams)
 
 
 def unigrams(tables: Tables) -> DataFrame:
