@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,15 +48,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Stored:
-    """A DataFrame written as Parquet to the shared folder; ``df`` reads it again, ``drop`` deletes it."""
+    """A DataFrame written as Parquet to the shared folder; ``df`` reads it again, ``drop`` deletes it.
+
+    ``there`` lists the tables not dropped yet, so that a caller can drop what an operator's lazy result was read from.
+    """
+
+    there: ClassVar[list[Stored]] = []
 
     def __init__(self, df: DataFrame) -> None:
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/laminara-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        Stored.there.append(self)
 
     def drop(self) -> None:
+        if self in Stored.there:
+            Stored.there.remove(self)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -83,13 +92,28 @@ def training_rows(labels: DataFrame, where: Column, limits: dict[int, int], labe
     return out
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> Stored | None:
+#: Ids that are broadcast at most; a longer list is joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``docs`` semi- or anti-joined with the one column of ``ids``; no row of ``docs`` moves while the ids are few.
+
+    The ids are counted first. Up to ``BROADCAST_IDS`` are broadcast, which bounds their memory; more are joined by
+    sorting both sides.
+    """
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), ids.columns[0], how)
+
+
+def components(edges: DataFrame) -> Stored | None:
     """Connected components of an undirected graph of long node ids.
 
     ``edges`` has two long columns ``u`` and ``v``; loops and repeats are allowed. Returns a stored table
     (node, component) with component the smallest node that can be reached, for the nodes of at least one edge;
-    None if there is no edge. Each round takes the smallest label among neighbours and then follows labels twice, so
-    the number of rounds grows with the logarithm of the longest path. No node, edge or label reaches the driver.
+    None if there is no edge. In each round a node takes the smallest label among its neighbours, and so does the node
+    that its label names; then labels are followed twice. So labels spread along paths in any order of ids, and rounds
+    go on until nothing changes. No node, edge or label reaches the driver.
     """
     both = edges.where("u <> v").select("u", "v")
     sym = Stored(both.union(both.select(F.col("v"), F.col("u"))).distinct())
@@ -97,12 +121,14 @@ def components(edges: DataFrame, max_rounds: int = 64) -> Stored | None:
         sym.drop()
         return None
     labels = Stored(sym.df.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")))
-    for _ in range(max_rounds):
-        old = labels.df
-        around = (
-            sym.df.join(old.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("m"))
-        )
-        new = old.join(around.withColumnRenamed("u", "node"), "node").select("node", F.least("component", "m").alias("c1"), F.col("component").alias("was"))
+    while True:
+        old = labels.df.select("node", "component")
+        seen = sym.df.join(old.select(F.col("node").alias("v"), F.col("component").alias("m")), "v")
+        near = seen.groupBy("u").agg(F.min("m").alias("m"))
+        near = near.join(old.select(F.col("node").alias("u"), "component"), "u")
+        offers = near.select(F.col("u").alias("node"), "m").union(near.where("m < component").select("component", "m"))
+        best = offers.groupBy("node").agg(F.min("m").alias("m"))
+        new = old.join(best, "node").select("node", F.least("component", "m").alias("c1"), F.col("component").alias("was"))
         at = old.select(F.col("node").alias("c1"), F.col("component").alias("c2"))
         new = new.join(at, "c1").select("node", F.least("c1", "c2").alias("c2"), "was")
         at = old.select(F.col("node").alias("c2"), F.col("component").alias("c3"))
@@ -111,8 +137,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> Stored | None:
         moved = not step.df.where("component <> was").isEmpty()
         labels.drop()
         labels = step
-        labels.df = labels.df.drop("was")
         if not moved:
+            labels.df = labels.df.drop("was")
             sym.drop()
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

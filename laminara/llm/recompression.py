@@ -1,14 +1,16 @@
 """Repeated passages by recompression.
 
-Words become 64-bit names. Rounds then shorten the sequence of each text: a run of one name gets a new name, and so
+Words become 128-bit hashes, whose halves are two 64-bit names. Rounds over the first names shorten the sequence of each text: a run of one name gets a new name, and so
 does each pair of neighbours whose first name falls into the left half and whose second into the right half of the
 names, as a bit of the round's hash deals them out. A new name is a hash of what it stands for, so all partitions give
-equal passages equal names without exchanging a dictionary. For every symbol we keep the range of words on which its
+equal passages equal names without exchanging a dictionary; what is found is verified on names of all its windows, two
+for each, made from the two names of every word. For every symbol we keep the range of words on which its
 forming depended. A symbol whose range lies within a passage forms wherever the passage occurs.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +27,6 @@ U = np.uint64
 #: Odd constants for mixing; any will do, but they must not change between runs that are compared.
 MIX_A, MIX_B, BASE = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
 FAR = 1 << 40
 
 
@@ -37,9 +37,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-BYTES = mix(np.arange(1, 257, dtype=np.uint64))
-
-
 def powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     if n:
@@ -47,25 +44,34 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of several texts: name, begin and end in the joined bytes, and the number of the first word of each text."""
-    joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = SPACE[joined]
-    edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
-    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    total = np.concatenate([[U(0)], np.cumsum(BYTES[joined] * powers(BASE, len(joined)), dtype=np.uint64)])
-    name = (total[end] - total[begin]) * powers(BASE_INVERSE, len(joined) + 1)[begin]
-    name = mix(name + (end - begin).astype(np.uint64))
-    sizes = np.array([len(t) + 1 for t in texts])
-    first = np.searchsorted(begin, np.concatenate([[0], np.cumsum(sizes)]))
-    return name, begin, end, first
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of several texts: their two names, and the number of the first word of each text."""
+    import xxhash
 
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    parts, first = [], [0]
+    for t in texts:
+        found = t.split()
+        parts.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
+        first.append(first[-1] + len(found))
+    names = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, number)), np.uint64).reshape(-1, 2)
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return names[ids, 0], names[ids, 1], np.array(first)
 
-def window_names(name: np.ndarray, size: int, start: np.ndarray) -> np.ndarray:
-    """A 64-bit name of the ``size[i]`` words from each ``start[i]`` on."""
-    n = len(name)
-    total = np.concatenate([[U(0)], np.cumsum(mix(name ^ BASE) * powers(BASE, n), dtype=np.uint64)])
-    return mix((total[start + size] - total[start]) * powers(BASE_INVERSE, n + 1)[start] + size.astype(np.uint64))
+
+def window_names(name: np.ndarray, window: int, start: np.ndarray) -> np.ndarray:
+    """A 64-bit name of the ``window`` words from each ``start`` on; windows are short, so a polynomial tells them apart."""
+    total = np.concatenate([[U(0)], np.cumsum(mix(name ^ BASE) * powers(BASE, len(name)), dtype=np.uint64)])
+    return mix((total[start + window] - total[start]) * powers(BASE_INVERSE, len(name) + 1)[start])
+
+
+def range_names(name: np.ndarray, window: int, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A 64-bit name of all windows in order of each range of ``count`` windows from ``start`` on."""
+    head = np.cumsum(count) - count
+    place = np.arange(count.sum()) - np.repeat(head, count)
+    each = window_names(name, window, np.repeat(start, count) + place)
+    return mix(np.add.reduceat(mix(each ^ mix(place.astype(np.uint64))), head) + count.astype(np.uint64))
 
 
 def anchors(name: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS):
@@ -168,9 +174,9 @@ def with_row(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """Each text's ranges of windows with one anchor: (anchor, variant, doc_id, row, start, n).
+    """Each text's ranges of windows with one anchor: (anchor, variant, check, doc_id, row, start, n).
 
-    variant names the anchor's place and all words of the range, so equal variants have equal windows.
+    variant and check name the anchor's place and all windows of the range, so where both are equal the windows are.
     """
     small_batches(docs.sparkSession)
 
@@ -178,33 +184,35 @@ def occurrences(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) ->
         for b in batches:
             ids, rows = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             for begin, part in chunks(b.column(2).to_pylist()):
-                name, _, _, first = words_of(part)
+                name, other, first = words_of(part)
                 if not len(name):
                     continue
                 s, a, i, n = anchors(name, first, window, rounds)
+                if not len(i):
+                    continue
                 own = np.searchsorted(first, i, "right") - 1
-                v = mix(window_names(name, n + window - 1, i) ^ mix(s + (i - a + window).astype(np.uint64)))
-                cols = [s.view(np.int64), v.view(np.int64), ids[begin + own], rows[begin + own], (i - first[own]).astype(np.int32), n.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "variant", "doc_id", "row", "start", "n"])
+                v = mix(range_names(name, window, i, n) ^ mix(s + (i - a + window).astype(np.uint64)))
+                cols = [s.view(np.int64), v.view(np.int64), range_names(other, window, i, n).view(np.int64), ids[begin + own], rows[begin + own], (i - first[own]).astype(np.int32), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "variant", "check", "doc_id", "row", "start", "n"])
 
-    return with_row(docs).where("doc_id is not null").mapInArrow(run, "anchor long, variant long, doc_id long, row long, start int, n int")
+    return with_row(docs).where("doc_id is not null").mapInArrow(run, "anchor long, variant long, check long, doc_id long, row long, start int, n int")
 
 
 def single_windows(asked: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(name, doc_id, row, start) of every window in the ranges ``asked``: rows (doc_id, row, text, spans)."""
+    """(name, check, doc_id, row, start) of every window in the ranges ``asked``: rows (doc_id, row, text, spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, rows, spans = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_pylist()
             for begin, part in chunks(b.column(2).to_pylist()):
-                name, _, _, first = words_of(part)
+                name, other, first = words_of(part)
                 own = np.array([k for k in range(len(part)) for x in spans[begin + k] for _ in range(x["n"])], np.int64)
                 at = np.array([x["start"] + j for k in range(len(part)) for x in spans[begin + k] for j in range(x["n"])], np.int64)
-                names = window_names(name, np.full(len(at), window), first[own] + at)
-                cols = [names.view(np.int64), ids[begin + own], rows[begin + own], at.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["name", "doc_id", "row", "start"])
+                names, checks = (window_names(x, window, first[own] + at) for x in (name, other))
+                cols = [names.view(np.int64), checks.view(np.int64), ids[begin + own], rows[begin + own], at.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["name", "check", "doc_id", "row", "start"])
 
-    return asked.select("doc_id", "row", "text", "spans").mapInArrow(run, "name long, doc_id long, row long, start int")
+    return asked.select("doc_id", "row", "text", "spans").mapInArrow(run, "name long, check long, doc_id long, row long, start int")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -213,7 +221,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     1. Each text gives its ranges of windows by anchor. Only anchors that stand in two or more documents go on.
     2. A range whose variant also stands in a document of smaller id is repeated as a whole.
     3. Where an anchor has several variants, the ranges in each variant's first document are taken apart into windows,
-       and equal windows are looked for among these.
+       and equal windows are looked for among these. Repeated rows give equal ranges, which count once.
     Counts and minima are pre-aggregated, and what is not shared is never expanded, so no group of copies is paired.
     """
     spark = docs.sparkSession
@@ -225,20 +233,20 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     shared.drop()
     release(spark)
     # Stored, as a join that also has to finish an aggregate can't be split where one anchor has very many rows.
-    variants = Stored(some.df.groupBy("anchor", "variant").agg(F.min("doc_id").alias("lowest")))
+    variants = Stored(some.df.groupBy("anchor", "variant", "check").agg(F.min("doc_id").alias("lowest")))
     several = Stored(variants.df.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor", F.lit(True).alias("several")))
-    told = Stored(some.df.join(variants.df, ["anchor", "variant"]).join(several.df, "anchor", "left").select("doc_id", "row", "start", "n", "lowest", "several"))
+    told = Stored(some.df.join(variants.df, ["anchor", "variant", "check"]).join(several.df, "anchor", "left").select("doc_id", "row", "start", "n", "lowest", "several"))
     some.drop()
     variants.drop()
     several.drop()
     release(spark)
-    asked = told.df.where("doc_id = lowest and several").groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    asked = told.df.where("doc_id = lowest and several").groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     single = Stored(single_windows(with_row(docs).join(asked, ["doc_id", "row"]), window))
     release(spark)
-    repeated = single.df.groupBy("name").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("b")).where("lowest < b").select("name", "lowest")
-    parts = single.df.join(repeated, "name").where("doc_id > lowest").select("doc_id", "row", "start", F.lit(1).alias("n"))
+    repeated = single.df.groupBy("name", "check").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("b")).where("lowest < b").select("name", "check", "lowest")
+    parts = single.df.join(repeated, ["name", "check"]).where("doc_id > lowest").select("doc_id", "row", "start", F.lit(1).alias("n"))
     whole = told.df.where("doc_id > lowest").select("doc_id", "row", "start", "n")
-    spans = Stored(whole.unionByName(parts).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
+    spans = Stored(whole.unionByName(parts).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "n")).alias("spans")))
     told.drop()
     single.drop()
     release(spark)

@@ -6,19 +6,25 @@ the 33 points of its Hamming ball of radius 1, and the table of low segments at
 all 64 bits. A table entry with more than ``HOT`` different fingerprints is not expanded into pairs: the fingerprints
 that stand in it or probe it are grouped by the 65 points of their full ball of radius 1 instead. Two fingerprints
 share such a point if and only if they differ in at most two bits, and at most 65 fingerprints share one.
+
+Two bits of a fingerprint stand for almost equal texts. ``keep_one`` therefore goes on to texts at a Jaccard similarity
+of 0.8 or more, which lie up to some fifteen bits apart, too far for balls within segments: there the candidates come
+from bands of min-wise hashes of the same shingles, and each is verified on the whole sets of shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laminara.llm.common import Stored, components, read_table, small_batches
+from laminara.llm.common import Stored, by_ids, components, read_table, release, small_batches
 
 HOT = 64
+#: Bands of min-wise hashes, and hashes in a band: of pairs at a similarity of 0.8, (1 - 0.8 ** 5) ** 24 = 0.00007 are missed.
+BANDS, IN_BAND = 24, 5
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 15
 
@@ -32,18 +38,29 @@ def simhash(text: str | None, n: int = 3, seed: int = 42) -> int:
     import numpy as np
     import xxhash
 
+    return fingerprint(shingle_hashes(text, n, seed))
+
+
+def shingle_hashes(text: str | None, n: int, seed: int = 42):
+    """The XXH64 of every shingle of ``n`` words as an unsigned array; none for a text without words."""
+    import numpy as np
+    import xxhash
+
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
+    shifted = [words[i:] for i in range(n)] if len(words) >= n else [[b" ".join(words)]]
     digest = xxhash.xxh64_intdigest
-    if len(words) < n:
-        hashes = [digest(b" ".join(words), seed)]
-    else:
-        shifted = [words[i:] for i in range(n)]
-        hashes = [digest(b" ".join(s), seed) for s in zip(*shifted, strict=False)]
+    return np.array([digest(b" ".join(s), seed) for s in zip(*shifted, strict=False)], np.uint64)
+
+
+def fingerprint(hashes) -> int:
+    """The bits set in over half of the hashes."""
+    import numpy as np
+
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), BLOCK):
-        part = np.array(hashes[i : i + BLOCK], dtype=np.uint64)
+        part = hashes[i : i + BLOCK]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little")
     return int(bits.view(np.int64)[0])
@@ -89,6 +106,14 @@ def near_pairs(fps: DataFrame, hot: int = HOT) -> DataFrame:
     return pairs.unionByName(points.join(centres, "point").where("fp <> v").select(F.col("fp").alias("u"), "v"))
 
 
+def fingerprint_groups(nodes: DataFrame) -> DataFrame:
+    """(fp, component) for the different fingerprints ``nodes`` (fp, ...) with all their columns."""
+    found = components(near_pairs(nodes.select("fp")))
+    if found is None:
+        return nodes.withColumn("component", F.col("fp"))
+    return nodes.join(found.df.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 3) -> DataFrame:
     """(doc_id, fp, component_id, n_same) for every row of ``docs``.
 
@@ -99,108 +124,148 @@ def near_duplicates(docs: DataFrame, n: int = 3) -> DataFrame:
     """
     stored = Stored(fingerprints(docs, n))
     nodes = Stored(stored.df.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_same")))
-    found = components(near_pairs(nodes.df.select("fp")))
-    if found is None:
-        ids = nodes.df.select("fp", F.col("first").alias("component_id"), "n_same")
-    else:
-        tagged = nodes.df.join(found.df, nodes.df.fp == found.df.node, "left").select("fp", "first", "n_same", F.coalesce("component", "fp").alias("component"))
-        lowest = tagged.groupBy("component").agg(F.min("first").alias("component_id"))
-        ids = tagged.join(lowest, "component").select("fp", "component_id", "n_same")
-    return stored.df.join(ids, "fp").select("doc_id", "fp", "component_id", "n_same")
+    tagged = fingerprint_groups(nodes.df)
+    lowest = tagged.groupBy("component").agg(F.min("first").alias("component_id"))
+    ids = Stored(tagged.join(lowest, "component").select("fp", "component_id", "n_same"))
+    nodes.drop()
+    return stored.df.join(ids.df, "fp").select("doc_id", "fp", "component_id", "n_same")
 
 
-def keep_one(docs: DataFrame, n: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with all their columns.
+def signatures(docs: DataFrame, n: int = 5) -> DataFrame:
+    """(doc_id, row, fp, size, bands): fingerprint, number of different shingles, and band names of each text.
 
-    Of rows that share this id one stays. Rows with a null id have no place in the order of ids: all of them stay.
+    ``docs`` has doc_id, row and text. Equal bands have equal names; a text without words has none.
     """
-    found = near_duplicates(docs, n)
-    first = Stored(found.where("doc_id = component_id").groupBy("doc_id").count())
-    kept = docs.join(first.df.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if not first.df.where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
-
+    small_batches(docs.sparkSession)
 
-def shingle_sets(docs: DataFrame, n: int = 5, late: Sequence[int] = ()) -> DataFrame:
-    """(row, set): the different hashes of the shingles of ``n`` words of each text, in ascending order but for those
-    in ``late``, which come last.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-    ``docs`` has row and text; words are those of ``simhash``, and texts without words are left out.
-    """
+        draw = np.random.default_rng(7)
+        turn, factor = (draw.integers(0, 1 << 63, BANDS * IN_BAND, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+        spread = np.uint64(0x9E3779B97F4A7C15)
+        for b in batches:
+            fps, sizes, bands = [], [], []
+            for text in b.column(2).to_pylist():
+                hashes = shingle_hashes(text, n)
+                fps.append(fingerprint(hashes) if len(hashes) else 0)
+                hashes = np.unique(hashes)
+                sizes.append(len(hashes))
+                if not len(hashes):
+                    bands.append([])
+                    continue
+                least = np.full(BANDS * IN_BAND, ~np.uint64(0))
+                for i in range(0, len(hashes), 512):
+                    least = np.minimum(least, ((hashes[None, i : i + 512] ^ turn[:, None]) * factor[:, None]).min(axis=1))
+                name = np.arange(BANDS, dtype=np.uint64)
+                for k in range(IN_BAND):
+                    name = (name ^ least[k::IN_BAND]) * spread
+                    name ^= name >> np.uint64(29)
+                bands.append(name.view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row", "fp", "size", "bands"])
+
+    return docs.select("doc_id", "row", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, row long, fp long, size int, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, n: int = 5) -> DataFrame:
+    """(doc_id, set): the different hashes of the shingles of each text of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
-    late = list(late)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        import xxhash
 
-        common = np.array(late, np.int64)
         for b in batches:
-            rows, sets = [], []
-            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                if words:
-                    shifted = [words[i:] for i in range(n)] if len(words) >= n else [[b" ".join(words)]]
-                    hashes = [xxhash.xxh64_intdigest(b" ".join(s)) for s in zip(*shifted, strict=False)]
-                    rows.append(row)
-                    found = np.unique(np.array(hashes, np.uint64).view(np.int64))
-                    last = np.isin(found, common)
-                    sets.append(np.concatenate([found[~last], found[last]]))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["row", "set"])
-
-    return docs.select("row", F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, set array<long>")
-
-
-def common_shingles(docs: DataFrame, n: int = 5, limit: int = 50_000) -> list[int]:
-    """Hashes of the shingles most common in a sixteenth of the rows, ``limit`` at most; only an order hangs on them."""
-    seen = shingle_sets(docs.where("pmod(xxhash64(row), 16) = 0"), n).select(F.explode("set").alias("key"))
-    return [r.key for r in seen.groupBy("key").count().where("count > 3").orderBy(F.desc("count"), "key").limit(limit).collect()]
-
-
-def similar_rows(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(row) of the rows of ``docs`` (row, text; rows differ) that have a smaller row at a Jaccard similarity of
-    ``percent`` or more of their shingles.
-
-    Exact: in any common order of shingles, two such sets share one among the first size - ceil(share * size) + 1 of
-    each; the order has common shingles last, so that few rows meet at one. Sizes that can't reach the share are left out of the pairs. Rounds first compare each row with the smallest
-    row that is left at each of its keys and take out those found, so that a large group of near copies falls to its
-    smallest row; only the rows left are then paired with the smaller ones.
+            sets = [np.unique(shingle_hashes(t, n)).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "set"])
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, set array<long>")
+
+
+def similar_rows(docs: DataFrame, signed: DataFrame, n: int = 5, percent: int = 80) -> Stored | None:
+    """(doc_id) of the documents that have one of smaller id at a Jaccard similarity of ``percent`` or more of their
+    shingles; None if there is none.
+
+    ``docs`` has the texts (doc_id, text), ``signed`` the signatures (doc_id, size, bands) of those that take part; ids
+    differ. Candidates share a band. Two rounds compare each document with the smallest one left in each of its bands
+    and take out those found, so that a large group of copies falls to its smallest document; only what is then left
+    is compared with all smaller documents of its bands. Whole shingle sets are made for candidates only.
     """
-    sets = Stored(shingle_sets(docs, n, common_shingles(docs, n)).withColumn("size", F.size("set")))
-    size = F.col("size")
-    first = (size - F.ceil(size * percent / 100) + 1).cast("int")
-    keys = Stored(sets.df.select("row", "size", F.explode(F.slice("set", F.lit(1), first)).alias("key")))
+    keys = Stored(signed.select("doc_id", "size", F.explode("bands").alias("key")))
     shared = keys.df.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
-    keys = Stored(keys.df.join(shared, "key", "left_semi"))
+    members = Stored(keys.df.join(shared, "key", "left_semi"))
+    keys.drop()
+    ids = Stored(members.df.select("doc_id").distinct())
+    if ids.df.isEmpty():
+        return None
+    sets = Stored(shingle_sets(by_ids(docs.select("doc_id", "text"), ids.df, "left_semi"), n))
+    release(docs.sparkSession)
+    fits = F.least("u_size", "v_size") * 100 >= F.greatest("u_size", "v_size") * percent
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        u, v = (sets.df.select(F.col("row").alias(x), F.col("set").alias(f"{x}_set")) for x in "uv")
+    def similar(pairs: DataFrame) -> Stored:
+        u, v = (sets.df.select(F.col("doc_id").alias(x), F.col("set").alias(f"{x}_set")) for x in "uv")
         both = F.size(F.array_intersect("u_set", "v_set"))
         close = 100 * both >= percent * (F.size("u_set") + F.size("v_set") - both)
-        return pairs.join(u, "u").join(v, "v").where(close).select(F.col("v").alias("row")).distinct()
-
-    fits = F.least("u_size", "v_size") * 100 >= F.greatest("u_size", "v_size") * percent
-    gone = None
-    while True:
-        left = keys.df if gone is None else keys.df.join(gone, "row", "left_anti")
-        pivot = left.groupBy("key").agg(F.min(F.struct("row", "size")).alias("p"))
-        pairs = left.withColumnRenamed("size", "v_size").join(pivot, "key").select(F.col("p.row").alias("u"), F.col("p.size").alias("u_size"), F.col("row").alias("v"), "v_size")
-        found = Stored(similar(pairs.where("u < v").where(fits).select("u", "v").distinct()))
-        if found.df.isEmpty():
-            break
-        gone = found.df if gone is None else gone.unionByName(found.df)
-    u = keys.df.select("key", F.col("row").alias("u"), F.col("size").alias("u_size"))
-    v = left.select("key", F.col("row").alias("v"), F.col("size").alias("v_size"))
-    rest = similar(u.join(v, "key").where("u < v").where(fits).select("u", "v").distinct())
-    return rest if gone is None else gone.unionByName(rest)
-
-
-def keep_dissimilar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without a row of smaller id at a Jaccard similarity of ``percent`` or more, with all their
-    columns. Ids differ, but for null ones; rows with a null id and texts without words stay."""
-    found = similar_rows(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("row"), "text"), n, percent)
-    return docs.join(Stored(found).df.withColumnRenamed("row", "doc_id"), "doc_id", "left_anti").select(docs.columns)
+        pairs = pairs.where("u < v").where(fits).select("u", "v").distinct()
+        return Stored(pairs.join(u, "u").join(v, "v").where(close).select(F.col("v").alias("doc_id")).distinct())
+
+    left, gone = members.df, []
+    for _ in range(2):
+        pivot = left.groupBy("key").agg(F.min(F.struct("doc_id", "size")).alias("p"))
+        pairs = left.join(pivot, "key").select(F.col("p.doc_id").alias("u"), F.col("p.size").alias("u_size"), F.col("doc_id").alias("v"), F.col("size").alias("v_size"))
+        gone.append(similar(pairs))
+        left = left.join(gone[-1].df, "doc_id", "left_anti")
+    u = members.df.select("key", F.col("doc_id").alias("u"), F.col("size").alias("u_size"))
+    v = left.select("key", F.col("doc_id").alias("v"), F.col("size").alias("v_size"))
+    gone.append(similar(u.join(v, "key")))
+    found = gone[0].df
+    for g in gone[1:]:
+        found = found.unionByName(g.df)
+    out = Stored(found.distinct())
+    for t in (*gone, sets, ids, members):
+        t.drop()
+    release(docs.sparkSession)
+    return out
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int | None = 80) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates, with all their columns.
+
+    The documents of smallest id of the groups that fingerprints of shingles of ``n`` words form stay, but those that
+    have one of smaller id among these at a similarity of ``percent`` or more; None leaves this step out. Of rows that
+    share an id the one with the smallest hash of all columns stands for it, and the others go, as do all but one of
+    equal rows. Rows with a null id have no place in the order of ids: all of them stay. Texts without words are one
+    group. Only what goes is joined with the texts, so these are not shuffled while the ids that go are few.
+    """
+    named = docs.where("doc_id is not null")
+    row = F.xxhash64(*docs.columns)
+    signed = Stored(signatures(named.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text"), n))
+    first = signed.df.groupBy("doc_id").agg(F.min(F.struct("row", "fp", "size", "bands")).alias("s"), F.count(F.lit(1)).alias("rows"))
+    first = Stored(first.select("doc_id", "s.*", "rows"))
+    signed.drop()
+    nodes = Stored(first.df.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    kept = Stored(fingerprint_groups(nodes.df).groupBy("component").agg(F.min("first").alias("doc_id")).select("doc_id"))
+    losers = first.df.select("doc_id").join(kept.df, "doc_id", "left_anti")
+    some = None
+    if percent is not None:
+        some = similar_rows(named.withColumn("doc_id", F.col("doc_id").cast("long")), first.df.join(kept.df, "doc_id", "left_semi"), n, percent)
+        if some is not None:
+            losers = losers.unionByName(some.df)
+    gone = Stored(losers)
+    again = Stored(first.df.where("rows > 1").select("doc_id", "row"))
+    for t in (nodes, kept, first, some):
+        if t is not None:
+            t.drop()
+    release(docs.sparkSession)
+    out = by_ids(named, gone.df, "left_anti")
+    if not again.df.isEmpty():
+        tag = "row"
+        while tag in docs.columns:
+            tag += "_"
+        chosen = again.df.select(F.col("row").alias(tag))
+        repeated = by_ids(named, again.df.select("doc_id"), "left_semi").withColumn(tag, row)
+        repeated = by_ids(by_ids(repeated, chosen, "left_semi"), gone.df, "left_anti").dropDuplicates(["doc_id"])
+        out = by_ids(out, again.df.select("doc_id"), "left_anti").unionByName(repeated.select(docs.columns))
+    return out.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,8 @@ class Codec:
         for p, _, _ in vocabulary.pieces:
             self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
+        #: No piece is longer, so the search for one that starts here looks no further.
+        self.reach = max(map(len, self.score), default=1)
         #: The next shorter piece that is a prefix, for what longest matches leave out.
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 1, -1) if p[:k] in self.id), p[0]) if len(p) > 1 else None for p in self.id}
         self.fits = Memory(self.side_by_side)
@@ -145,7 +147,7 @@ class Codec:
 
     def longest(self, s: str, at: int) -> str:
         """The longest piece that starts here, or else the character."""
-        for end, length in self.automaton.iter_long(s, at):
+        for end, length in self.automaton.iter_long(s, at, min(len(s), at + self.reach)):
             return s[at : end + 1] if end - length + 1 == at else s[at]
         return s[at]
 

@@ -43,7 +43,7 @@ def test_anchors_follow_from_a_window_alone(seed, letters, rounds):
     rng = np.random.default_rng(seed)
     shared = rng.integers(0, letters, 30)
     texts = [b" ".join(b"%d" % x for x in np.concatenate([rng.integers(0, letters, rng.integers(0, 20)), shared, rng.integers(0, letters, rng.integers(0, 20))])) for _ in range(4)]
-    name, _, _, first = r.words_of(texts)
+    name, _, first = r.words_of(texts)
     s, a, i, n = r.anchors(name, first, window=12, rounds=rounds)
     seen, covered = {}, 0
     for sym, at, start, count in zip(s, a, i, n, strict=True):
@@ -71,6 +71,22 @@ def test_odd_rows(spark):
 
 
 def test_names_of_words():
-    name, begin, end, first = r.words_of([b"ab  cd", b"", b"cd ab\n"])
-    assert list(first) == [0, 2, 2, 4] and name[0] == name[3] and name[1] == name[2] and name[0] != name[1]
-    assert list(end - begin) == [2, 2, 2, 2]
+    name, other, first = r.words_of([b"ab  cd", b"", b"cd ab\n"])
+    assert list(first) == [0, 2, 2, 4] and name[0] == name[3] and name[1] == name[2] and name[0] != name[1] and other[0] != name[0]
+
+
+def test_words_and_ranges_that_polynomials_confuse(spark):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2**64, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = ("".join("ab"[b ^ x] for b in bits[:1024]) for x in (0, 1))
+    rest = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, f"{one} {rest[:-1]}"), (2, f"{two} {rest[:-2]}"), (3, " ".join("xy"[b] for b in bits)), (4, " ".join("yx"[b] for b in bits))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, r.remove_repeats(df).collect())) == sorted(brute(rows))
+
+
+def test_many_repeated_rows(spark):
+    text = " ".join(f"t{k % 97}" for k in range(400))
+    rows = [(1, text)] * 60 + [(2, "a b " + text)] * 60
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, r.remove_repeats(df).collect())) == sorted(brute(rows))

@@ -8,11 +8,11 @@ from laminara.llm.common import components
 from tests.llm.helpers import empty, odd, table, words
 
 
-def brute_print(text):
+def brute_print(text, n=3):
     w = [x.lower() for x in words(text)]
     if not w:
         return 0
-    sh = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [b" ".join(w)]
+    sh = [b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] or [b" ".join(w)]
     hs = [xxhash.xxh64_intdigest(x, 42) for x in sh]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
@@ -65,6 +65,8 @@ def test_components_of_a_path(spark):
     edges = spark.range(1, 400).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert [(r.component) for r in components(edges).df.select("component").distinct().collect()] == [1]
     assert components(edges.where("u = v")) is None
+    down = spark.range(2, 300).select((F.lit(1000) - F.col("id")).alias("u"), (F.lit(1001) - F.col("id")).alias("v")).unionByName(spark.createDataFrame([(1, 999)], "u long, v long"))
+    assert [r.component for r in components(down).df.select("component").distinct().collect()] == [1]
 
 
 def test_odd_rows(spark):
@@ -75,7 +77,7 @@ def test_odd_rows(spark):
     assert by[6].component_id == 1 and by[1].n_same == 3
     assert sorted(r.component_id for r in out if r.doc_id is None and r.fp == 0) == [2]
     assert s.near_duplicates(empty(spark)).count() == 0
-    kept = s.keep_one(odd(spark))
+    kept = s.keep_one(odd(spark), n=3, percent=None)
     assert kept.columns == odd(spark).columns
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 2, 5, 7, 8]
     assert kept.where("doc_id is null").count() == 2

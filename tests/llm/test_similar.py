@@ -1,4 +1,4 @@
-"""The near-dedup stage against brute force over the five-word shingles of what the quality rules keep."""
+"""The near-dedup stage against brute force over five-word shingles."""
 
 import corpus_pipeline as c
 from laminara.llm import simhash as s
@@ -15,14 +15,20 @@ def brute(docs):
     return {v for v in sets for u in sets if u < v and sets[u] and 10 * len(sets[u] & sets[v]) >= 8 * len(sets[u] | sets[v])}
 
 
+def similar(spark, docs):
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    found = s.similar_rows(df, s.signatures(df.selectExpr("doc_id", "doc_id as row", "text")))
+    return set() if found is None else {r.doc_id for r in found.df.collect()}
+
+
 def test_stage_leaves_no_similar_pair(spark):
     sf = "/root/testdata/sf0.01"
     docs = table(spark, sf, "documents").cache()
-    simhash_only = {d.doc_id: d.text for d in c.stage_near_dedup(spark, docs, sf).collect()}
-    gone = brute(simhash_only)
+    by_print = {d.doc_id: d.text for d in s.keep_one(docs, percent=None).collect()}
+    gone = brute(by_print)
     assert gone  # edited copies that lie further apart than two bits
     got = dict(c.STAGES)["SimHash near-dedup"](spark, docs, sf)
-    assert got.columns == docs.columns and sorted(d.doc_id for d in got.collect()) == sorted(set(simhash_only) - gone)
+    assert got.columns == docs.columns and sorted(d.doc_id for d in got.collect()) == sorted(set(by_print) - gone)
 
 
 def test_chains_and_bounds(spark):
@@ -30,11 +36,23 @@ def test_chains_and_bounds(spark):
     texts = {k: base[k * 4 : k * 4 + 100] for k in range(12)}  # each like its neighbours, far ones not
     texts |= {20: ["a", "b"], 21: ["A", "b"], 22: ["b", "a"], 23: []}
     docs = {k: " ".join(w) for k, w in texts.items()}
-    got = s.similar_rows(spark.createDataFrame(list(docs.items()), "row long, text string")).collect()
-    assert sorted({r.row for r in got}) == sorted(brute(docs)) != []
+    assert similar(spark, docs) == brute(docs) != set()
+
+
+def test_a_crowd_and_a_joined_id_list(spark, monkeypatch):
+    docs = {k: " ".join(f"w{i}" if i != k else "x" for i in range(300)) for k in range(60)} | {100 + k: f"other {k} text" for k in range(5)}
+    assert similar(spark, docs) == brute(docs)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    want = sorted(r.doc_id for r in s.keep_one(df).collect())
+    monkeypatch.setattr("laminara.llm.common.BROADCAST_IDS", 1)
+    assert sorted(r.doc_id for r in s.keep_one(df).collect()) == want == [0, *range(100, 105)]
 
 
 def test_odd_rows(spark):
-    assert s.keep_dissimilar(empty(spark)).count() == 0
-    kept = s.keep_dissimilar(odd(spark).dropDuplicates(["doc_id", "text"]))
-    assert {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 5, 7, 8, None}
+    assert s.keep_one(empty(spark)).count() == 0
+    rows = [(1, "a b"), (1, "c d"), (1, "c d"), (2, "a b"), (3, "c d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = s.keep_one(df).collect()
+    assert [r.doc_id for r in kept].count(1) == 1 and len(kept) == 2  # one of the rows of id 1, and the text it is not
+    kept = s.keep_one(odd(spark))
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 2, 5, 7, 8]

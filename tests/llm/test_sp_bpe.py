@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import sentencepiece
 from hypothesis import given, settings
@@ -33,6 +34,13 @@ def test_spaces_repeats_and_specials():
         same("".join(rng.choice("abethinors ▁\n.,é1") for _ in range(rng.randint(1, 60))))
 
 
+def test_many_characters_outside_the_vocabulary():
+    for c in ("\U00013000", "\u9fff"):
+        began = time.time()
+        same(c * 100_000)
+        assert time.time() - began < 10
+
+
 def test_a_full_memory_starts_anew():
     m = s.Memory(lambda k: k * 2, size=3)
     assert [m[k] for k in (1, 2, 3, 4, 1, 2, 5, 6, 7, 1)] == [2, 4, 6, 8, 2, 4, 10, 12, 14, 2] and len(m) <= 3
