@@ -12,7 +12,7 @@ from laminara.llm.common import Stored, read_table
 from laminara.llm.mixing import mixed_rows
 from laminara.llm.pii import replace_pii
 from laminara.llm.quality_crf import keep_documents, train
-from laminara.llm.simhash import keep_dissimilar, keep_one
+from laminara.llm.simhash import keep_one
 from laminara.llm.sp_bpe import default_model, encode_decode, load_vocabulary
 
 #: Shares of each domain's expected tokens that mixing keeps; no document comes more than once.
@@ -25,15 +25,10 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates."""
+    """One document of each group of near-duplicates, by fingerprints and by similarity of five-word shingles."""
     return keep_one(docs)
 
 
-def stage_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of what ``stage_near_dedup`` leaves, documents without one of smaller id at a similarity of 0.8 or more."""
-    return keep_dissimilar(Stored(stage_near_dedup(spark, docs, sf_dir)).df)
-
-
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data, and their new length."""
     return replace_pii(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
@@ -51,7 +46,7 @@ def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality rules", stage_quality),
-    ("SimHash near-dedup", stage_similar),
+    ("SimHash near-dedup", stage_near_dedup),
     ("PII surrogates", stage_pii),
     ("mixing to target weights", stage_mixing),
     ("SentencePiece encoding and decoding", stage_encode),
@@ -63,8 +58,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``, each result written to shared storage and read again."""
     docs = read_table(spark, sf_dir, "documents")
+    before = list(Stored.there)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = Stored(docs).df
+            done = Stored(docs)
+            for table in [t for t in Stored.there if t is not done and t not in before]:
+                table.drop()
+            docs = done.df
     return docs
