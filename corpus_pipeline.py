@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from laminara.llm.common import Stored, read_table
 from laminara.llm.mixing import mixed_rows
-from laminara.llm.pii import replace_pii
+from laminara.llm.pii import DEMO_KEY, replace_pii
 from laminara.llm.quality_crf import keep_documents, train
 from laminara.llm.simhash import keep_one
 from laminara.llm.sp_bpe import default_model, encode_decode, load_vocabulary
@@ -31,7 +31,7 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data, and their new length."""
-    return replace_pii(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return replace_pii(docs, DEMO_KEY).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
