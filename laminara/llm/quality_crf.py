@@ -3,7 +3,9 @@
 The lines of a text are a sequence; each has a few yes-or-no features, and Viterbi decoding gives the most likely
 sequence of labels under the trained weights. A document stays if enough of its words stand in content lines and the
 plain counts don't speak against it. The weights are trained by maximum likelihood on a bounded sample of documents
-with a quality label, whose lines all take the label of their document.
+with a quality label. Its lines get weak labels: that of their document, but for lines of good documents that repeat an
+earlier one or consist of symbols, and lines of bad documents that are plain prose. Half of the good documents also
+get lines of a bad one spliced in, so that the field learns how labels follow each other within a document.
 """
 
 from __future__ import annotations
@@ -136,24 +138,54 @@ def assess(text: str | None, model: Model, min_share: float = MIN_SHARE) -> dict
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double, content_lines array<tinyint>"
 
 
-def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 80, rate: float = 0.2, decay: float = 1e-3) -> Model:
-    """Maximum-likelihood weights by forward-backward and Adam; ``PLAIN`` if there is only one class.
-
-    sequences: the features of consecutive lines as a 0/1 matrix, and the label that they all have. Either class gets
-    the same total weight.
+def line_labels(m: np.ndarray, y: int) -> np.ndarray:
+    """Weak labels of the lines (rows of features) of a document of quality ``y``, 1 for content."""
+    on = lambda name: m[:, FEATURES.index(name)] > 0
+    odd = on("symbols_half") | on("pipes") | on("repeated_line")
+    if y:
+        return (~odd).astype(np.int64)
+    bad = odd | on("symbols_tenth") | on("upper") | on("exclaims") | on("words_repeat") | on("words_repeat_much")
+    return (on("long") & on("full_stop") & ~bad).astype(np.int64)
+
+
+def spliced(documents: list[tuple[np.ndarray, int]], seed: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features and labels of the lines of training sequences: the documents with weak labels, and in every second good
+    one a run of lines of a bad one, which keep their labels."""
+    rng = np.random.default_rng(seed)
+    bad = [(m, line_labels(m, y)) for m, y in documents if not y]
+    out = list(bad)
+    for k, (m, y) in enumerate((m, y) for m, y in documents if y):
+        labels = line_labels(m, y)
+        if k % 2 and bad:
+            x, other = bad[rng.integers(len(bad))]
+            n = int(rng.integers(1, min(len(x), 6) + 1))
+            lo, at = int(rng.integers(len(x) - n + 1)), int(rng.integers(len(m) + 1))
+            m = np.concatenate([m[:at], x[lo : lo + n], m[at:]])
+            labels = np.concatenate([labels[:at], other[lo : lo + n], labels[at:]])
+        out.append((m, labels))
+    return out
+
+
+def fit(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 80, rate: float = 0.2, decay: float = 1e-3) -> Model:
+    """Maximum-likelihood weights by forward-backward and Adam; ``PLAIN`` if there is only one label.
+
+    sequences: the features of consecutive lines as a 0/1 matrix, and their labels. Either label gets half of the
+    weight of the emissions.
     """
-    ys = np.array([y for _, y in sequences])
-    if not len(ys) or ys.min() == ys.max():
+    every = np.concatenate([y for _, y in sequences]) if sequences else np.zeros(0)
+    if not len(every) or every.min() == every.max():
         return PLAIN
     longest, k = max(len(x) for x, _ in sequences), len(FEATURES)
-    x = np.zeros((len(ys), longest, k))
-    for i, (m, _) in enumerate(sequences):
-        x[i, : len(m)] = m
+    x, y = np.zeros((len(sequences), longest, k)), np.zeros((len(sequences), longest), np.int64)
+    for i, (m, labels) in enumerate(sequences):
+        x[i, : len(m)], y[i, : len(m)] = m, labels
     size = np.array([len(m) for m, _ in sequences])
     on = np.arange(longest)[None, :] < size[:, None]
-    weight = np.where(ys == 1, 0.5 / max(1, size[ys == 1].sum()), 0.5 / max(1, size[ys == 0].sum()))
+    # A sequence weighs as its lines do, where lines of the rarer label weigh more.
+    of = np.array([0.5 / (every == 0).sum(), 0.5 / (every == 1).sum()])
+    weight = np.where(on, of[y], 0).sum(axis=1) / size
     theta, mean, square = np.zeros(k + 4), np.zeros(k + 4), np.zeros(k + 4)
-    rows = np.arange(len(ys))
+    rows = np.arange(len(size))
     for step in range(1, rounds + 1):
         e, t = x @ theta[:k], theta[k:].reshape(2, 2)
         emit = np.stack([np.zeros_like(e), e], axis=2)
@@ -169,12 +201,11 @@ def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 80, rate: float =
         last = alpha[rows, size - 1]
         z = np.logaddexp(last[:, 0], last[:, 1])
         p1 = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None]) * on
-        grad = np.einsum("ij,ijk->k", (ys[:, None] * on - p1) * weight[:, None], x)
+        grad = np.einsum("ij,ijk->k", (y * on - p1) * weight[:, None], x)
         pair = alpha[:, :-1, :, None] + t + (beta + emit)[:, 1:, None, :] - z[:, None, None, None]
         pair = np.exp(pair) * on[:, 1:, None, None] * weight[:, None, None, None]
         seen = np.zeros((2, 2))
-        for y in (0, 1):
-            seen[y, y] = (weight * (size - 1))[ys == y].sum()
+        np.add.at(seen, (y[:, :-1], y[:, 1:]), on[:, 1:] * weight[:, None])
         g = np.concatenate([grad, (seen - pair.sum(axis=(0, 1))).reshape(-1)]) - decay * theta
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
         theta = theta + rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
@@ -185,26 +216,28 @@ def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 80, rate: float =
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     """Fit the field on at most ``max_docs`` labelled documents of either quality.
 
-    Only the features of sampled lines reach the driver, at most ``MAX_SEQUENCES`` sequences of ``MAX_LINES`` lines.
-    Null ids, labels and texts take no part.
+    Only the features of sampled lines reach the driver, at most ``MAX_SEQUENCES`` sequences of ``MAX_LINES`` lines,
+    drawn by a hash of document and place. Null ids, labels and texts take no part.
     """
     small_batches(docs.sparkSession)
     sample = training_rows(labels, F.col("quality").isin(0, 1), {0: max_docs, 1: max_docs}, "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            blobs, ys = [], []
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            blobs, ys, ids, places = [], [], [], []
+            for text, y, i in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 m = np.array(lines_of(text)[0], dtype=np.uint8).reshape(-1, len(FEATURES))
-                for i in range(0, len(m), MAX_LINES):
-                    blobs.append(m[i : i + MAX_LINES].tobytes())
+                for at in range(0, len(m), MAX_LINES):
+                    blobs.append(m[at : at + MAX_LINES].tobytes())
                     ys.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), pa.array(ys, pa.int32())], ["m", "y"])
+                    ids.append(i)
+                    places.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), pa.array(ys, pa.int32()), pa.array(ids, pa.int64()), pa.array(places, pa.int64())], ["m", "y", "doc_id", "place"])
 
     ids = F.broadcast(sample)  # 2 * max_docs rows at most
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(ids, "doc_id").select("text", "y")
-    rows = rows.mapInArrow(run, "m binary, y int").orderBy(F.xxhash64("m"), "m", "y").limit(MAX_SEQUENCES).collect()
-    return fit([(np.frombuffer(r.m, np.uint8).reshape(-1, len(FEATURES)).astype(float), r.y) for r in rows if r.m])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(ids, "doc_id").select("text", "y", "doc_id")
+    rows = rows.mapInArrow(run, "m binary, y int, doc_id long, place long").orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place", "m").limit(MAX_SEQUENCES).collect()
+    return fit(spliced([(np.frombuffer(r.m, np.uint8).reshape(-1, len(FEATURES)), r.y) for r in rows if r.m]))
 
 
 def assess_documents(docs: DataFrame, model: Model, min_share: float = MIN_SHARE) -> DataFrame:

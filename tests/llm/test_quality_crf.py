@@ -74,3 +74,26 @@ def test_repeated_words():
     assert q.repeated_words(b"a b c d e x a b c d e".split()) == 10
     assert q.repeated_words(b"a a a a a a".split()) == 6
     assert q.repeated_words(b"a b c d".split()) == q.repeated_words(b"a b c d e".split()) == q.repeated_words([]) == 0
+
+
+def test_spliced_pages(spark):
+    """A good page with boilerplate in the middle has a share between nothing and everything, and both kinds of lines."""
+    sf = "/root/testdata/sf0.1"
+    docs, known = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = q.train(docs, known)
+    rows = docs.join(known, "doc_id").select("doc_id", "text", "quality").where("n_chars between 1500 and 4000").orderBy("doc_id").collect()
+    good = [r.text for r in rows if r.quality == 1 and q.assess(r.text, model)["content_share"] == 1][:40]
+    junk = "SALE!!! BUY NOW!!! CLICK | HERE | NOW |\n### *** $$$ %%% &&&\nHome | About | Contact | Login\n" * 2
+    pages = []
+    for text in good:
+        lines = text.split("\n")
+        pages.append("\n".join(lines[: len(lines) // 2]) + "\n" + junk + "\n".join(lines[len(lines) // 2 :]))
+    found = [q.assess(t, model) for t in pages]
+    mixed = [f for f in found if 0 < f["content_share"] < 1]
+    right = [np.mean([y == (i >= start and i < start + 6) for i, y in enumerate(1 - np.array(f["content_lines"]))]) for f, start in zip(found, [len([x for x in t.split("\n")[: len(t.split("\n")) // 2] if x.strip()]) for t in good], strict=True)]
+    print(f"pages with a share inside (0, 1): {len(mixed)} of {len(pages)}; lines labelled right: {np.mean(right):.3f}")
+    assert len(mixed) >= 0.9 * len(pages) and np.mean(right) > 0.9
+    shares = [r.content_share for r in q.assess_documents(docs, model).collect()]
+    print(f"documents of the table with such a share: {sum(0 < s < 1 for s in shares)} of {len(shares)}")
+    assert sum(0 < s < 1 for s in shares) > 0.02 * len(shares)
+    assert not q.assess(junk * 3, model)["kept"]
