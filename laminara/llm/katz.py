@@ -35,7 +35,7 @@ from laminara.llm.common import Stored, arrow_rows, read_table, release, small_b
 #: Counts up to this are discounted.
 K = 5
 #: Tokens in a block of texts, tokens in a bucket (about), the least number of buckets, and the count of a hot word.
-BLOCK, BUCKET, BUCKETS, HOT = 1_000_000, 1_500_000, 12, 750_000
+BLOCK, BUCKET, BUCKETS, HOT = 1_000_000, 1_100_000, 12, 550_000
 #: Parts of the buckets that are dealt one after another, so that not all pieces lie on disk at once.
 PASSES = 2
 #: Local numbers of the end of a text and of what stands before its first word; the global number of the latter.
@@ -452,19 +452,18 @@ def count_grams(pieces: DataFrame) -> DataFrame:
             parts["number"].append(np.cumsum(x["words"]))
             parts["count"].append(x["n"])
             for name in "ghw":
-                parts[name].append(x[name] + n_words)
+                parts[name].append((x[name] + n_words).astype(np.int32))
             parts["seen"].append(x["context_count"])
-            parts["ctx"].append(np.repeat(np.arange(n_contexts, n_contexts + len(x["g"])), x["each"]))
+            parts["ctx"].append(np.repeat(np.arange(n_contexts, n_contexts + len(x["g"]), dtype=np.int32), x["each"]))
             parts["both"].append(x["both"])
-            parts["n"].append(np.bincount(tri, x["times"] * ~held[x["doc"]], minlength=len(x["w"])).astype(np.int64))
-            parts["docs"].append(x["docs"])
+            parts["n"].append(np.bincount(tri, x["times"] * ~held[x["doc"]], minlength=len(x["w"])).astype(np.int32))
+            parts["docs"].append(x["docs"].astype(np.int32))
             parts["block"].append(np.full(len(x["doc"]), np.searchsorted(ids, r["block"]), np.int32))
             parts["doc"].append(x["doc"].astype(np.int32))
             parts["times"].append(x["times"].astype(np.int32))
             n_words, n_contexts = n_words + len(x["words"]), n_contexts + len(x["g"])
         rows.clear()
-        p = {n: np.concatenate(v) for n, v in parts.items()}
-        parts.clear()
+        p = {n: np.concatenate(parts.pop(n)) for n in list(parts)}
         words, at, place = np.unique(p.pop("number"), return_index=True, return_inverse=True)
         count = p.pop("count")[at]
         m = len(words)
