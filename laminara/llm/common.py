@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -31,6 +32,13 @@ def small_batches(spark: SparkSession) -> None:
     arrow_rows(spark, ARROW_ROWS)
 
 
+def trim() -> None:
+    """In a task: give memory that Python has freed back to the system, where the C library can."""
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, or the one set on the context.
 

@@ -30,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laminara.llm.common import Stored, arrow_rows, read_table, release, small_batches
+from laminara.llm.common import Stored, arrow_rows, read_table, release, small_batches, trim
 
 #: Counts up to this are discounted.
 K = 5
 #: Tokens in a block of texts, tokens in a bucket (about), the least number of buckets, and the count of a hot word.
-BLOCK, BUCKET, BUCKETS, HOT = 1_000_000, 1_100_000, 12, 550_000
+BLOCK, BUCKET, BUCKETS, HOT = 1_000_000, 900_000, 12, 450_000
 #: Parts of the buckets that are dealt one after another, so that not all pieces lie on disk at once.
-PASSES = 2
+PASSES = 3
 #: Local numbers of the end of a text and of what stands before its first word; the global number of the latter.
 END, START = 0, 1
 START_ID = 0
@@ -210,6 +210,7 @@ def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         plain = [n for n in names if not pa.types.is_list(b.schema.field(n).type)]
         for k, row in enumerate(b.select(plain).to_pylist()):
             listed = {n: b.column(n)[k].values for n in names if n not in plain}
+            trim()
             yield Block(row, {n: [v.field(i).to_numpy(zero_copy_only=False) for i in range(v.type.num_fields)] for n, v in listed.items() if v is not None})
 
 
@@ -440,6 +441,7 @@ def count_grams(pieces: DataFrame) -> DataFrame:
     """``GRAMS`` of every bucket: pieces put together, counts of the training texts added up."""
 
     def run(table: pa.Table) -> pa.Table:
+        trim()
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
         bucket = rows[0]["bucket"]
         parts = defaultdict(list)
@@ -581,6 +583,7 @@ def evaluated(grams: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
+                trim()
                 t = Grams(row, model)
                 x = t.x
                 value = np.repeat(t.logs(), x["docs"]) * x["times"]
@@ -669,6 +672,7 @@ def hot_weights(grams: DataFrame, model: Model, count: dict[int, int]) -> dict[i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
+                trim()
                 x = {n: unpack(row[n]) for n in ("words", "n", "h", "context", "w", "both", "c3")}
                 at = np.flatnonzero((x["both"] > 0) & (x["c3"] > 0))
                 h, c2, c3 = x["h"][np.cumsum(x["context"])[at]], x["both"][at], x["c3"][at]

@@ -24,7 +24,7 @@ from laminara.llm.common import read_table, small_batches
 
 SPACE = "▁"
 #: Entries that a worker remembers for segments and for token pairs; a full memory is emptied, so it stays bounded.
-MEMORY = 400_000
+MEMORY = 150_000
 #: Longer segments are encoded but not remembered.
 REMEMBERED = 48
 
