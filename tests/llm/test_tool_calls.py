@@ -24,6 +24,20 @@ def test_same_rows_as_sql(spark, sf):
     assert got == sorted(map(repr, cur.fetchall())) and got
 
 
+def test_same_rows_as_sql_on_odd_turns(spark, tmp_path):
+    rows = [(c, k, "user" if k % 2 == 0 else "assistant", "x" * (7 * c + k)) for c in range(8) for k in range(9)]
+    rows += [(3, 4, "user", None), (3, 4, "user", "xx"), (3, 5, "assistant", None), (4, 0, "assistant", ""), (5, 20, "user", "z" * 50_000), (6, 1, "tool", 'say "x"\n'), (6, 2, None, None), (None, 1, "system", "s")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    df.withColumns({c: F.lit(1) for c in ("pos", "level", "deps", "name")}).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    duckdb.execute(f"create or replace view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    cur = duckdb.execute(t.OP7_SQL)
+    names = [d[0] for d in cur.description]
+    got = sorted(map(repr, map(tuple, t.op7_tool_calls(spark, str(tmp_path)).select(*names).collect())))
+    assert got == sorted(map(repr, cur.fetchall()))
+    levels = {eval(x)[names.index("level")] for x in got}  # noqa: S307
+    assert {0, 1, 2, 3, 4} <= levels
+
+
 def test_links_validation_and_canonical_json(spark):
     calls = [
         (1, 1, 0, "a", "add", '{"b": 2.5, "a" :1}', None), (1, 1, 1, "b", "add", '{"a":"1","mode":"z","c":0}', ["a"]), (1, 3, 0, "c", "sub", "{}", ["b", "gone"]),
@@ -50,7 +64,9 @@ def test_order_with_forward_references_and_cycles(spark):
     calls = [(1, k, 0, n, "add", "{}", d) for k, (n, d) in enumerate([("p", ["q"]), ("q", ["r"]), ("r", []), ("s", ["p", "r"])])]
     calls += [(2, 0, 0, "p", "add", "{}", ["q"]), (2, 1, 0, "q", "add", "{}", ["p"]), (2, 2, 0, "t", "add", "{}", ["q"]), (2, 3, 0, "u", "add", "{}", ["u"]), (2, 4, 0, "v", "add", "{}", [])]
     calls += [(3, k, 0, f"n{k}", "add", "{}", [f"n{k - 1}"]) for k in range(300)]
+    calls += [(4, k, 0, f"n{k}", "add", "{}", [f"n{k + 1}"]) for k in range(300)] + [(5, 0, 0, "p", "add", "{}", ["q"]), (5, 1, 0, "q", "add", "{}", ["p"]), (5, 2, 0, "r", "add", "{}", ["q"])]
     level = {(r.conv_id, r.call_id): r.level for r in link(spark, calls, []).values()}
+    assert all(level[4, f"n{k}"] == 299 - k for k in range(300)) and [level[5, n] for n in "pqr"] == [None] * 3
     assert [level[1, n] for n in "rqps"] == [0, 1, 2, 3]
     assert [level[2, n] for n in "pqtuv"] == [None, None, None, None, 0]
     assert all(level[3, f"n{k}"] == 0 for k in range(300))
