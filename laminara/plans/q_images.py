@@ -206,10 +206,10 @@ def agg_value_pivot(spark, sf):
     return p.groupBy("z").pivot("v", ["v0", "v1", "v2", "v3"]).agg(F.count(F.lit(1))).fillna(0)
 
 
-@query("agg_chunk_pivot", f"WITH {SQL_PX}, b AS (SELECT *, CASE WHEN px > 230 THEN 1 ELSE 0 END AS v FROM px), s AS (SELECT z FROM b WHERE v = 1 GROUP BY z) SELECT tile, count(*) FILTER (v = 0) AS v0, count(*) FILTER (v = 1) AS v1 FROM b WHERE z IN (SELECT z FROM s) AND tile % 3 = 0 GROUP BY tile")
+@query("agg_chunk_pivot", f"WITH {SQL_PX}, b AS (SELECT *, CASE WHEN px > 230 THEN 1 ELSE 0 END AS v FROM px), s AS (SELECT z FROM b WHERE v = 1 GROUP BY z) SELECT tile, count(*) FILTER (v = 0) AS v0, count(*) FILTER (v = 1) AS v1 FROM b WHERE z IN (SELECT z FROM s) GROUP BY tile")
 def agg_chunk_pivot(spark, sf):
     b = pixels(spark, sf).withColumn("v", (F.col("px") > 230).cast("int"))
-    return b.where("tile % 3 = 0").join(b.where("v = 1").select("z").distinct(), "z", "left_semi").groupBy("tile").pivot("v", [0, 1]).agg(F.count(F.lit(1))).fillna(0).toDF("tile", "v0", "v1")
+    return b.join(b.where("v = 1").select("z").distinct(), "z", "left_semi").groupBy("tile").pivot("v", [0, 1]).agg(F.count(F.lit(1))).fillna(0).toDF("tile", "v0", "v1")
 
 
 @query("agg_balanced_sample", f"WITH {SQL_PX}, c AS (SELECT tile, max(px) > 225 AS pos FROM px GROUP BY tile), r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY md5(CAST(tile AS VARCHAR)), tile) AS k FROM c) SELECT tile, pos FROM r WHERE pos OR k <= (SELECT count(*) FROM c WHERE pos)")

@@ -300,11 +300,11 @@ def jon_node_offsets(spark, sf):
     return jon.with_offsets(correspondences(spark, sf).groupBy(F.col("src_z").alias("z")).agg(F.count(F.lit(1)).alias("n")), "z", "n")
 
 
-@query("jon_minus_neighbour_mean", f"""{BASE}, p AS (SELECT * FROM base WHERE corr_id % 5 = 0), n AS (SELECT a.corr_id, a.r_max AS v, b.r_max AS nv, row_number() OVER (PARTITION BY a.corr_id ORDER BY greatest(abs(a.pre_i - b.pre_i), abs(a.pre_j - b.pre_j)), b.corr_id) AS k
+@query("jon_minus_neighbour_mean", f"""{BASE}, p AS (SELECT * FROM base), n AS (SELECT a.corr_id, a.r_max AS v, b.r_max AS nv, row_number() OVER (PARTITION BY a.corr_id ORDER BY greatest(abs(a.pre_i - b.pre_i), abs(a.pre_j - b.pre_j)), b.corr_id) AS k
 FROM p a JOIN p b ON a.src_z = b.src_z AND abs(a.pre_i - b.pre_i) <= 80 AND abs(a.pre_j - b.pre_j) <= 80)
 SELECT corr_id, round(max(v) - avg(nv), 9) + 0.0 AS rest FROM n WHERE k <= 8 GROUP BY corr_id""")
 def jon_minus_neighbour_mean(spark, sf):
-    p = correspondences(spark, sf).where("corr_id % 5 = 0")
+    p = correspondences(spark, sf)
     return jon.minus_neighbour_mean(p, ["src_z"], "corr_id", "pre_i", "pre_j", "r_max", 80.0, 8).select("corr_id", R(F.col("rest"), 9).alias("rest"))
 
 

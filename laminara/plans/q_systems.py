@@ -68,11 +68,11 @@ def msh_dims(spark, sf):
     return ms.dims_of(ms.nodes(spark, M)).select("rows", "cols", F.round("pitch_i", 4).alias("pitch_i"), F.round("pitch_j", 4).alias("pitch_j"))
 
 
-@query("msh_locate", f"""{BASE}, {NODES}, p AS (SELECT corr_id, pre_i + 0.25 AS x, pre_j + 0.125 AS y FROM base WHERE corr_id % 20 = 0),
+@query("msh_locate", f"""{BASE}, {NODES}, p AS (SELECT corr_id, pre_i + 0.25 AS x, pre_j + 0.125 AS y FROM base),
 k AS (SELECT corr_id, node, (x - src_i) ** 2 + (y - src_j) ** 2 AS d2, row_number() OVER (PARTITION BY corr_id ORDER BY (x - src_i) ** 2 + (y - src_j) ** 2, node) AS k FROM p JOIN n ON abs(x - src_i) < {2 * M.length} AND abs(y - src_j) < {2 * M.length})
 SELECT corr_id, min(node) AS a, CAST(sum(node) - min(node) - max(node) AS INT) AS b, max(node) AS c FROM k WHERE k <= 3 GROUP BY corr_id""")
 def msh_locate(spark, sf):
-    p = correspondences(spark, sf).where("corr_id % 20 = 0").select("corr_id", (F.col("pre_i") + 0.25).alias("x"), (F.col("pre_j") + 0.125).alias("y"))
+    p = correspondences(spark, sf).select("corr_id", (F.col("pre_i") + 0.25).alias("x"), (F.col("pre_j") + 0.125).alias("y"))
     # A point's triangle is that of the three nodes nearest to it, as all sides are equal.
     k = F.array_sort(F.array("t.k0", "t.ka", "t.kb"))
     return p.withColumn("t", ms.locate(M, F.col("x"), F.col("y"))).select("corr_id", k.alias("k")).select("corr_id", *(F.get("k", F.lit(i)).alias(n) for i, n in enumerate("abc")))
