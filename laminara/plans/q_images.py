@@ -166,18 +166,18 @@ def img_gather(spark, sf):
     return gather_sections(spark.createDataFrame([(100, 1), (101, 3), (102, None)], "dst_z int, src_z int").fillna(-1), merged_sections(spark, sf))
 
 
-@query("img_components", f"""WITH RECURSIVE {SQL_PX}, n AS (SELECT tile, i, j, (i - 1) * 1048576 + j AS n FROM px WHERE px > 150 AND tile < 60),
+@query("img_components", f"""WITH RECURSIVE {SQL_PX}, n AS (SELECT tile, i, j, (i - 1) * 1048576 + j AS n FROM px WHERE px > 150),
 r AS (SELECT tile, n AS label, i, j FROM n UNION SELECT r.tile, r.label, n.i, n.j FROM r JOIN n ON n.tile = r.tile AND abs(n.i - r.i) <= 1 AND abs(n.j - r.j) <= 1)
 SELECT tile, i, j, CAST(min(label) AS BIGINT) AS label FROM r GROUP BY ALL""")
 def img_components(spark, sf):
-    return ra.components(pixels(spark, sf).where("px > 150 and tile < 60")).select("tile", "i", "j", "label")
+    return ra.components(pixels(spark, sf).where("px > 150")).select("tile", "i", "j", "label")
 
 
-@query("img_components_large", f"""WITH RECURSIVE {SQL_PX}, n AS (SELECT tile, i, j, (i - 1) * 1048576 + j AS n FROM px WHERE px > 150 AND tile < 60),
+@query("img_components_large", f"""WITH RECURSIVE {SQL_PX}, n AS (SELECT tile, i, j, (i - 1) * 1048576 + j AS n FROM px WHERE px > 150),
 r AS (SELECT tile, n AS label, i, j FROM n UNION SELECT r.tile, r.label, n.i, n.j FROM r JOIN n ON n.tile = r.tile AND abs(n.i - r.i) + abs(n.j - r.j) <= 1),
 l AS (SELECT tile, i, j, min(label) AS label FROM r GROUP BY ALL) SELECT tile, CAST(label AS BIGINT) AS label, count(*) AS n FROM l GROUP BY ALL HAVING count(*) >= 4""")
 def img_components_large(spark, sf):
-    return ra.components(pixels(spark, sf).where("px > 150 and tile < 60"), diagonal=False).groupBy("tile", "label").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    return ra.components(pixels(spark, sf).where("px > 150"), diagonal=False).groupBy("tile", "label").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
 
 
 @query("agg_quantiles_plotting", f"""WITH {SQL_PX}, s AS (SELECT z, px, row_number() OVER (PARTITION BY z ORDER BY px) AS k, count(*) OVER (PARTITION BY z) AS n FROM px),
@@ -249,14 +249,14 @@ def patch_rows(p):
     return src, p.where("z > 0").select((F.col("z") - 1).alias("match"), "i", "j", "px")
 
 
-XC = f"""{IMG}, t AS (SELECT z AS match, i - 2 AS i, j - 2 AS j, px AS t FROM img WHERE z < 120 AND i BETWEEN 3 AND 5 AND j BETWEEN 3 AND 5),
-x AS (SELECT z - 1 AS match, i, j, px AS x FROM img WHERE z < 120 AND z > 0),
+XC = f"""{IMG}, t AS (SELECT z AS match, i - 2 AS i, j - 2 AS j, px AS t FROM img WHERE i BETWEEN 3 AND 5 AND j BETWEEN 3 AND 5),
+x AS (SELECT z - 1 AS match, i, j, px AS x FROM img WHERE z > 0),
 r AS (SELECT match, x.i - t.i AS oi, x.j - t.j AS oj, corr(t, x) AS r FROM t JOIN x USING (match) WHERE x.i - t.i BETWEEN 0 AND 5 AND x.j - t.j BETWEEN 0 AND 5 GROUP BY ALL)"""
 
 
 @query("mat_correlation", f"{XC} SELECT match, CAST(oi AS INT) AS oi, CAST(oj AS INT) AS oj, round(r, 6) + 0.0 AS r FROM r")
 def mat_correlation(spark, sf):
-    return bm.correlation_rows(*patch_rows(images(spark, sf).where("z < 120"))).select("match", "oi", "oj", R(F.col("r")).alias("r"))
+    return bm.correlation_rows(*patch_rows(images(spark, sf))).select("match", "oi", "oj", R(F.col("r")).alias("r"))
 
 
 def patches(p):
@@ -267,7 +267,7 @@ def patches(p):
 
 @query("mat_peak", f"{XC} SELECT match, round(max(r), 6) + 0.0 AS r_max FROM r GROUP BY match")
 def mat_peak(spark, sf):
-    return bm.match_blocks(patches(images(spark, sf).where("z < 120"))).select("match", R(F.col("r_max")).alias("r_max"))
+    return bm.match_blocks(patches(images(spark, sf))).select("match", R(F.col("r_max")).alias("r_max"))
 
 
 @query("mat_features")
@@ -303,11 +303,11 @@ def mat_spread(spark, sf):
     return s.select("z", R(F.sqrt(F.col("ii") - F.col("mi") * F.col("mi") + F.col("jj") - F.col("mj") * F.col("mj"))).alias("sigma"))
 
 
-@query("mat_integral", f"{IMG} SELECT a.z, a.i, a.j, CAST(sum(b.px) AS BIGINT) AS s, CAST(sum(b.px * b.px) AS BIGINT) AS s2 FROM img a JOIN img b ON b.z = a.z AND b.i <= a.i AND b.j <= a.j WHERE a.z < 100 GROUP BY ALL")
+@query("mat_integral", f"{IMG} SELECT a.z, a.i, a.j, CAST(sum(b.px) AS BIGINT) AS s, CAST(sum(b.px * b.px) AS BIGINT) AS s2 FROM img a JOIN img b ON b.z = a.z AND b.i <= a.i AND b.j <= a.j GROUP BY ALL")
 def mat_integral(spark, sf):
     from pyspark.sql import Window
 
-    p = images(spark, sf).where("z < 100")
+    p = images(spark, sf)
     row, col = Window.partitionBy("z", "i").orderBy("j").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("z", "j").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     along = p.withColumns({"s": F.sum("px").over(row), "s2": F.sum(F.col("px") * F.col("px")).over(row)})
     return along.select("z", "i", "j", F.sum("s").over(col).alias("s"), F.sum("s2").over(col).alias("s2"))
@@ -320,28 +320,28 @@ LATTICE = ms.Lattice(8, 8, 3.0)
 
 def placed(spark, sf, f):
     n = ms.nodes(spark, LATTICE)
-    z = images(spark, sf).where("z < 80").select("z").distinct()
+    z = images(spark, sf).select("z").distinct()
     i, j = f(F.col("src_i"), F.col("src_j"))
     return z.join(F.broadcast(n.withColumns({"dst_i": i, "dst_j": j})), F.lit(True))
 
 
-@query("img_warp_identity", f"{IMG} SELECT * FROM img WHERE z < 80")
+@query("img_warp_identity", f"{IMG} SELECT * FROM img")
 def img_warp_identity(spark, sf):
-    return wp.warp(images(spark, sf).where("z < 80"), wp.triangles(spark, LATTICE), placed(spark, sf, lambda i, j: (i, j)), 8, 8)
+    return wp.warp(images(spark, sf), wp.triangles(spark, LATTICE), placed(spark, sf, lambda i, j: (i, j)), 8, 8)
 
 
-@query("img_warp_shift", f"{IMG}, s AS (SELECT z, i, j, px * 0.5 + lead(px) OVER (PARTITION BY z, i ORDER BY j) * 0.5 AS v FROM img WHERE z < 80) SELECT z, CAST(i + 1 AS INT) AS i, CAST(j + 1 AS INT) AS j, CAST(round_even(v, 0) AS INT) AS px FROM s WHERE v IS NOT NULL AND i < 8 AND j < 8")
+@query("img_warp_shift", f"{IMG}, s AS (SELECT z, i, j, px * 0.5 + lead(px) OVER (PARTITION BY z, i ORDER BY j) * 0.5 AS v FROM img) SELECT z, CAST(i + 1 AS INT) AS i, CAST(j + 1 AS INT) AS j, CAST(round_even(v, 0) AS INT) AS px FROM s WHERE v IS NOT NULL AND i < 8 AND j < 8")
 def img_warp_shift(spark, sf):
-    out = wp.warp(images(spark, sf).where("z < 80"), wp.triangles(spark, LATTICE), placed(spark, sf, lambda i, j: (i + 1, j + 0.5)), 8, 8)
+    out = wp.warp(images(spark, sf), wp.triangles(spark, LATTICE), placed(spark, sf, lambda i, j: (i + 1, j + 0.5)), 8, 8)
     return out.where("i between 2 and 8 and j between 2 and 8")
 
 
-@query("img_warp_nearest", f"{IMG} SELECT z, CAST(i + 1 AS INT) AS i, CAST(j + 2 AS INT) AS j, px FROM img WHERE z < 80 AND i < 8 AND j < 7")
+@query("img_warp_nearest", f"{IMG} SELECT z, CAST(i + 1 AS INT) AS i, CAST(j + 2 AS INT) AS j, px FROM img WHERE i < 8 AND j < 7")
 def img_warp_nearest(spark, sf):
-    return wp.warp(images(spark, sf).where("z < 80"), wp.triangles(spark, LATTICE), placed(spark, sf, lambda i, j: (i + 1, j + 2)), 8, 8, interpolate=False)
+    return wp.warp(images(spark, sf), wp.triangles(spark, LATTICE), placed(spark, sf, lambda i, j: (i + 1, j + 2)), 8, 8, interpolate=False)
 
 
-@query("img_rotate", f"{IMG} SELECT z, CAST(9 - i AS INT) AS i, CAST(9 - j AS INT) AS j, px FROM img WHERE z < 80")
+@query("img_rotate", f"{IMG} SELECT z, CAST(9 - i AS INT) AS i, CAST(9 - j AS INT) AS j, px FROM img")
 def img_rotate(spark, sf):
     """Half a turn round the middle of the tile."""
-    return wp.warp(images(spark, sf).where("z < 80"), wp.triangles(spark, LATTICE), placed(spark, sf, lambda i, j: (9 - i, 9 - j)), 8, 8)
+    return wp.warp(images(spark, sf), wp.triangles(spark, LATTICE), placed(spark, sf, lambda i, j: (9 - i, 9 - j)), 8, 8)
