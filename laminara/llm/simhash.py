@@ -181,6 +181,22 @@ def shingle_sets(docs: DataFrame, n: int = 5) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, set array<long>")
 
 
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, size, place, key): the shingles of each set by which it can be similar to another one.
+
+    All shingles are put in one order, the rarest first. Two sets at a Jaccard similarity of ``percent`` or more share
+    at least that part of either, so the first shingle they share stands among the first ``size`` less that part, plus
+    one, of both: no such pair is missed. Shingles of one set only come first and are not listed; place counts them.
+    """
+    flat = sets.select("doc_id", F.size("set").alias("size"), F.explode("set").alias("key"))
+    often = flat.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    lists = flat.join(often, "key").groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("sets", "key"))).alias("s"))
+    alone = F.col("size") - F.size("s")
+    most = F.lit(1) + F.col("size") - F.floor((F.col("size") * percent + 99) / 100).cast("int")
+    lists = lists.select("doc_id", "size", alone.alias("alone"), F.slice("s.key", F.lit(1), F.greatest(F.lit(0), most - alone)).alias("keys"))
+    return lists.select("doc_id", "size", "alone", F.posexplode("keys").alias("at", "key")).select("doc_id", "size", (F.col("alone") + F.col("at")).alias("place"), "key")
+
+
 def similar_rows(docs: DataFrame, signed: DataFrame, n: int = 5, percent: int = 80) -> Stored | None:
     """(doc_id) of the documents that have one of smaller id at a Jaccard similarity of ``percent`` or more of their
     shingles; None if there is none.
@@ -188,7 +204,8 @@ def similar_rows(docs: DataFrame, signed: DataFrame, n: int = 5, percent: int =
     ``docs`` has the texts (doc_id, text), ``signed`` the signatures (doc_id, size, bands) of those that take part; ids
     differ. Candidates share a band. Two rounds compare each document with the smallest one left in each of its bands
     and take out those found, so that a large group of copies falls to its smallest document; only what is then left
-    is compared with all smaller documents of its bands. Whole shingle sets are made for candidates only.
+    is compared with all smaller candidates with which it shares one of its ``prefixes``, so that documents of one
+    template that differ in more than their rare shingles allow are no pair. Whole shingle sets are made for candidates only.
     """
     keys = Stored(signed.select("doc_id", "size", F.explode("bands").alias("key")))
     shared = keys.df.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
@@ -214,14 +231,17 @@ def similar_rows(docs: DataFrame, signed: DataFrame, n: int = 5, percent: int =
         pairs = left.join(pivot, "key").select(F.col("p.doc_id").alias("u"), F.col("p.size").alias("u_size"), F.col("doc_id").alias("v"), F.col("size").alias("v_size"))
         gone.append(similar(pairs))
         left = left.join(gone[-1].df, "doc_id", "left_anti")
-    u = members.df.select("key", F.col("doc_id").alias("u"), F.col("size").alias("u_size"))
-    v = left.select("key", F.col("doc_id").alias("v"), F.col("size").alias("v_size"))
-    gone.append(similar(u.join(v, "key")))
+    first = Stored(prefixes(sets.df, percent))
+    u, v = (first.df.select("key", F.col("doc_id").alias(x), F.col("size").alias(f"{x}_size"), F.col("place").alias(f"{x}_place")) for x in "uv")
+    v = v.join(left.select(F.col("doc_id").alias("v")).distinct(), "v", "left_semi")
+    # What two sets share lies at or behind the first shingle they share, and is this part of both sizes at least.
+    reach = F.least(F.col("u_size") - F.col("u_place"), F.col("v_size") - F.col("v_place"))
+    gone.append(similar(u.join(v, "key").where(reach * (100 + percent) >= percent * (F.col("u_size") + F.col("v_size")))))
     found = gone[0].df
     for g in gone[1:]:
         found = found.unionByName(g.df)
     out = Stored(found.distinct())
-    for t in (*gone, sets, ids, members):
+    for t in (*gone, first, sets, ids, members):
         t.drop()
     release(docs.sparkSession)
     return out
