@@ -111,6 +111,15 @@ def unpack(raw: bytes) -> np.ndarray:
     return flat.view(np.float64) if kind == b"f" else flat.view(np.dtype(f"u{size}")).astype(np.int64)
 
 
+def pack_names(names: np.ndarray) -> bytes:
+    """Sorted 64-bit names by their differences, whose upper bytes are small where names are many."""
+    return pack(np.diff(names, prepend=np.uint64(0)))
+
+
+def unpack_names(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw).view(np.uint64), dtype=np.uint64)
+
+
 def heads(*arrays: np.ndarray) -> np.ndarray:
     """Where a row of sorted arrays differs from the row before."""
     new = np.zeros(len(arrays[0]), bool)
@@ -254,7 +263,7 @@ def pair_pieces(stored: DataFrame, shares: int, hot: np.ndarray, start_hot: bool
             _, n, name = hot_pairs(b, hot, start_hot)
             share, order = shared_order(name, shares)
             edges = np.append(np.flatnonzero(heads(share)), len(share))
-            rows = [(int(share[lo]), b.block, name[order[lo:hi]].tobytes(), pack(n[order[lo:hi]])) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+            rows = [(int(share[lo]), b.block, pack_names(name[order[lo:hi]]), pack(n[order[lo:hi]])) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["share", "block", "names", "n"])
 
@@ -266,7 +275,7 @@ def count_pairs(pieces: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        parts = [np.frombuffer(r["names"], np.uint64) for r in rows]
+        parts = [unpack_names(r["names"]) for r in rows]
         names, at = np.unique(np.concatenate(parts), return_inverse=True)
         c = np.bincount(at, np.concatenate([unpack(r["n"]) for r in rows]), minlength=len(names)).astype(np.int64)
         edges = np.cumsum([0, *map(len, parts)])
@@ -311,7 +320,7 @@ def word_pieces(stored: DataFrame, shares: int) -> DataFrame:
             n = np.bincount(b.ids[~b.held[b.doc]], minlength=len(names))
             share, local = word_order(names, shares)
             edges = np.append(np.flatnonzero(heads(share)), len(share))
-            rows = [(int(share[lo]), b.block, names[local[lo:hi]].tobytes(), pack(n[local[lo:hi]])) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+            rows = [(int(share[lo]), b.block, pack_names(names[local[lo:hi]]), pack(n[local[lo:hi]])) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["share", "block", "names", "n"])
 
     return stored.mapInArrow(run, "share int, block long, names binary, n binary")
@@ -335,10 +344,13 @@ def count_words(pieces: DataFrame, shares: int, hot_count: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         share = rows[0]["share"]
-        parts = [np.frombuffer(r["names"], np.uint64) for r in rows]
+        parts = [unpack_names(r["names"]) for r in rows]
         names, at = np.unique(np.concatenate(parts), return_inverse=True)
         c = np.bincount(at, np.concatenate([unpack(r["n"]) for r in rows]), minlength=len(names)).astype(np.int64)
-        number = np.arange(len(names)) * shares + share + 1
+        # Small numbers for frequent words: in the order of numbers, differences and counts then pack well.
+        place = np.empty(len(names), np.int64)
+        place[np.argsort(-c, kind="stable")] = np.arange(len(names))
+        number = place * shares + share + 1
         ends = names == 0
         hot = np.flatnonzero((c > hot_count) & ~ends)
         out = [(share, None, names.tobytes(), pack(number), pack(c), int(c.sum()), int((c > 0).sum()), int(c[ends].sum()), types_of(c[c > 0]), number[hot].tolist(), c[hot].tolist(), names[hot].view(np.int64).tolist())]
