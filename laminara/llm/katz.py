@@ -626,6 +626,42 @@ def own_rows(known: DataFrame, model: Model) -> DataFrame:
     return known.mapInArrow(run, PARTS)
 
 
+#: Sums by document that a task holds before it passes them on.
+HELD = 4_000_000
+
+
+def combined(parts: DataFrame) -> DataFrame:
+    """``parts`` with the sums of each task's buckets added up by document, so that what is shuffled doesn't grow with
+    the number of buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+
+        def flush() -> pa.RecordBatch:
+            rows = [(k, *map(pack, (at, v[at])), *[None] * 5) for k, v in sorted(sums.items()) for at in [np.flatnonzero(v)]]
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), *[pa.binary()] * 7], strict=True)], PART_NAMES)
+
+        for b in batches:
+            own = b.filter(b.column("sizes").is_valid())
+            if own.num_rows:
+                yield own
+            for r in b.select(["block", "doc", "x"]).to_pylist():
+                if r["doc"] is None:
+                    continue
+                doc = unpack(r["doc"])
+                had, most = sums.get(r["block"], np.zeros(0)), int(doc.max(initial=0)) + 1
+                if len(had) < most:
+                    had = sums[r["block"]] = np.append(had, np.zeros(most - len(had)))
+                had[doc] += unpack(r["x"])
+            if sum(map(len, sums.values())) > HELD:
+                yield flush()
+        if sums:
+            yield flush()
+
+    return parts.mapInArrow(run, PARTS)
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -638,7 +674,7 @@ def put_together(parts: DataFrame, model: Model) -> DataFrame:
         own = next(r for r in rows if r["sizes"] is not None)
         size = unpack(own["sizes"])
         score = np.zeros(len(size))
-        # Always in the same order, so that sums come out alike in every run.
+        # In the same order whichever task ends first; what a task adds up before follows its files.
         for d, x in sorted((r["doc"], r["x"]) for r in rows if r["doc"] is not None):
             score[unpack(d)] += unpack(x)
         ids = pa.array(np.frombuffer(own["doc_id"], np.int64), mask=unpack(own["no_id"]).astype(bool))
@@ -801,7 +837,7 @@ def score_documents(docs: DataFrame, held_out: Column, bucket: int | None = None
     tables.drop()
     release(spark)
     small_batches(spark)
-    out = Stored(put_together(parts.df, model))
+    out = Stored(put_together(combined(parts.df), model))
     parts.drop()
     return out.df
 
