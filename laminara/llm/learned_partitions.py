@@ -247,10 +247,10 @@ def ranked(pairs: DataFrame, k: int) -> DataFrame:
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products over lengths, each summed in the same order, whatever block a vector lies in."""
-    lengths = np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(1))
     with np.errstate(all="ignore"):
+        lengths = np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(1))
         out = (x * q).sum(1) / lengths
-    odd = ~np.isfinite(out) | (lengths < 1e-290)
+    odd = ~np.isfinite(out + lengths) | (lengths < 1e-290)
     if odd.any():  # very large or small components
         a, b = unit(q[None])[0], unit(x[odd])
         out[odd] = (b * a).sum(1)

@@ -90,6 +90,25 @@ def keys(words: DataFrame, key_points: int) -> DataFrame:
     return own.union(less).union(long_keys(words.where(size > key_points), key_points))
 
 
+def one_apart(a: str, b: str) -> bool:
+    """Whether one code point is inserted, deleted or replaced; in time linear in the words, unlike an edit distance."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:  # the length of what both begin with
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return a != b and (a[low + 1 :] == b[low + 1 :] or a[low + 1 :] == b[low:] or a[low:] == b[low + 1 :])
+
+
+def long_near(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of long words that are one apart."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in parts:
+            yield t[[one_apart(a, b) for a, b in zip(t.a, t.b, strict=True)]]
+
+    return pairs.select("a", "b").mapInPandas(run, "a string, b string")
+
+
 def near_pairs(words: DataFrame, key_points: int = KEY_POINTS) -> DataFrame:
     """(a, b): all ordered pairs of different words of (word, n) at exactly one inserted, deleted or replaced code point.
 
@@ -100,7 +119,9 @@ def near_pairs(words: DataFrame, key_points: int = KEY_POINTS) -> DataFrame:
     k = keys(named, key_points)
     pairs = k.select("key", F.col("id").alias("x")).join(k.select("key", F.col("id").alias("y")), "key").where("x < y").select("x", "y").distinct()
     a, b = (named.select(F.col("id").alias(x), F.col("word").alias(w)) for x, w in (("x", "a"), ("y", "b")))
-    near = pairs.join(a, "x").join(b, "y").where(F.expr("levenshtein(a, b, 1) = 1")).select("a", "b")
+    met = pairs.join(a, "x").join(b, "y")
+    long = F.greatest(F.length("a"), F.length("b")) > key_points
+    near = met.where(~long).where(F.expr("levenshtein(a, b, 1) = 1")).select("a", "b").union(long_near(met.where(long)))
     return near.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
 
 
