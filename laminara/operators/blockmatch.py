@@ -40,12 +40,46 @@ def mean_padded(img: np.ndarray, value: float = 0.0) -> np.ndarray:
     return out
 
 
-def bandpass(low: float, high: float) -> np.ndarray:
-    """Difference of two Gaussians on the grid of the wider one; a sigma of 0 leaves its part out."""
-    r = int(np.ceil(3 * max(low, high)))
-    ii, jj = np.mgrid[-r : r + 1, -r : r + 1]
-    gauss = lambda s: np.exp(-(ii**2 + jj**2) / (2 * s * s)) / np.exp(-(ii**2 + jj**2) / (2 * s * s)).sum() if s > 0 else ((ii == 0) & (jj == 0)).astype(float)
-    return gauss(low) - (gauss(high) if high > 0 else 0)
+def reach(sigma: float) -> int:
+    """Half the width of a Gaussian's support."""
+    return 2 * int(np.ceil(sigma))
+
+
+def gauss(sigma: float) -> np.ndarray:
+    """Weights along one axis, summing to one; a sigma of 0 is the identity."""
+    x = np.arange(-reach(sigma), reach(sigma) + 1)
+    w = np.exp(-(x * x) / (2 * sigma * sigma)) if sigma > 0 else np.ones(1)
+    return w / w.sum()
+
+
+def smoothed(img: np.ndarray, sigma: float, spare: int = 0) -> np.ndarray:
+    """Rows and columns averaged in turn; the result lacks the support's reach at every side, and ``spare`` more pixels."""
+    if spare:
+        img = img[spare:-spare, spare:-spare]
+    w = gauss(sigma)
+    rows = sum(w[k] * img[k : img.shape[0] - len(w) + 1 + k] for k in range(len(w)))
+    return sum(w[k] * rows[:, k : rows.shape[1] - len(w) + 1 + k] for k in range(len(w)))
+
+
+def gauss_pair(low: float, high: float) -> tuple[float, float]:
+    """Sigmas of a band-pass: the image under the first Gaussian minus the image under the second; a sigma of 0 leaves its
+    part out, the first as the image itself, the second as nothing."""
+    if low < 0 or high < 0:
+        raise ValueError("a sigma can't be negative")
+    return low, high
+
+
+def bandpassed(img: np.ndarray, sigmas: tuple[float, float]) -> np.ndarray:
+    """The band of an image that already has the reach of the wider Gaussian around it."""
+    low, high = sigmas
+    most = max(reach(low), reach(high))
+    out = smoothed(img, low, most - reach(low))
+    return out - smoothed(img, high, most - reach(high)) if high > 0 else out
+
+
+def mean_bordered(img: np.ndarray, sigmas: tuple[float, float]) -> np.ndarray:
+    """The band of a patch, with its mean around it."""
+    return bandpassed(np.pad(img, max(map(reach, sigmas)), constant_values=img.mean()), sigmas)
 
 
 def box_sums(img: np.ndarray, h: int, w: int) -> np.ndarray:
@@ -131,11 +165,13 @@ def usable(src: np.ndarray, dst: np.ndarray) -> bool:
     return all(x.sum() != 0 for x in (dst[a, c : d + 1], dst[b, c : d + 1], dst[a : b + 1, c], dst[a : b + 1, d]))
 
 
-def match_patches(src: np.ndarray, dst: np.ndarray, scale: float = 1.0) -> dict | None:
-    """Shift and quality of one block, or None where it can't be matched. Both patches are padded with zeros."""
+def match_patches(src: np.ndarray, dst: np.ndarray, scale: float = 1.0, kernel: tuple[float, float] | None = None) -> dict | None:
+    """Shift and quality of one block, or None where it can't be matched. Both patches are padded with zeros; ``kernel`` names
+    the Gaussians of a band-pass before the correlation."""
     if not usable(src, dst) or any(a > b for a, b in zip(src.shape, dst.shape, strict=True)):
         return None
-    xc = ncc(mean_padded(src), mean_padded(dst))
+    a, b = mean_padded(src), mean_padded(dst)
+    xc = ncc(mean_bordered(a, kernel), mean_bordered(b, kernel)) if kernel else ncc(a, b)
     if np.isnan(xc).any():
         return None
     i, j, fi, fj = peak(xc)

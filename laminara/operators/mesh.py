@@ -142,14 +142,16 @@ def deform(points: DataFrame, m: Lattice, moved: DataFrame, id_: str, x: str, y:
     return spread.join(moved, "node").groupBy(id_).agg(F.sum(F.col("w") * F.col("dst_i")).alias("dst_i"), F.sum(F.col("w") * F.col("dst_j")).alias("dst_j"))
 
 
-def edge_ends(edge: DataFrame, place: DataFrame, i: str = "src_i", j: str = "src_j") -> DataFrame:
-    """(a, b, a_i, a_j, b_i, b_j, mid_i, mid_j, length)."""
-    at = lambda p: place.select(F.col("node").alias(p), F.col(i).alias(f"{p}_i"), F.col(j).alias(f"{p}_j"))
-    out = edge.join(at("a"), "a").join(at("b"), "b")
-    return out.select("a", "b", "a_i", "a_j", "b_i", "b_j", ((F.col("a_i") + F.col("b_i")) / 2).alias("mid_i"), ((F.col("a_j") + F.col("b_j")) / 2).alias("mid_j"), F.hypot(F.col("a_i") - F.col("b_i"), F.col("a_j") - F.col("b_j")).alias("length"))
-
-
-def dims_of(place: DataFrame) -> DataFrame:
-    """Rows, columns and pitches recovered from the list of nodes (src_i, src_j)."""
-    rows = place.groupBy(F.round("src_i", 6).alias("row")).agg(F.count(F.lit(1)).alias("n"), F.min("src_j").alias("lo"), F.max("src_j").alias("hi"))
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("cols"), ((F.max("row") - F.min("row")) / F.nullif(F.count(F.lit(1)) - 1, F.lit(0))).alias("pitch_i"), F.max((F.col("hi") - F.col("lo")) / F.nullif(F.col("n") - 1, F.lit(0))).alias("pitch_j"))
+def edge_ends(edge: DataFrame, place: DataFrame, i: str = "src_i", j: str = "src_j", keys: list[str] | None = None) -> DataFrame:
+    """(keys, a, b, a_i, a_j, b_i, b_j, mid_i, mid_j, length); ``keys`` tell meshes apart where there are many."""
+    keys = keys or []
+    at = lambda p: place.select(*keys, F.col("node").alias(p), F.col(i).alias(f"{p}_i"), F.col(j).alias(f"{p}_j"))
+    out = edge.join(at("a"), [*keys, "a"]).join(at("b"), [*keys, "b"])
+    return out.select(*keys, "a", "b", "a_i", "a_j", "b_i", "b_j", ((F.col("a_i") + F.col("b_i")) / 2).alias("mid_i"), ((F.col("a_j") + F.col("b_j")) / 2).alias("mid_j"), F.hypot(F.col("a_i") - F.col("b_i"), F.col("a_j") - F.col("b_j")).alias("length"))
+
+
+def dims_of(place: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Rows, columns and pitches recovered from the list of nodes (src_i, src_j), for each of ``keys``."""
+    keys = keys or []
+    rows = place.groupBy(*keys, F.round("src_i", 6).alias("row")).agg(F.count(F.lit(1)).alias("n"), F.min("src_j").alias("lo"), F.max("src_j").alias("hi"))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("cols"), ((F.max("row") - F.min("row")) / F.nullif(F.count(F.lit(1)) - 1, F.lit(0))).alias("pitch_i"), F.max((F.col("hi") - F.col("lo")) / F.nullif(F.col("n") - 1, F.lit(0))).alias("pitch_j"))

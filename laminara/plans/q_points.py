@@ -520,9 +520,15 @@ def agg_logistic_regression(spark, sf):
 # Windows, order and sets
 
 
-@query("win_blocks", "SELECT * FROM (VALUES " + ", ".join(f"({a}, {b})" for a, b in [(1, 22), (21, 42), (41, 62), (61, 82), (81, 100)]) + ") t(z0, z1)")
+@query("win_blocks", f"""{BASE}, z AS ({SECTIONS}), e AS (SELECT min(z) AS a, max(z) AS b FROM z), w AS (SELECT CAST(s AS INT) AS z0, CAST(least(s + 4, b) AS INT) AS z1, lag(s + 4) OVER (ORDER BY s) AS before, b FROM e, generate_series(a, b - 1, 3) g(s))
+SELECT w.z0, w.z1, count(*) AS n FROM w JOIN base ON src_z BETWEEN w.z0 AND w.z1 AND dst_z BETWEEN w.z0 AND w.z1 WHERE before IS NULL OR before < b GROUP BY ALL""")
 def win_blocks(spark, sf):
-    return spark.createDataFrame(z_blocks(1, 100), "z0 int, z1 int")
+    """Overlapping runs over all sections, and the correspondences within each."""
+    ends = sections(spark, sf).agg(F.min("z"), F.max("z")).first()
+    runs = spark.createDataFrame(z_blocks(ends[0], ends[1], 3, 2), "z0 int, z1 int")
+    within = (F.col("src_z") >= F.col("z0")) & (F.col("src_z") <= F.col("z1")) & (F.col("dst_z") >= F.col("z0")) & (F.col("dst_z") <= F.col("z1"))
+    # The runs are a few numbers made at plan time.
+    return correspondences(spark, sf).select("src_z", "dst_z").join(F.broadcast(runs), within).groupBy("z0", "z1").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("win_shift_row", f"WITH {TILES} SELECT tile, COALESCE(lead(j, 2) OVER (PARTITION BY z, row ORDER BY col), max(j) OVER (PARTITION BY z, row) + 900 * (col + 2 - max(col) OVER (PARTITION BY z, row))) AS j FROM tiles")

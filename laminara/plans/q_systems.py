@@ -14,7 +14,7 @@ from laminara.operators import stats as st
 from laminara.plans.q_images import images
 from laminara.plans.q_points import BASE, SECTIONS, TILES, base, sections, tiles
 from laminara.sources import storage
-from laminara.sources.derive import SQL_PX, correspondences
+from laminara.sources.derive import SQL_PLANE, SQL_PX, correspondences, mosaic_extent
 from laminara.streaming import tasks as tk
 
 R = st.r
@@ -26,7 +26,10 @@ FROM generate_series(1, {ROWS}) a(i), generate_series(1, {COLS}) b(j) WHERE i %
 #: Two nodes are linked if they are one length apart, or two rows apart at the end of odd rows.
 EDGES = f"""e AS (SELECT a.node AS a, b.node AS b, a.src_i AS ai, a.src_j AS aj, b.src_i AS bi, b.src_j AS bj, sqrt((a.src_i - b.src_i) ** 2 + (a.src_j - b.src_j) ** 2) AS length FROM n a JOIN n b ON a.node > b.node
 AND ((a.src_i - b.src_i) ** 2 + (a.src_j - b.src_j) ** 2 < {(1.01 * M.length) ** 2} OR (a.i - b.i = 2 AND a.i % 2 = 1 AND a.j = b.j AND a.j IN (1, {COLS}))))"""
-MOVED = "m AS (SELECT node, src_i * 1.01 + src_j * 0.02 + 3 AS dst_i, src_j * 0.98 - src_i * 0.01 - 2 AS dst_j FROM n)"
+#: Every section's mesh; the nodes of a section move by an affine map and the mean shift of its correspondences.
+STACK = f"{BASE}, {NODES}, z AS ({SECTIONS}), drift AS (SELECT src_z AS z, avg(dv_i) AS di, avg(dv_j) AS dj FROM base GROUP BY ALL), off AS (SELECT z.z, COALESCE(di, 0) AS di, COALESCE(dj, 0) AS dj FROM z LEFT JOIN drift ON drift.z = z.z)"
+TO_I, TO_J = "({0} * 1.01 + {1} * 0.02 + 3 + di)", "({1} * 0.98 - {0} * 0.01 - 2 + dj)"
+MOVED = f"m AS (SELECT z, node, {TO_I.format('src_i', 'src_j')} AS dst_i, {TO_J.format('src_i', 'src_j')} AS dst_j FROM n, off)"
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -42,30 +45,49 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def stack(spark: SparkSession, sf: str) -> DataFrame:
+    """The nodes of every section's mesh."""
+    # The lattice is a bounded plan-time table.
+    return sections(spark, sf).join(F.broadcast(ms.nodes(spark, M)), F.lit(True))
+
+
+def drift(spark: SparkSession, sf: str) -> DataFrame:
+    """(z, di, dj): mean shift of each section's correspondences, zero without any."""
+    mean = correspondences(spark, sf).groupBy(F.col("src_z").alias("z")).agg(F.avg("dv_i").alias("di"), F.avg("dv_j").alias("dj"))
+    return sections(spark, sf).join(mean, "z", "left").fillna(0.0, ["di", "dj"])
+
+
+def stack_moved(spark: SparkSession, sf: str) -> DataFrame:
+    i, j = (F.expr(t.format("src_i", "src_j")) for t in (TO_I, TO_J))
+    return stack(spark, sf).join(F.broadcast(drift(spark, sf)), "z").select("z", "node", i.alias("dst_i"), j.alias("dst_j"))
+
+
 def moved(spark: SparkSession) -> DataFrame:
     n = ms.nodes(spark, M)
     return n.select("node", (F.col("src_i") * 1.01 + F.col("src_j") * 0.02 + 3).alias("dst_i"), (F.col("src_j") * 0.98 - F.col("src_i") * 0.01 - 2).alias("dst_j"))
 
 
-@query("msh_nodes", f"WITH {NODES} SELECT node, i, j, round(src_i, 6) + 0.0 AS src_i, round(src_j, 6) + 0.0 AS src_j FROM n")
+@query("msh_nodes", f"{STACK} SELECT z, node, i, j, round(src_i, 6) + 0.0 AS src_i, round(src_j, 6) + 0.0 AS src_j FROM n, z")
 def msh_nodes(spark, sf):
-    return ms.nodes(spark, M).withColumns({c: R(F.col(c)) for c in ("src_i", "src_j")})
+    return stack(spark, sf).withColumns({c: R(F.col(c)) for c in ("src_i", "src_j")})
 
 
-@query("msh_edges", f"WITH {NODES}, {EDGES} SELECT a, b, round(length, 6) + 0.0 AS length, round((ai + bi) / 2, 6) + 0.0 AS mid_i, round((aj + bj) / 2, 6) + 0.0 AS mid_j FROM e")
+@query("msh_edges", f"{STACK}, {EDGES} SELECT z, a, b, round(length, 6) + 0.0 AS length, round((ai + bi) / 2, 6) + 0.0 AS mid_i, round((aj + bj) / 2, 6) + 0.0 AS mid_j FROM e, z")
 def msh_edges(spark, sf):
-    return ms.edge_ends(ms.edges(spark, M), ms.nodes(spark, M)).select("a", "b", *(R(F.col(c)).alias(c) for c in ("length", "mid_i", "mid_j")))
+    edges = ms.edges(spark, M).join(sections(spark, sf), F.lit(True))
+    return ms.edge_ends(edges, stack(spark, sf), keys=["z"]).select("z", "a", "b", *(R(F.col(c)).alias(c) for c in ("length", "mid_i", "mid_j")))
 
 
-@query("msh_node_lookup", f"WITH {NODES}, g AS (SELECT i, j FROM generate_series(-1, {ROWS + 2}) a(i), generate_series(-1, {COLS + 2}) b(j)) SELECT CAST(g.i AS INT) AS i, CAST(g.j AS INT) AS j, node FROM g LEFT JOIN n ON n.i = g.i AND n.j = g.j")
+@query("msh_node_lookup", f"{STACK}, g AS (SELECT corr_id, CAST(floor(pre_i / 75) AS INT) - 1 AS i, CAST(floor(pre_j / 75) AS INT) - 1 AS j FROM base) SELECT corr_id, g.i, g.j, node FROM g LEFT JOIN n ON n.i = g.i AND n.j = g.j")
 def msh_node_lookup(spark, sf):
-    g = spark.range(-1, ROWS + 3).select(F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.lit(-1), F.lit(COLS + 2))).alias("j"))
-    return g.withColumn("node", ms.node(M, F.col("i"), F.col("j")))
+    """The node at a row and column made of each correspondence's place; some lie outside."""
+    at = lambda c: (F.floor(F.col(c) / 75) - 1).cast("int")
+    return correspondences(spark, sf).select("corr_id", at("pre_i").alias("i"), at("pre_j").alias("j")).withColumn("node", ms.node(M, F.col("i"), F.col("j")))
 
 
-@query("msh_dims", f"WITH {NODES} SELECT count(DISTINCT i) AS rows, CAST(max(j) AS BIGINT) AS cols, round({D1!r}::DOUBLE, 4) AS pitch_i, round({D2!r}::DOUBLE, 4) AS pitch_j FROM n")
+@query("msh_dims", f"{STACK} SELECT z, count(DISTINCT i) AS rows, CAST(max(j) AS BIGINT) AS cols, round({D1!r}::DOUBLE, 4) AS pitch_i, round({D2!r}::DOUBLE, 4) AS pitch_j FROM n, z GROUP BY z")
 def msh_dims(spark, sf):
-    return ms.dims_of(ms.nodes(spark, M)).select("rows", "cols", F.round("pitch_i", 4).alias("pitch_i"), F.round("pitch_j", 4).alias("pitch_j"))
+    return ms.dims_of(stack(spark, sf), ["z"]).select("z", "rows", "cols", F.round("pitch_i", 4).alias("pitch_i"), F.round("pitch_j", 4).alias("pitch_j"))
 
 
 @query("msh_locate", f"""{BASE}, {NODES}, p AS (SELECT corr_id, pre_i + 0.25 AS x, pre_j + 0.125 AS y FROM base),
@@ -93,20 +115,24 @@ def msh_deform(spark, sf):
     return out.select("corr_id", R(F.col("dst_i")).alias("dst_i"), R(F.col("dst_j")).alias("dst_j"))
 
 
-@query("msh_strain", f"WITH {NODES}, {EDGES}, {MOVED} SELECT a, b, round(sqrt((x.dst_i - y.dst_i) ** 2 + (x.dst_j - y.dst_j) ** 2) - length, 6) + 0.0 AS strain FROM e JOIN m x ON x.node = a JOIN m y ON y.node = b")
+@query("msh_strain", f"{STACK}, {EDGES}, {MOVED} SELECT x.z, a, b, round(sqrt((x.dst_i - y.dst_i) ** 2 + (x.dst_j - y.dst_j) ** 2) - length, 6) + 0.0 AS strain FROM e JOIN m x ON x.node = a JOIN m y ON y.node = b AND y.z = x.z")
 def msh_strain(spark, sf):
     e = ms.edges(spark, M)
     pre = ms.edge_ends(e, ms.nodes(spark, M)).select("a", "b", F.col("length").alias("pre"))
-    post = ms.edge_ends(e, moved(spark), "dst_i", "dst_j").select("a", "b", "length")
-    return pre.join(post, ["a", "b"]).select("a", "b", R(F.col("length") - F.col("pre")).alias("strain"))
+    post = ms.edge_ends(e.join(sections(spark, sf), F.lit(True)), stack_moved(spark, sf), "dst_i", "dst_j", ["z"]).select("z", "a", "b", "length")
+    return post.join(F.broadcast(pre), ["a", "b"]).select("z", "a", "b", R(F.col("length") - F.col("pre")).alias("strain"))
 
 
-@query("msh_box_edges", f"WITH {NODES}, {EDGES} SELECT a, b FROM e WHERE (ai BETWEEN 100 AND 300 AND aj BETWEEN 100 AND 400) OR (bi BETWEEN 100 AND 300 AND bj BETWEEN 100 AND 400)")
+@query("msh_box_edges", f"""{STACK}, {EDGES}, box AS (SELECT src_z AS z, min(pre_i) + 100 AS i0, min(pre_i) + 300 AS i1, max(pre_j) - 400 AS j0, max(pre_j) - 100 AS j1 FROM base GROUP BY ALL)
+SELECT z, a, b FROM e, box WHERE (ai BETWEEN i0 AND i1 AND aj BETWEEN j0 AND j1) OR (bi BETWEEN i0 AND i1 AND bj BETWEEN j0 AND j1)""")
 def msh_box_edges(spark, sf):
+    """Edges with an end in a box that each section's correspondences place."""
     from laminara.operators.filters import in_box
 
-    box = (100, 100, 200, 300)
-    return ms.edge_ends(ms.edges(spark, M), ms.nodes(spark, M)).where(in_box(F.col("a_i"), F.col("a_j"), box) | in_box(F.col("b_i"), F.col("b_j"), box)).select("a", "b")
+    boxes = correspondences(spark, sf).groupBy(F.col("src_z").alias("z")).agg((F.min("pre_i") + 100).alias("i0"), (F.max("pre_j") - 400).alias("j0"))
+    box = (F.col("i0"), F.col("j0"), 200, 300)
+    ends = ms.edge_ends(ms.edges(spark, M), ms.nodes(spark, M)).join(boxes, F.lit(True))
+    return ends.where(in_box(F.col("a_i"), F.col("a_j"), box) | in_box(F.col("b_i"), F.col("b_j"), box)).select("z", "a", "b")
 
 
 @query("msh_stack", f"{BASE}, {NODES}, z AS ({SECTIONS}) SELECT z, count(*) AS n, round(min(src_i), 6) + 0.0 AS i0, round(max(src_j), 6) + 0.0 AS j1 FROM z, n GROUP BY z")
@@ -123,31 +149,54 @@ def msh_homogeneous(spark, sf):
 # Springs
 
 
-def system(spark):
-    n = ms.nodes(spark, M)
-    e = ms.edge_ends(ms.edges(spark, M), n)
-    springs = e.select(F.concat_ws("-", "a", "b").alias("spring"), F.lit(2.0).alias("k"), F.col("length").alias("rest"))
-    ends = e.select(F.concat_ws("-", "a", "b").alias("spring"), F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(-1.0).alias("val")), F.struct(F.col("b").alias("node"), F.lit(1.0).alias("val")))).alias("s")).select("spring", "s.*")
-    return springs, ends, moved(spark).select("node", F.col("dst_i").alias("i"), F.col("dst_j").alias("j"))
+def system(spark, sf):
+    """Springs along all edges of all sections' meshes, and one from each correspondence's point of its source mesh to that of
+    its target mesh, both as weighted sums of three nodes."""
+    ms_key = lambda z, k: F.concat_ws(":", z, k)
+    e = ms.edge_ends(ms.edges(spark, M), ms.nodes(spark, M)).join(sections(spark, sf), F.lit(True)).withColumn("spring", F.concat_ws(":", "z", "a", "b"))
+    inner = e.select("spring", F.lit(2.0).alias("k"), F.col("length").alias("rest"))
+    ends = e.select("spring", F.explode(F.array(F.struct(ms_key("z", "a").alias("node"), F.lit(-1.0).alias("val")), F.struct(ms_key("z", "b").alias("node"), F.lit(1.0).alias("val")))).alias("s")).select("spring", "s.*")
+    c = correspondences(spark, sf).select("corr_id", "src_z", "dst_z", "pre_i", "pre_j", (F.col("pre_i") + F.col("dv_i")).alias("post_i"), (F.col("pre_j") + F.col("dv_j")).alias("post_j"))
+    across = c.select(F.col("corr_id").cast("string").alias("spring"), (F.lit(100.0) / F.abs(F.col("dst_z") - F.col("src_z"))).alias("k"), F.lit(0.0).alias("rest"))
+    for z, i, j, sign in (("src_z", "pre_i", "pre_j", -1.0), ("dst_z", "post_i", "post_j", 1.0)):
+        at = ms.located(c.select("corr_id", z, i, j), M, i, j)
+        three = F.explode(F.array(*(F.struct(ms_key(F.col(z), F.col(k)).alias("node"), (F.col(w) * sign).alias("val")) for k, w in (("k0", "w0"), ("ka", "wa"), ("kb", "wb"))))).alias("s")
+        ends = ends.union(at.select(F.col("corr_id").cast("string").alias("spring"), three).select("spring", "s.*"))
+    place = stack_moved(spark, sf).select(ms_key("z", "node").alias("node"), F.col("dst_i").alias("i"), F.col("dst_j").alias("j"))
+    return inner.union(across), ends, place
 
 
-SPRINGS = f"{NODES}, {EDGES}, {MOVED}, s AS (SELECT a, b, length AS rest, y.dst_i - x.dst_i AS si, y.dst_j - x.dst_j AS sj, sqrt((y.dst_i - x.dst_i) ** 2 + (y.dst_j - x.dst_j) ** 2) + 1e-12 AS len FROM e JOIN m x ON x.node = a JOIN m y ON y.node = b)"
+AFFINE = lambda i, j, di, dj: (f"({i} * 1.01 + {j} * 0.02 + 3 + {di})", f"({j} * 0.98 - {i} * 0.01 - 2 + {dj})")
+#: Moved places of points within triangles follow the affine map of their section, so springs of correspondences need no nodes.
+SPRINGS = f"""{STACK}, {EDGES}, {MOVED}, s0 AS (SELECT x.z || ':' || a || ':' || b AS spring, 2.0::DOUBLE AS k, length AS rest, y.dst_i - x.dst_i AS si, y.dst_j - x.dst_j AS sj FROM e JOIN m x ON x.node = a JOIN m y ON y.node = b AND y.z = x.z
+UNION ALL SELECT CAST(corr_id AS VARCHAR), 100.0::DOUBLE / abs(dst_z - src_z), 0, {AFFINE("(pre_i + dv_i)", "(pre_j + dv_j)", "t.di", "t.dj")[0]} - {AFFINE("pre_i", "pre_j", "s.di", "s.dj")[0]}, {AFFINE("(pre_i + dv_i)", "(pre_j + dv_j)", "t.di", "t.dj")[1]} - {AFFINE("pre_i", "pre_j", "s.di", "s.dj")[1]} FROM base JOIN off s ON s.z = src_z JOIN off t ON t.z = dst_z),
+s AS (SELECT *, sqrt(si * si + sj * sj) + 1e-12 AS len FROM s0)"""
 
 
-@query("sol_lengths", f"WITH {SPRINGS} SELECT a || '-' || b AS spring, round(len, 6) + 0.0 AS length FROM s")
+@query("sol_lengths", f"{SPRINGS} SELECT spring, round(len, 5) + 0.0 AS length FROM s")
 def sol_lengths(spark, sf):
-    return so.spring_vectors(*system(spark)).select("spring", R(F.col("length")).alias("length"))
+    return so.spring_vectors(*system(spark, sf)).select("spring", R(F.col("length"), 5).alias("length"))
 
 
-@query("sol_energy", f"WITH {SPRINGS} SELECT round(sum(0.5 * 2.0 * (len - rest) ** 2), 4) + 0.0 AS energy FROM s")
+@query("sol_energy", f"{SPRINGS} SELECT CAST(round(sum(0.5 * k * (len - rest) ** 2)) AS BIGINT) AS energy FROM s")
 def sol_energy(spark, sf):
-    return so.energy(so.spring_vectors(*system(spark))).select(R(F.col("energy"), 4).alias("energy"))
-
-
-@query("sol_gradient", f"WITH {SPRINGS}, f AS (SELECT a, b, 2.0 * (si - si * rest / len) AS fi, 2.0 * (sj - sj * rest / len) AS fj FROM s) SELECT node, round(sum(fi), 4) + 0.0 AS g_i, round(sum(fj), 4) + 0.0 AS g_j FROM (SELECT a AS node, -fi AS fi, -fj AS fj FROM f UNION ALL SELECT b, fi, fj FROM f) GROUP BY node")
+    return so.energy(so.spring_vectors(*system(spark, sf))).select(F.round("energy").cast("long").alias("energy"))
+
+
+@query("sol_gradient", f"""{SPRINGS}, f AS (SELECT spring, k * (si - si * rest / len) AS fi, k * (sj - sj * rest / len) AS fj FROM s),
+p AS (SELECT corr_id, src_z AS z, -1 AS sign, pre_i AS x, pre_j AS y FROM base UNION ALL SELECT corr_id, dst_z, 1, pre_i + dv_i, pre_j + dv_j FROM base),
+near AS (SELECT corr_id, z, sign, node, x, y, src_i, src_j, row_number() OVER (PARTITION BY corr_id, sign ORDER BY (x - src_i) ** 2 + (y - src_j) ** 2, node) AS nth FROM p JOIN n ON abs(x - src_i) < {2 * M.length} AND abs(y - src_j) < {2 * M.length}),
+w AS (SELECT a.corr_id, a.z, a.sign, unnest([a.node, b.node, c.node]) AS node, unnest([((b.src_j - c.src_j) * (a.x - c.src_i) + (c.src_i - b.src_i) * (a.y - c.src_j)) / det, ((c.src_j - a.src_j) * (a.x - c.src_i) + (a.src_i - c.src_i) * (a.y - c.src_j)) / det,
+1 - ((b.src_j - c.src_j) * (a.x - c.src_i) + (c.src_i - b.src_i) * (a.y - c.src_j)) / det - ((c.src_j - a.src_j) * (a.x - c.src_i) + (a.src_i - c.src_i) * (a.y - c.src_j)) / det]) AS w
+FROM (SELECT *, 1 AS one FROM near WHERE nth = 1) a JOIN (SELECT * FROM near WHERE nth = 2) b USING (corr_id, sign) JOIN (SELECT * FROM near WHERE nth = 3) c USING (corr_id, sign), LATERAL (SELECT (b.src_j - c.src_j) * (a.src_i - c.src_i) + (c.src_i - b.src_i) * (a.src_j - c.src_j) AS det) d)
+SELECT node, round(sum(gi), 3) + 0.0 AS g_i, round(sum(gj), 3) + 0.0 AS g_j FROM (
+SELECT z || ':' || node AS node, sign * w * fi AS gi, sign * w * fj AS gj FROM w JOIN f ON f.spring = CAST(w.corr_id AS VARCHAR)
+UNION ALL SELECT string_split(spring, ':')[1] || ':' || string_split(spring, ':')[2], -fi, -fj FROM f WHERE spring LIKE '%:%'
+UNION ALL SELECT string_split(spring, ':')[1] || ':' || string_split(spring, ':')[3], fi, fj FROM f WHERE spring LIKE '%:%') GROUP BY node""")
 def sol_gradient(spark, sf):
-    springs, ends, place = system(spark)
-    return so.gradient(so.spring_vectors(springs, ends, place), ends).select("node", R(F.col("g_i"), 4).alias("g_i"), R(F.col("g_j"), 4).alias("g_j"))
+    """The pull of all springs on every node of every mesh."""
+    springs, ends, place = system(spark, sf)
+    return so.gradient(so.spring_vectors(springs, ends, place), ends).select("node", R(F.col("g_i"), 3).alias("g_i"), R(F.col("g_j"), 3).alias("g_j"))
 
 
 @query("sol_match_stiffness", f"{BASE} SELECT DISTINCT src_z, dst_z, 100.0::DOUBLE / abs(dst_z - src_z) AS k FROM base")
@@ -198,16 +247,17 @@ def sol_decompose(spark, sf):
     return d.select("src_z", "dst_z", *(R(F.col(c), 3 if c == "rotation" else 4).alias(c) for c in ("scale_i", "scale_j", "shear", "rotation")))
 
 
-@query("sol_relax", f"WITH {NODES} SELECT 0::BIGINT AS block, count(*) AS n, TRUE AS lower, TRUE AS held FROM n")
+@query("sol_relax", f"""{STACK}, {EDGES}, {MOVED}, s AS (SELECT x.z, length AS rest, sqrt((x.dst_i - y.dst_i) ** 2 + (x.dst_j - y.dst_j) ** 2) + 1e-12 AS len FROM e JOIN m x ON x.node = a JOIN m y ON y.node = b AND y.z = x.z)
+SELECT CAST(z AS BIGINT) AS block, {M.count} AS n, round(sum(0.5 * 2.0 * (len - rest) ** 2), 3) + 0.0 AS energy_before, TRUE AS lower, TRUE AS held FROM s GROUP BY z""")
 def sol_relax(spark, sf):
-    """One block relaxed with its first row fixed: the energy falls and the fixed nodes stay."""
-    springs, ends, place = system(spark)
-    ends = ends.join(springs, "spring").withColumn("block", F.lit(0).cast("long"))
-    nodes = place.withColumns({"block": F.lit(0).cast("long"), "fixed": F.col("node") <= COLS})
-    out = so.relax_blocks(nodes, ends, max_iters=200)
-    j = out.join(place, "node")
+    """Every section's mesh relaxed on its own with its first row fixed: the energy falls and the fixed nodes stay."""
+    e = ms.edge_ends(ms.edges(spark, M), ms.nodes(spark, M)).join(sections(spark, sf), F.lit(True))
+    ends = e.select(F.col("z").cast("long").alias("block"), F.concat_ws("-", "a", "b").alias("spring"), F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(-1.0).alias("val")), F.struct(F.col("b").alias("node"), F.lit(1.0).alias("val")))).alias("s"), F.lit(2.0).alias("k"), F.col("length").alias("rest")).select("block", "spring", "s.*", "k", "rest")
+    place = stack_moved(spark, sf).select(F.col("z").cast("long").alias("block"), "node", F.col("dst_i").alias("i"), F.col("dst_j").alias("j"))
+    out = so.relax_blocks(place.withColumn("fixed", F.col("node") <= COLS), ends, max_iters=200)
+    j = out.join(place, ["block", "node"])
     held = (F.col("node") > COLS) | ((F.abs(F.col("dst_i") - F.col("i")) < 1e-9) & (F.abs(F.col("dst_j") - F.col("j")) < 1e-9))
-    return j.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("energy_after") < F.col("energy_before")).alias("lower"), F.bool_and(held).alias("held"))
+    return j.groupBy("block").agg(F.count(F.lit(1)).cast("int").alias("n"), R(F.max("energy_before"), 3).alias("energy_before"), F.bool_and(F.col("energy_after") < F.col("energy_before")).alias("lower"), F.bool_and(held).alias("held"))
 
 
 @query("sol_elastic")
@@ -242,9 +292,11 @@ def tsk_pair_messages(spark, sf):
     return tk.pair_tasks(jon.section_pairs(sections(spark, sf), 2), "match", '{"depth":2}')
 
 
-@query("tsk_chunks", "SELECT CAST(x AS INT) AS x0, CAST(least(x + 1024, 5000) AS INT) AS x1, CAST(y AS INT) AS y0, CAST(least(y + 1024, 3000) AS INT) AS y1, CAST(z AS INT) AS z0, CAST(least(z + 64, 200) AS INT) AS z1 FROM generate_series(0, 4999, 1024) a(x), generate_series(0, 2999, 1024) b(y), generate_series(10, 199, 64) c(z)")
+@query("tsk_chunks", f"WITH {SQL_PLANE} SELECT CAST(x AS INT) AS x0, CAST(least(x + 100, w) AS INT) AS x1, CAST(y AS INT) AS y0, CAST(least(y + 100, h) AS INT) AS y1, CAST(z AS INT) AS z0, CAST(least(z + 4, 10) AS INT) AS z1 FROM extent, generate_series(0, w - 1, 100) a(x), generate_series(0, h - 1, 100) b(y), generate_series(0, 9, 4) c(z)")
 def tsk_chunks(spark, sf):
-    return tk.chunk_tasks(spark, ((0, 5000), (0, 3000), (10, 200)), (1024, 1024, 64))
+    """Chunk tasks over the planes that all tiles make up."""
+    height, width = mosaic_extent(spark, sf)
+    return tk.chunk_tasks(spark, ((0, width), (0, height), (0, 10)), (100, 100, 4))
 
 
 def scratch(spark: SparkSession) -> str:
@@ -303,19 +355,29 @@ def src_z_map(spark, sf):
     return storage.with_z_map(correspondences(spark, sf).select("corr_id", "src_z"), z_map, "src_z")
 
 
-@query("src_params", "SELECT 3 AS depth, 160.0::DOUBLE AS mesh_length, 'elastic' AS method")
+@query("src_params", f"""{BASE} SELECT DISTINCT src_z, dst_z, CASE WHEN src_z % 2 = 0 THEN dst_z - src_z ELSE 2 END AS depth, CASE WHEN src_z % 3 = 0 THEN 10.0 * dst_z ELSE 160.0 END::DOUBLE AS mesh_length, CASE WHEN src_z % 5 = 0 THEN 'rigid' ELSE 'elastic' END AS method, 128 AS block_r, [0, CASE WHEN src_z % 2 = 0 THEN 3 ELSE 0 END]::DOUBLE[] AS bandpass_sigmas FROM base""")
 def src_params(spark, sf):
-    from laminara.operators.filters import find_key
-
-    p = storage.load_params(json.dumps({"match": {"depth": 3}, "task": {"method": "match"}}))
-    return spark.createDataFrame([(find_key(p, "depth"), find_key(p, "mesh_length"), p["solve"]["method"])], "depth int, mesh_length double, method string")
-
-
-@query("src_pairs_text", "SELECT * FROM (VALUES (117, 118), (0, 1), (376, 379), (503, 506)) t(src_z, dst_z)")
+    """Parameter files of all pairs, with some keys each, written and read again over the defaults, and looked up by key."""
+    path, c = scratch(spark), correspondences(spark, sf).select("src_z", "dst_z").distinct()
+    even, third, fifth = (F.col("src_z") % k == 0 for k in (2, 3, 5))
+    text = F.to_json(F.struct(
+        F.struct(F.when(even, F.col("dst_z") - F.col("src_z")).alias("depth"), F.when(even, F.array(F.lit(0.0), F.lit(3.0))).alias("bandpass_sigmas")).alias("match"),
+        F.when(third, F.struct((F.col("dst_z") * 10.0).alias("mesh_length"))).alias("mesh"), F.when(fifth, F.struct(F.lit("rigid").alias("method"))).alias("solve"),
+    ))
+    c.withColumn("value", text).write.partitionBy("src_z", "dst_z").text(path)
+    p = storage.with_params(spark.read.text(path), "value")
+    wanted = ("depth", "mesh_length", "method", "block_r", "bandpass_sigmas")
+    return p.select("src_z", "dst_z", *(storage.param(k).alias(k) for k in wanted))
+
+
+@query("src_pairs_text", f"{BASE} SELECT src_z, dst_z FROM base")
 def src_pairs_text(spark, sf):
-    path = scratch(spark)
-    spark.createDataFrame([("117,118",), ("((0, 1),)",), ("[(376,379),(503,506)]",)], "value string").write.text(path)
-    return storage.read_pairs(spark, path)
+    """All pairs written in three forms, one line or many, and read again."""
+    path, c = scratch(spark), correspondences(spark, sf).select("corr_id", "src_z", "dst_z")
+    line = F.when(F.col("corr_id") % 3 == 0, F.format_string("%d,%d", "src_z", "dst_z")).otherwise(F.format_string("((%d, %d),)", "src_z", "dst_z"))
+    c.where("corr_id % 3 < 2").select(line).write.text(f"{path}/lines")
+    c.where("corr_id % 3 = 2").groupBy((F.col("corr_id") % 64).alias("k")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.format_string("(%d,%d)", "src_z", "dst_z")), ","), F.lit("]")).alias("t")).select("t").write.text(f"{path}/lists")
+    return storage.read_pairs(spark, f"{path}/*")
 
 
 @query("src_tiles_tsv", f"WITH {TILES} SELECT tile, z, row, col FROM tiles")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laminara.plans import q_images, q_points, q_systems
+from laminara.plans import q_images, q_points, q_systems, q_tasks
 
-MODULES = (q_points, q_images, q_systems)
+MODULES = (q_points, q_images, q_systems, q_tasks)
 FLAGSHIP = "flt_chain"
 
 

@@ -43,8 +43,38 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("tile"), F.col("label").alias("z"), F.expr("cast(p div 8 + 1 as int)").alias("i"), (F.col("p") % 8 + 1).cast("int").alias("j"), px.alias("px"))
 
 
+#: Tiles side by side in a plane of ``mosaic``.
+ACROSS = 32
+
+
+def mosaic(spark: SparkSession, sf_dir: str, size: int = 64) -> DataFrame:
+    """Ten planes as chunks: the tile of id t lies in plane t % 10, at place t div 10 of rows of ACROSS tiles."""
+    import numpy as np
+    import pandas as pd
+
+    per = size // 8
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("transform(embedding, v -> cast(least(255, greatest(0, floor(cast(v as double) * 127.5 + 127.5))) as int))").alias("px"))
+    at = e.select((F.col("vec_id") % 10).cast("int").alias("z"), F.expr(f"cast(vec_id div 10 div {ACROSS} as int)").alias("row"), F.expr(f"cast(vec_id div 10 % {ACROSS} as int)").alias("col"), "px")
+    at = at.withColumns({"ci": F.expr(f"cast(row div {per} as int)"), "cj": F.expr(f"cast(col div {per} as int)")})
+
+    def pack(t: pd.DataFrame) -> pd.DataFrame:
+        img, first = np.zeros((per, 8, per, 8), np.uint8), t.iloc[0]
+        img[t.row % per, :, t.col % per] = np.stack(t.px.to_list()).reshape(-1, 8, 8)
+        return pd.DataFrame({"z": [first.z], "mip": [0], "ci": [first.ci], "cj": [first.cj], "h": [size], "w": [size], "data": [img.tobytes()]})
+
+    return at.groupBy("z", "ci", "cj").applyInPandas(pack, "z int, mip int, ci int, cj int, h int, w int, data binary")
+
+
+def mosaic_extent(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Height and width of the planes."""
+    last = table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0
+    return 8 * (last // 10 // ACROSS + 1), 8 * ACROSS
+
+
 #: SQL of the same tables for an independent engine.
 SQL_CORR = f"corr AS (SELECT {CORR} FROM events)"
 SQL_PX = """px AS (SELECT vec_id AS tile, label AS z, CAST((p - 1) // 8 + 1 AS INT) AS i, CAST((p - 1) % 8 + 1 AS INT) AS j,
 CAST(LEAST(255, GREATEST(0, FLOOR(CAST(embedding[p] AS DOUBLE) * 127.5 + 127.5))) AS INT) AS px
 FROM (SELECT *, UNNEST(generate_series(1, 64)) AS p FROM embeddings))"""
+SQL_PLANE = f"""{SQL_PX}, plane AS (SELECT CAST(tile % 10 AS INT) AS z, CAST(tile // 10 // {ACROSS} * 8 + i AS INT) AS i, CAST(tile // 10 % {ACROSS} * 8 + j AS INT) AS j, px FROM px),
+extent AS (SELECT 8 * (max(tile) // 10 // {ACROSS} + 1) AS h, {8 * ACROSS} AS w FROM px)"""

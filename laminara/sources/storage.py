@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = "z int, mip int, ci int, cj int, h int, w int, data binary"
@@ -16,10 +16,13 @@ POINTS = "corr_id long, src_z int, dst_z int, pre_x double, pre_y double, pre_z
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names; set a temporary one only where none is named."""
+    """Use the folder that the cluster names; set a temporary one only in local sessions, where none is named."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="laminara-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="laminara-"))
 
 
 class Stored:
@@ -130,6 +133,27 @@ def load_params(text: str, defaults: dict | None = None) -> dict:
     return merged(defaults or DEFAULTS, json.loads(text))
 
 
+#: Types of the parameters of ``DEFAULTS``, as a schema of the files.
+PARAMS = "mesh struct<mesh_length:double>, match struct<block_r:int,search_r:int,depth:int,symmetric:boolean,bandpass_sigmas:array<double>>, solve struct<method:string,mesh_spring_coeff:double,match_spring_coeff:double,max_iters:int,ftol_cg:double,lambda:double>"
+
+
+def with_params(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with the column ``params``: each row's parameter file over the defaults. Keys that a file lacks or gives as
+    null, and all keys of a text that is no JSON, have their defaults; keys that aren't known are left out."""
+    raw = df.withColumn("_p", F.from_json(F.col(text), PARAMS))
+    whole = F.from_json(F.lit(json.dumps(DEFAULTS)), PARAMS)
+    merged = [F.struct(*(F.coalesce(F.col(f"_p.{a}.{b}"), whole[a][b]).alias(b) for b in keys)).alias(a) for a, keys in DEFAULTS.items()]
+    return raw.withColumn("params", F.struct(*merged)).drop("_p")
+
+
+def param(key: str) -> Column:
+    """A parameter by its name alone, the first group that has it."""
+    group = next((a for a, keys in DEFAULTS.items() if key in keys), None)
+    if group is None:
+        raise KeyError(key)
+    return F.col(f"params.{group}.{key}")
+
+
 #: Defaults of the parameters that operators read.
 DEFAULTS = {
     "mesh": {"mesh_length": 160.0}, "match": {"block_r": 128, "search_r": 256, "depth": 2, "symmetric": False, "bandpass_sigmas": [0, 0]},

@@ -58,6 +58,41 @@ def subscribe(spark: SparkSession, folder: str, checkpoint: str, handlers: dict[
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
 
 
+def sections_of(tasks: DataFrame) -> DataFrame:
+    """(z): every section that the messages name, once."""
+    return tasks.select(F.explode(F.array("src_z", "dst_z")).alias("z")).where("z is not null").distinct()
+
+
+def render_task(layers: dict[str, DataFrame], triangles: DataFrame, path: str, size: int, box: tuple[int, int, int, int], levels: int = 0, z_map: DataFrame | None = None) -> Handler:
+    """Handler that renders the sections of its messages, stores them under their mapped numbers, and then their lower levels
+    from what was stored. Sections and levels are overwritten whole, so that a message may be worked off again."""
+    from laminara.operators import chunks as ch
+    from laminara.operators.render import render
+    from laminara.sources.storage import read_volume, with_z_map, write_volume
+
+    def handle(tasks: DataFrame) -> None:
+        wanted = F.broadcast(sections_of(tasks))  # numbers of the sections of one batch
+        own = lambda df: df.join(wanted, "z", "left_semi")
+        out = render(own(triangles), {k: own(v) for k, v in layers.items()}, size, box)
+        write_volume(with_z_map(out, z_map), path)
+        mapped = with_z_map(sections_of(tasks), z_map).distinct()
+        for level in range(levels):
+            last = read_volume(tasks.sparkSession, path, mip=level).join(F.broadcast(mapped), "z", "left_semi")
+            write_volume(ch.halved(last, size), path)
+
+    return handle
+
+
+def match_task(layers: dict[str, DataFrame], nodes: DataFrame, path: str, size: int, extent: tuple[int, int], block_r: int, search_r: int, bandpass: tuple[float, float] = (0, 0)) -> Handler:
+    """Handler that matches the pairs of its messages at all nodes and stores what it finds by pair, over earlier results."""
+    from laminara.operators.matching import match_pairs, write_matches
+
+    def handle(tasks: DataFrame) -> None:
+        write_matches(match_pairs(tasks, nodes, layers, size, *extent, block_r, search_r, bandpass), path)
+
+    return handle
+
+
 def drain(spark: SparkSession, folder: str) -> DataFrame:
     """All messages of the folder as a table."""
     return spark.read.schema(MESSAGE).json(folder)
