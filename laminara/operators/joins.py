@@ -221,3 +221,48 @@ def spanning_tree(edge: DataFrame, section: str = "z") -> DataFrame:
         return pd.DataFrame(out, columns=[section, "a", "b", "r", "step"])
 
     return edge.select(F.col(section).cast("long").alias(section), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("r").cast("double").alias("r")).groupBy(section).applyInPandas(run, f"{section} long, a long, b long, r double, step int")
+
+
+def sides(polygons: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x0, y0, x1, y1): the sides of closed polygons given as array<struct<x, y>> in ``outline``."""
+    closed = "transform(outline, (p, k) -> struct(p.x as x0, p.y as y0, outline[(k + 1) % size(outline)].x as x1, outline[(k + 1) % size(outline)].y as y1))"
+    return polygons.where("size(outline) > 2").select(*keys, F.inline(F.expr(closed)))
+
+
+def in_cells(df: DataFrame, cell: float, x: tuple[Column, Column], y: tuple[Column, Column]) -> DataFrame:
+    """A row for each grid cell that the box touches."""
+    at = lambda c: F.floor(c / cell).cast("long")
+    return df.withColumn("cx", F.explode(F.sequence(at(x[0]), at(x[1])))).withColumn("cy", F.explode(F.sequence(at(y[0]), at(y[1]))))
+
+
+def outlines_meet(tiles: DataFrame, rois: DataFrame, section: str, tile: str, roi: str, cell: float) -> DataFrame:
+    """(section, tile, roi) of polygons of a section that have a point in common, edges and corners included.
+
+    Both tables have an ``outline``, convex or not, by the even-odd rule. Sides meet in the grid cells that both touch;
+    without a crossing one polygon lies inside the other, which the first corner tells. So work follows sides, whatever
+    number a polygon has. Outlines of fewer than three corners and nulls meet nothing.
+    """
+    few = lambda df, key: df.where("size(outline) > 2").select(section, key, "outline")
+    tiles, rois = few(tiles, tile), few(rois, roi)
+
+    def cut(df: DataFrame, key: str, name: str) -> DataFrame:
+        e = sides(df, [section, key])
+        e = in_cells(e, cell, (F.least("x0", "x1"), F.greatest("x0", "x1")), (F.least("y0", "y1"), F.greatest("y0", "y1")))
+        return e.select(section, "cx", "cy", key, *(F.col(c).alias(f"{name}_{c}") for c in ("x0", "y0", "x1", "y1")))
+
+    turn = lambda a, b, x, y: f"(({b}_x - {a}_x) * ({y} - {a}_y) - ({b}_y - {a}_y) * ({x} - {a}_x))"
+    near = cut(tiles, tile, "a").join(cut(rois, roi, "b"), [section, "cx", "cy"])
+    named = near.withColumnsRenamed({f"{p}_{c}{k}": f"{p}{k}_{c}" for p in "ab" for c in "xy" for k in "01"})
+    apart = " and ".join(f"greatest(least(a0_{c}, a1_{c}), least(b0_{c}, b1_{c})) <= least(greatest(a0_{c}, a1_{c}), greatest(b0_{c}, b1_{c}))" for c in "xy")
+    both = lambda p, q: f"{turn(f'{p}0', f'{p}1', f'{q}0_x', f'{q}0_y')} * {turn(f'{p}0', f'{p}1', f'{q}1_x', f'{q}1_y')} <= 0"
+    crossed = named.where(f"{apart} and {both('a', 'b')} and {both('b', 'a')}").select(section, tile, roi)
+
+    def inside(points: DataFrame, key: str, areas: DataFrame, other: str) -> DataFrame:
+        p = points.select(section, key, F.col("outline")[0]["x"].alias("x"), F.col("outline")[0]["y"].alias("y"))
+        p = in_cells(p, cell, (F.col("x"), F.col("x")), (F.col("y"), F.col("y")))
+        low, high = (lambda c: F.array_min(F.transform("outline", lambda q: q[c]))), (lambda c: F.array_max(F.transform("outline", lambda q: q[c])))
+        a = in_cells(areas, cell, (low("x"), high("x")), (low("y"), high("y")))
+        cuts = "filter(transform(outline, (p, k) -> struct(p as p, outline[(k + 1) % size(outline)] as q)), e -> (e.p.y > y) <> (e.q.y > y) and x < (e.q.x - e.p.x) * (y - e.p.y) / (e.q.y - e.p.y) + e.p.x)"
+        return p.join(a, [section, "cx", "cy"]).where(f"size({cuts}) % 2 = 1").select(section, tile, roi)
+
+    return crossed.union(inside(tiles, tile, rois, roi)).union(inside(rois, roi, tiles, tile)).distinct()

@@ -600,3 +600,33 @@ def rev_reconcile(spark, sf):
 def str_names(spark, sf):
     i = F.col("idx")
     return subsections(spark, sf).select("idx", names.match_name(i, (i + 1).cast("decimal(12,3)")).alias("name"), names.z_of(i).alias("z"), names.sub_of(i).alias("sub"), names.scale_of(names.z_of(i) % 4).alias("scale"))
+
+
+#: A region with a slot, as shares of the extent of a section's tiles.
+REGION = [(0.1, 0.1), (0.9, 0.1), (0.9, 0.4), (0.3, 0.4), (0.3, 0.6), (0.9, 0.6), (0.9, 0.9), (0.1, 0.9)]
+TURNED = lambda i, j: (f"(1.0::DOUBLE * {i} - 0.1::DOUBLE * {j})", f"(0.1::DOUBLE * {i} + 1.0::DOUBLE * {j})")
+CORNERS = [("i", "j"), ("i", "(j + w)"), ("(i + h)", "(j + w)"), ("(i + h)", "j")]
+
+
+@query("jon_roi", f"""WITH {TILES}, c AS (SELECT z, tile, unnest([{", ".join(f"struct_pack(k := {k}, x := {TURNED(i, j)[0]}, y := {TURNED(i, j)[1]})" for k, (i, j) in enumerate(CORNERS))}]) AS p FROM tiles),
+q AS (SELECT z, unnest([{", ".join(f"struct_pack(k := {k}, x := {a}::DOUBLE * max(i + h), y := {b}::DOUBLE * max(j + w))" for k, (a, b) in enumerate(REGION))}]) AS p FROM tiles GROUP BY z),
+a AS (SELECT s.z, s.tile, s.p.x AS x0, s.p.y AS y0, t.p.x AS x1, t.p.y AS y1, s.p.k AS k FROM c s JOIN c t ON s.tile = t.tile AND t.p.k = (s.p.k + 1) % 4),
+b AS (SELECT s.z, s.p.x AS x0, s.p.y AS y0, t.p.x AS x1, t.p.y AS y1, s.p.k AS k FROM q s JOIN q t ON s.z = t.z AND t.p.k = (s.p.k + 1) % {len(REGION)}),
+hit AS (SELECT DISTINCT a.tile FROM a JOIN b ON a.z = b.z WHERE greatest(least(a.x0, a.x1), least(b.x0, b.x1)) <= least(greatest(a.x0, a.x1), greatest(b.x0, b.x1)) AND greatest(least(a.y0, a.y1), least(b.y0, b.y1)) <= least(greatest(a.y0, a.y1), greatest(b.y0, b.y1))
+AND ((a.x1 - a.x0) * (b.y0 - a.y0) - (a.y1 - a.y0) * (b.x0 - a.x0)) * ((a.x1 - a.x0) * (b.y1 - a.y0) - (a.y1 - a.y0) * (b.x1 - a.x0)) <= 0
+AND ((b.x1 - b.x0) * (a.y0 - b.y0) - (b.y1 - b.y0) * (a.x0 - b.x0)) * ((b.x1 - b.x0) * (a.y1 - b.y0) - (b.y1 - b.y0) * (a.x1 - b.x0)) <= 0),
+tin AS (SELECT s.tile FROM a s JOIN b ON s.z = b.z AND s.k = 0 AND (b.y0 > s.y0) <> (b.y1 > s.y0) AND s.x0 < (b.x1 - b.x0) * (s.y0 - b.y0) / (b.y1 - b.y0) + b.x0 GROUP BY s.tile HAVING count(*) % 2 = 1),
+rin AS (SELECT a.tile FROM a JOIN b s ON s.z = a.z AND s.k = 0 AND (a.y0 > s.y0) <> (a.y1 > s.y0) AND s.x0 < (a.x1 - a.x0) * (s.y0 - a.y0) / (a.y1 - a.y0) + a.x0 GROUP BY a.tile HAVING count(*) % 2 = 1)
+SELECT z, tile, m AS meets, m AND tile % 4 <> 0 AS include FROM (SELECT *, tile IN (SELECT tile FROM hit UNION SELECT tile FROM tin UNION SELECT tile FROM rin) AS m FROM tiles)""")
+def jon_roi(spark, sf):
+    """Turned tiles that meet their section's region, and those of them to include, since not flagged as bad."""
+    t = tiles(spark, sf)
+    d = lambda c: F.col(c).cast("double")
+    corner = lambda i, j: F.struct((1.0 * i - 0.1 * j).alias("x"), (0.1 * i + 1.0 * j).alias("y"))
+    top, left, bottom, right = d("i"), d("j"), d("i") + d("h"), d("j") + d("w")
+    outlined = t.select("z", "tile", F.array(corner(top, left), corner(top, right), corner(bottom, right), corner(bottom, left)).alias("outline"))
+    far = t.groupBy("z").agg(F.max(F.col("i") + F.col("h")).alias("x"), F.max(F.col("j") + F.col("w")).alias("y"))
+    regions = far.select("z", F.lit(0).alias("roi"), F.array(*(F.struct((a * F.col("x")).alias("x"), (b * F.col("y")).alias("y")) for a, b in REGION)).alias("outline"))
+    met = jon.outlines_meet(outlined, regions, "z", "tile", "roi", 1000.0).select("tile", F.lit(True).alias("met"))
+    meets = F.coalesce("met", F.lit(False))
+    return t.join(met, "tile", "left").select("z", "tile", meets.alias("meets"), (meets & (F.col("tile") % 4 != 0)).alias("include"))

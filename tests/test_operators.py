@@ -1,3 +1,5 @@
+import math
+
 """Invariants and golden values of single operators."""
 
 import numpy as np
@@ -211,3 +213,46 @@ def test_queue_runs_each_message_once(spark, tmp_path):
     tk.publish(tk.pair_tasks(pairs.limit(1), "render", "{}"), str(tmp_path / "q"))
     tk.subscribe(spark, str(tmp_path / "q"), str(tmp_path / "s"), handlers).awaitTermination()
     assert len(seen) == 3 and len(odd) == 1 and tk.drain(spark, str(tmp_path / "q")).count() == 4
+
+
+def test_outlines_meet_against_all_pairs(spark):
+    """Concave polygons that cross, contain, touch or miss one another, for several sizes of cells."""
+    import random
+
+    from laminara.operators.joins import outlines_meet
+
+    rng = random.Random(4)
+    star = lambda x, y, r, n: [(x + r * (0.4 + 0.6 * rng.random()) * math.cos(2 * math.pi * k / n), y + r * (0.4 + 0.6 * rng.random()) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    a = [(k % 3, k, star(rng.uniform(-50, 50), rng.uniform(-50, 50), rng.choice([1, 5, 40]), 7)) for k in range(60)]
+    b = [(k % 3, k, star(rng.uniform(-50, 50), rng.uniform(-50, 50), rng.choice([2, 10, 60]), 9)) for k in range(25)]
+    a += [(0, 100, [(200, 0), (201, 0), (201, 1), (200, 1)]), (0, 101, [(210.0, 0.0), (211.0, 0.0)]), (0, 102, None)]
+    b += [(0, 100, [(201, 1), (203, 1), (203, 3)]), (0, 101, [(150, -50), (250, -50), (250, 50), (150, 50), (150, 49), (249, 49), (249, -49), (150, -49)])]
+    a, b = ([(z, k, None if o is None else [(float(x), float(y)) for x, y in o]) for z, k, o in t] for t in (a, b))
+
+    def sides(o):
+        return list(zip(o, o[1:] + o[:1], strict=True))
+
+    def inside(p, o):
+        return sum((s[1] > p[1]) != (t[1] > p[1]) and p[0] < (t[0] - s[0]) * (p[1] - s[1]) / (t[1] - s[1]) + s[0] for s, t in sides(o)) % 2 == 1
+
+    def cross(e, f):
+        turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+        boxes = all(max(min(e[0][c], e[1][c]), min(f[0][c], f[1][c])) <= min(max(e[0][c], e[1][c]), max(f[0][c], f[1][c])) for c in (0, 1))
+        return boxes and turn(*e, f[0]) * turn(*e, f[1]) <= 0 and turn(*f, e[0]) * turn(*f, e[1]) <= 0
+
+    want = {(z, i, k) for z, i, o in a for y, k, p in b if z == y and o and len(o) > 2 and (inside(o[0], p) or inside(p[0], o) or any(cross(e, f) for e in sides(o) for f in sides(p)))}
+    df = lambda t, key: spark.createDataFrame(t, f"z int, {key} int, outline array<struct<x:double,y:double>>")
+    for cell in (3.0, 50.0):
+        got = {tuple(r) for r in outlines_meet(df(a, "tile"), df(b, "roi"), "z", "tile", "roi", cell).collect()}
+        assert got == want and (0, 100, 100) in want and (0, 100, 101) not in want and len(want) > 50
+
+
+def test_parameters_over_defaults(spark):
+    from laminara.sources import storage
+
+    texts = ['{"match": {"depth": 7, "new": 1}}', "{}", "no json", None, '{"match": {"depth": null}, "solve": {"lambda": 0.5}}']
+    df = storage.with_params(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, t string"), "t")
+    got = {r.id: (r.depth, r.block_r, r.lam, list(r.bandpass_sigmas)) for r in df.select("id", *(storage.param(k) for k in ("depth", "block_r", "bandpass_sigmas")), storage.param("lambda").alias("lam")).collect()}
+    assert got == {0: (7, 128, 0.9, [0, 0]), 1: (2, 128, 0.9, [0, 0]), 2: (2, 128, 0.9, [0, 0]), 3: (2, 128, 0.9, [0, 0]), 4: (2, 128, 0.5, [0, 0])}
+    with pytest.raises(KeyError):
+        storage.param("unknown")
