@@ -147,8 +147,9 @@ class Codec:
 
     def longest(self, s: str, at: int) -> str:
         """The longest piece that starts here, or else the character."""
-        for end, length in self.automaton.iter_long(s, at, min(len(s), at + self.reach)):
-            return s[at : end + 1] if end - length + 1 == at else s[at]
+        ahead = s[at : at + self.reach]  # searching in the whole string would cost its length at every call
+        for end, length in self.automaton.iter_long(ahead):
+            return ahead[: end + 1] if end + 1 == length else s[at]
         return s[at]
 
     def pieces_of(self, s: str) -> list[str]:

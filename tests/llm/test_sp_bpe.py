@@ -61,3 +61,14 @@ def test_odd_rows(spark):
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     assert sorted(((r.doc_id, r.decoded, list(r.ids)) for r in out), key=key) == sorted(((i, LIBRARY.decode(LIBRARY.encode(t or "")), LIBRARY.encode(t or "")) for i, t in ODD), key=key)
     assert s.encode_decode(empty(spark), s.load_vocabulary(s.default_model())).count() == 0
+
+
+def test_long_segments_inside_the_vocabulary_take_linear_time():
+    """Pieces of a text without spaces are looked for a little way ahead only."""
+    took = []
+    for n in (25_000, 100_000):
+        began = time.process_time()
+        ids = CODEC.encode("ab" * n)
+        took.append(time.process_time() - began)
+        assert ids == LIBRARY.encode("ab" * n)
+    assert took[1] < 8 * max(took[0], 0.1) and took[1] < 3
