@@ -14,6 +14,7 @@ from bands of min-wise hashes of the same shingles, and each is verified on the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +26,11 @@ from laminara.llm.common import Stored, by_ids, components, read_table, release,
 HOT = 64
 #: Bands of min-wise hashes, and hashes in a band: of pairs at a similarity of 0.8, (1 - 0.8 ** 5) ** 24 = 0.00007 are missed.
 BANDS, IN_BAND = 24, 5
+#: Hashes in a band of the levels for crowds. A level has as many bands as miss no more than the first one does.
+LEVELS = (15, 24)
+#: A key is crowded if pairing its documents would take more than so many pairs for each of them, at the first levels and
+#: at that of LEVELS[0], where keys are costly to make.
+CROWD, LATE_CROWD = 4, 64
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 15
 
@@ -131,6 +137,30 @@ def near_duplicates(docs: DataFrame, n: int = 3) -> DataFrame:
     return stored.df.join(ids.df, "fp").select("doc_id", "fp", "component_id", "n_same")
 
 
+def bands_for(in_band: int) -> int:
+    """Bands of so many hashes that miss no more pairs at a similarity of 0.8 than ``BANDS`` of ``IN_BAND``."""
+    if in_band == IN_BAND:
+        return BANDS
+    return math.ceil(BANDS * math.log(1 - 0.8**IN_BAND) / math.log(1 - 0.8**in_band))
+
+
+def band_names(hashes, in_band: int):
+    """The name of each band of min-wise hashes of different shingles; equal bands have equal names."""
+    import numpy as np
+
+    bands = bands_for(in_band)
+    draw = np.random.default_rng(7 if in_band == IN_BAND else in_band)
+    turn, factor = (draw.integers(0, 1 << 63, bands * in_band, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    least, step = np.full(bands * in_band, ~np.uint64(0)), max(8, (512 * BANDS * IN_BAND) // (bands * in_band))
+    for i in range(0, len(hashes), step):
+        least = np.minimum(least, ((hashes[None, i : i + step] ^ turn[:, None]) * factor[:, None]).min(axis=1))
+    name = np.arange(bands, dtype=np.uint64)
+    for k in range(in_band):
+        name = (name ^ least[k::in_band]) * np.uint64(0x9E3779B97F4A7C15)
+        name ^= name >> np.uint64(29)
+    return name.view(np.int64)
+
+
 def signatures(docs: DataFrame, n: int = 5) -> DataFrame:
     """(doc_id, row, fp, size, bands): fingerprint, number of different shingles, and band names of each text.
 
@@ -141,9 +171,6 @@ def signatures(docs: DataFrame, n: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        draw = np.random.default_rng(7)
-        turn, factor = (draw.integers(0, 1 << 63, BANDS * IN_BAND, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
-        spread = np.uint64(0x9E3779B97F4A7C15)
         for b in batches:
             fps, sizes, bands = [], [], []
             for text in b.column(2).to_pylist():
@@ -151,22 +178,26 @@ def signatures(docs: DataFrame, n: int = 5) -> DataFrame:
                 fps.append(fingerprint(hashes) if len(hashes) else 0)
                 hashes = np.unique(hashes)
                 sizes.append(len(hashes))
-                if not len(hashes):
-                    bands.append([])
-                    continue
-                least = np.full(BANDS * IN_BAND, ~np.uint64(0))
-                for i in range(0, len(hashes), 512):
-                    least = np.minimum(least, ((hashes[None, i : i + 512] ^ turn[:, None]) * factor[:, None]).min(axis=1))
-                name = np.arange(BANDS, dtype=np.uint64)
-                for k in range(IN_BAND):
-                    name = (name ^ least[k::IN_BAND]) * spread
-                    name ^= name >> np.uint64(29)
-                bands.append(name.view(np.int64))
+                bands.append(band_names(hashes, IN_BAND) if len(hashes) else [])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row", "fp", "size", "bands"])
 
     return docs.select("doc_id", "row", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, row long, fp long, size int, bands array<long>")
 
 
+def longer_bands(sets: DataFrame, in_band: int) -> DataFrame:
+    """(doc_id, size, place, key): the band names of sets for a level with so many hashes in a band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            for i in range(b.num_rows):
+                names = band_names(b.column(1)[i].values.to_numpy().view(np.uint64), in_band)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), b.column(0)[i].as_py())), pa.array(np.full(len(names), len(b.column(1)[i].values), np.int32)), pa.array(names)], ["doc_id", "size", "key"])
+
+    return sets.select("doc_id", "set").mapInArrow(run, "doc_id long, size int, key long").select("doc_id", "size", F.lit(0).alias("place"), "key")
+
+
 def shingle_sets(docs: DataFrame, n: int = 5) -> DataFrame:
     """(doc_id, set): the different hashes of the shingles of each text of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
@@ -197,15 +228,18 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return lists.select("doc_id", "size", "alone", F.posexplode("keys").alias("at", "key")).select("doc_id", "size", (F.col("alone") + F.col("at")).alias("place"), "key")
 
 
-def similar_rows(docs: DataFrame, signed: DataFrame, n: int = 5, percent: int = 80) -> Stored | None:
+def similar_rows(docs: DataFrame, signed: DataFrame, n: int = 5, percent: int = 80, joined: list | None = None) -> Stored | None:
     """(doc_id) of the documents that have one of smaller id at a Jaccard similarity of ``percent`` or more of their
     shingles; None if there is none.
 
     ``docs`` has the texts (doc_id, text), ``signed`` the signatures (doc_id, size, bands) of those that take part; ids
     differ. Candidates share a band. Two rounds compare each document with the smallest one left in each of its bands
-    and take out those found, so that a large group of copies falls to its smallest document; only what is then left
-    is compared with all smaller candidates with which it shares one of its ``prefixes``, so that documents of one
-    template that differ in more than their rare shingles allow are no pair. Whole shingle sets are made for candidates only.
+    and take out those found, so that a large group of copies falls to its smallest document. What is then left is
+    compared with all smaller candidates, level by level: by bands, by ``prefixes``, then by bands of more hashes. A level
+    pairs the documents of its keys, but for crowded ones; documents of crowded keys go on to the next level, which would
+    find each of their pairs too. So no level makes more than ``CROWD`` (``LATE_CROWD``) pairs for each entry of its keys, however many
+    documents one template has made, and only the last takes crowds as they are. ``joined`` gets the numbers of rows that
+    the levels' joins make. Whole shingle sets are made for candidates only.
     """
     keys = Stored(signed.select("doc_id", "size", F.explode("bands").alias("key")))
     shared = keys.df.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
@@ -213,6 +247,8 @@ def similar_rows(docs: DataFrame, signed: DataFrame, n: int = 5, percent: int =
     keys.drop()
     ids = Stored(members.df.select("doc_id").distinct())
     if ids.df.isEmpty():
+        members.drop()
+        ids.drop()
         return None
     sets = Stored(shingle_sets(by_ids(docs.select("doc_id", "text"), ids.df, "left_semi"), n))
     release(docs.sparkSession)
@@ -225,23 +261,42 @@ def similar_rows(docs: DataFrame, signed: DataFrame, n: int = 5, percent: int =
         pairs = pairs.where("u < v").where(fits).select("u", "v").distinct()
         return Stored(pairs.join(u, "u").join(v, "v").where(close).select(F.col("v").alias("doc_id")).distinct())
 
-    left, gone = members.df, []
+    left, gone, spent = members.df, [], [ids, members, sets]
     for _ in range(2):
         pivot = left.groupBy("key").agg(F.min(F.struct("doc_id", "size")).alias("p"))
         pairs = left.join(pivot, "key").select(F.col("p.doc_id").alias("u"), F.col("p.size").alias("u_size"), F.col("doc_id").alias("v"), F.col("size").alias("v_size"))
         gone.append(similar(pairs))
         left = left.join(gone[-1].df, "doc_id", "left_anti")
-    first = Stored(prefixes(sets.df, percent))
-    u, v = (first.df.select("key", F.col("doc_id").alias(x), F.col("size").alias(f"{x}_size"), F.col("place").alias(f"{x}_place")) for x in "uv")
-    v = v.join(left.select(F.col("doc_id").alias("v")).distinct(), "v", "left_semi")
-    # What two sets share lies at or behind the first shingle they share, and is this part of both sizes at least.
+    asking = Stored(left.select("doc_id").distinct().withColumn("asks", F.lit(True)))
+    # What two sets share by prefixes lies at or behind the first shingle they share, and is this part of both sizes at least.
     reach = F.least(F.col("u_size") - F.col("u_place"), F.col("v_size") - F.col("v_place"))
-    gone.append(similar(u.join(v, "key").where(reach * (100 + percent) >= percent * (F.col("u_size") + F.col("v_size")))))
+    reaches = reach * (100 + percent) >= percent * (F.col("u_size") + F.col("v_size"))
+    inside = sets.df
+    for level in (IN_BAND, "prefixes", *LEVELS):
+        if level == IN_BAND:
+            keys = members.df.withColumn("place", F.lit(0))
+        else:
+            keys = prefixes(inside, percent) if level == "prefixes" else longer_bands(inside, level)
+        keys = Stored(keys.select("doc_id", "size", "place", "key").join(asking.df, "doc_id", "left"))
+        counts = keys.df.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count("asks").alias("ask")).where("all > 1 and ask > 0")
+        crowded = F.col("all") * F.col("ask") > (LATE_CROWD if level in LEVELS else CROWD) * (F.col("all") + F.col("ask")) if level != LEVELS[-1] else F.lit(False)
+        counts = Stored(counts.select("key", crowded.alias("crowded")))
+        some = keys.df.join(counts.df.where("not crowded"), "key", "left_semi")
+        u, v = (d.select("key", F.col("doc_id").alias(x), F.col("size").alias(f"{x}_size"), F.col("place").alias(f"{x}_place")) for x, d in (("u", some), ("v", some.where("asks"))))
+        pairs = u.join(v, "key")
+        if joined is not None:
+            joined.append(pairs.count())
+        gone.append(similar(pairs.where(reaches) if level == "prefixes" else pairs))
+        crowd = Stored(keys.df.join(counts.df.where("crowded"), "key", "left_semi").select("doc_id").distinct())
+        spent += [keys, counts, crowd]
+        if crowd.df.isEmpty():
+            break
+        inside = sets.df.join(crowd.df, "doc_id", "left_semi")
     found = gone[0].df
     for g in gone[1:]:
         found = found.unionByName(g.df)
     out = Stored(found.distinct())
-    for t in (*gone, first, sets, ids, members):
+    for t in (*gone, *spent, asking):
         t.drop()
     release(docs.sparkSession)
     return out

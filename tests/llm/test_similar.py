@@ -1,5 +1,7 @@
 """The near-dedup stage against brute force over five-word shingles."""
 
+import random
+
 import corpus_pipeline as c
 from laminara.llm import simhash as s
 from tests.llm.helpers import empty, odd, table
@@ -56,3 +58,42 @@ def test_odd_rows(spark):
     assert [r.doc_id for r in kept].count(1) == 1 and len(kept) == 2  # one of the rows of id 1, and the text it is not
     kept = s.keep_one(odd(spark))
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 2, 5, 7, 8]
+
+
+def template(n, blocks=30, taken=20, words=40, seed=3):
+    """Documents that each hold some of a few common blocks, in the blocks' order; few of them are alike at 0.8."""
+    rng = random.Random(seed)
+    common = [[f"b{k}w{i}" for i in range(words)] for k in range(blocks)]
+    seen, docs = set(), {}
+    while len(docs) < n:
+        some = tuple(sorted(rng.sample(range(blocks), taken)))
+        if some not in seen:
+            seen.add(some)
+            docs[len(docs)] = " ".join(w for k in some for w in common[k])
+    return docs
+
+
+def test_templates_make_few_pairs(spark, monkeypatch):
+    """Join rows follow the documents, and what is alike is found all the same."""
+    rows = []
+    for n in (500, 1000, 2000):
+        docs = template(n)
+        near = docs[7].split()
+        docs |= {n + 1: " ".join([*near[:100], "edited", *near[101:]]), n + 2: docs[9] + " with an end of its own"}
+        df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4).cache()
+        joined = []
+        found = {r.doc_id for r in s.similar_rows(df, s.signatures(df.selectExpr("doc_id", "doc_id as row", "text")), joined=joined).df.collect()}
+        assert {n + 1, n + 2} <= found
+        if n == 500:
+            assert found == brute(docs)
+        rows.append(sum(joined))
+        df.unpersist()
+    assert rows[2] < 2 ** (1.3 * 2) * rows[0] and rows[2] < 150 * 2000, rows
+
+
+def test_crowds_are_found_on_every_level(spark, monkeypatch):
+    """With every key crowded, documents go down to the last level, and nothing is lost."""
+    monkeypatch.setattr(s, "CROWD", 0)
+    monkeypatch.setattr(s, "LATE_CROWD", 0)
+    docs = template(60, 8, 6, 30) | {100 + k: f"other {k} text" for k in range(5)}
+    assert similar(spark, docs) == brute(docs) != set()
