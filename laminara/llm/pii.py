@@ -8,7 +8,7 @@ next attempt number until none clashes; so different entities stay different.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from laminara.llm.common import Stored, by_ids, read_table, release
@@ -22,7 +22,13 @@ NEITHER = "Dr|Prof|Professor|Doctor|Docteur|Doktor"
 MALE, FEMALE, NEITHER = (f"{x}|{x.upper()}" for x in (MALE, FEMALE, NEITHER))
 TITLES = f"{MALE}|{FEMALE}|{NEITHER}"
 GAP = "[ \u00A0]"
-WORD = r"\p{Lu}[\p{L}'’-]++"
+#: What a title's run ends before: words between names, week days and months, and titles themselves.
+BETWEEN = "And|Or|The|Of|Und|Oder|Et|Ou|Και|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|Montag|Dienstag|Mittwoch|Donnerstag|Freitag|Samstag|Sonntag|January|February|March|April|May|June|July|August|September|October|November|December|Januar|Februar|März|Mai|Juni|Juli|Oktober|Dezember"
+BETWEEN = f"{BETWEEN}|{BETWEEN.upper()}|{TITLES}"
+#: A word of a name: an apostrophe belongs to it unless it begins a possessive.
+WORD = rf"(?!(?:{BETWEEN})(?![\p{{L}}'’-]))\p{{Lu}}(?:[\p{{L}}-]|['’](?![sS](?!\p{{L}}))(?=\p{{L}}))++"
+#: One title or several.
+RUN = rf"(?:(?:{TITLES})(?:\.{GAP}{{0,2}}|{GAP}{{1,2}}))+"
 #: Kind to pattern, tried in this order. Look-behinds keep a scan linear: only the start of a word can begin a match.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}",
@@ -35,12 +41,12 @@ PATTERNS = {
     "phone": r"\+\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])",
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "hex_token": r"(?<!\w)(?:[0-9a-f]{40}|[0-9a-f]{64})(?!\w)",
-    "name": rf"(?<!\w)(?:{TITLES})\.?{GAP}(?:\p{{Lu}}\.{GAP}?){{0,3}}{WORD}(?:{GAP}{WORD}){{0,2}}",
+    "name": rf"(?<!\w){RUN}(?:\p{{Lu}}\.{GAP}?){{0,3}}{WORD}(?:{GAP}{WORD}){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every text with a mention holds; cheap to look for, so that most texts never meet the patterns. Titles are
 #: looked for at their first letters only.
-HINT = rf"[0-9@=:]|AKIA|[a-f]{{40}}|(?=[{''.join(sorted({t[0] for t in TITLES.split('|')}))}])(?<!\w)(?:{TITLES})\.?{GAP}\p{{Lu}}"
+HINT = rf"[0-9@=:]|AKIA|[a-f]{{40}}|(?=[{''.join(sorted({t[0] for t in TITLES.split('|')}))}])(?<!\w)(?:{TITLES})(?:\.{GAP}{{0,2}}|{GAP}{{1,2}})\p{{Lu}}"
 #: Parts of made-up names by script; an ending tells the gender.
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ka ke ko la le lo ma me mi mo na ne ni no pa pe ra re ri ro sa se so ta te to va ve vi vo".split()}
 SYLLABLES["cyrillic"] = "ба бе бо да де до га го ка ко ла ле ло ма ме ми мо на не ни но па пе ра ре ри ро са се со та те то ва ве ви во фа фе зи зо".split()
@@ -62,10 +68,10 @@ def byte(i: str) -> str:
     return f"cast(conv(substr(d, cast(pmod(4 * ({i}), 124) as int) + 1, 4), 16, 10) as int)"
 
 
-def shaped(v: str, keep: str = "0", shift: str = "0") -> str:
+def shaped(v: str, keep: str = "0", shift: str = "0", hexadecimal: bool = False) -> str:
     """SQL that replaces digits by digits and letters by letters of the same case, but for the first ``keep``
-    characters; values of hexadecimal digits only stay such. ``shift`` moves the place in the digest."""
-    hexed = f"{v} rlike '^[0-9a-f]+$' and {v} rlike '[a-f]'"
+    characters; of ``hexadecimal`` kinds values of such digits only stay such. ``shift`` moves the place in the digest."""
+    hexed = f"{v} rlike '^[0-9a-f]+$' and {v} rlike '[a-f]'" if hexadecimal else "false"
     return f"""array_join(transform(split({v}, ''), (c, i) -> case when i < {keep} then c
         when {hexed} then substr('0123456789abcdef', pmod({byte(f'i + {shift}')}, 16) + 1, 1)
         when c rlike '[0-9]' then substr('0123456789', pmod({byte(f'i + {shift}')}, 10) + 1, 1)
@@ -94,7 +100,7 @@ def made_name() -> str:
 def canonical() -> str:
     """SQL for the value that all mentions of an entity share; of a name, each ``word`` is one."""
     digits = "regexp_replace(mention, '[^0-9]', '')"
-    gender = rf"if(mention rlike '^(?:{FEMALE})\\.?{GAP}', 'f', if(mention rlike '^(?:{MALE})\\.?{GAP}', 'm', 'x'))"
+    gender = rf"if(mention rlike '(?<!\\p{{L}})(?:{FEMALE})(?:\\.|{GAP})', 'f', if(mention rlike '(?<!\\p{{L}})(?:{MALE})(?:\\.|{GAP})', 'm', 'x'))"
     script = r"if(word rlike '\\p{IsCyrillic}', 'cyrillic', if(word rlike '\\p{IsGreek}', 'greek', 'latin'))"
     return f"""case kind when 'email' then lower(mention) when 'ipv6' then lower(mention)
         when 'secret' then regexp_extract(mention, '([A-Za-z0-9+/_-]{{8,}})$', 1)
@@ -106,8 +112,16 @@ def canonical() -> str:
 
 def name_words() -> str:
     """SQL for the words of a name without its title and initials; of other kinds the mention itself."""
-    rest = rf"regexp_replace(mention, '^(?:{TITLES})\\.?{GAP}', '')"
-    return rf"if(kind = 'name', regexp_extract_all({rest}, '(\\p{{Lu}}[\\p{{L}}\'’-]+)', 1), array(mention))"
+    slashed = lambda x: x.replace("\\", "\\\\").replace("'", "\\'")
+    return f"if(kind = 'name', regexp_extract_all(regexp_replace(mention, '^{slashed(RUN)}', ''), '({slashed(WORD)})', 1), array(mention))"
+
+
+def with_gender(spread: DataFrame) -> DataFrame:
+    """Names whose titles tell no gender take that of the same name's other mentions in the text, if these agree."""
+    same = Window.partitionBy("text_id", "kind", F.substring_index("canon", "|", -2))
+    told = F.array_remove(F.collect_set(F.left("canon", F.lit(1))).over(same), "x")
+    fits = (F.col("kind") == "name") & F.col("canon").startswith("x|") & (F.size("told") == 1)
+    return spread.withColumn("told", told).withColumn("canon", F.when(fits, F.concat(F.get("told", F.lit(0)), F.expr("substr(canon, 2)"))).otherwise(F.col("canon"))).drop("told")
 
 
 def iban() -> str:
@@ -129,17 +143,18 @@ def surrogate() -> str:
     hexed = f"substr(d, 1, 2 + attempt div {SAME_SHAPE})"
     more = f"array_join(transform(sequence(1, attempt div {SAME_SHAPE}), i -> cast(pmod({byte('i')}, 10) as string)), '')"
     sixes = f"array_join(transform(split(canon, ''), (c, i) -> if(c = ':', c, substr('0123456789abcdef', pmod({byte('i')}, 16) + 1, 1))), '')"
+    whole = "concat_ws(':', '2001:db8', substr(d, 1, 4), substr(d, 5, 4), substr(d, 9, 4), substr(d, 13, 4), substr(d, 17, 4), substr(d, 21, 4))"
     return f"""case kind
         when 'email' then concat({shaped(local)}, {longer(hexed)}, '@', {host}, '.', substring_index({domain}, '.', -1))
-        when 'ip' then if(attempt < {4 * SAME_SHAPE}, concat_ws('.', {', '.join(octet(k) for k in range(4))}), concat_ws(':', '2001:db8', substr(d, 1, 4), substr(d, 5, 4), substr(d, 9, 4), substr(d, 13, 4), substr(d, 17, 4), substr(d, 21, 4)))
-        when 'ipv6' then {sixes}
+        when 'ip' then if(attempt < {4 * SAME_SHAPE}, concat_ws('.', {', '.join(octet(k) for k in range(4))}), {whole})
+        when 'ipv6' then if(attempt < {SAME_SHAPE}, {sixes}, {whole})
         when 'card' then if({valid}, concat({body}, {luhn(body)}), {shaped('canon', '1')})
         when 'access_key' then {shaped('canon', '4')}
         when 'iban' then {iban()}
         when 'phone' then concat(if(canon like '1%' and length(canon) = 11, {shaped('canon', '1')}, {shaped('canon')}), {longer(more)})
         when 'name' then {made_name()}
-        when 'secret' then concat({shaped('canon')}, {longer(hexed)})
-        else concat({shaped('canon')}, {longer(more)}) end"""
+        when 'secret' then concat({shaped('canon', hexadecimal=True)}, {longer(hexed)})
+        else concat({shaped('canon', hexadecimal=True)}, {longer(more)}) end"""
 
 
 def render() -> str:
@@ -212,8 +227,8 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     ``n_entities`` is replaced. A null text stays null with 0 mentions, an empty one stays empty. Rows may repeat and
     ids may be null. The patterns go over each text once, and over those with a mention once more to cut them; only
     these are shuffled while they are few. A mention in very many documents is one entity and is joined on its value,
-    which adaptive execution splits when it is skewed. The family name of a title's bearer is replaced in the rest of
-    the text too. Secrets without a letter or digit, such as blanks of a form, are no secrets.
+    which adaptive execution splits when it is skewed. The names of a title's bearer, given names too, are replaced in the
+    rest of the text; a title that tells no gender ("Dr.") goes with the one of that name that does, if the text has one. Secrets without a letter or digit, such as blanks of a form, are no secrets.
     """
     names = [c for c in docs.columns if c != "n_entities"]
     text_id = F.md5(F.col("text").cast("string"))
@@ -221,7 +236,7 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     seen = Stored(seen.where(F.size("found") > 0).dropDuplicates(["text_id"]))
     spread = seen.df.select("text_id", F.explode(F.array_distinct("found")).alias("mention")).withColumn("kind", kind_of())
     spread = spread.withColumn("word", F.explode(F.expr(name_words()))).withColumn("canon", F.expr(canonical()))
-    mentions = Stored(spread)
+    mentions = Stored(with_gender(spread))
     table = assign(mentions.df.select("kind", "canon").distinct(), key)
     shown = mentions.df.join(table.df, ["kind", "canon"]).select("text_id", "mention", "kind", "word", F.expr(render()).alias("shown"))
     named = F.sort_array(F.collect_set(F.struct("word", "shown")))
@@ -234,7 +249,7 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     replaced = F.regexp_replace(replaced, F.lit(f"((?:{GAP}|(?<=\\p{{Lu}}\\.)))\\p{{Lu}}\\."), initial)
     whole = whole.withColumn("last", last).select(
         "text_id", "mention", F.when(F.col("kind") == "name", replaced).otherwise(F.col("words")[0]["shown"]).alias("shown"),
-        F.when(F.col("kind") == "name", F.filter(surname, lambda x: F.length(x["word"]) > 2)).otherwise(F.array().cast("array<struct<word:string,shown:string>>")).alias("surnames"),
+        F.when(F.col("kind") == "name", F.filter("words", lambda x: F.length(x["word"]) > 2)).otherwise(F.array().cast("array<struct<word:string,shown:string>>")).alias("surnames"),
     )
     by_text = whole.groupBy("text_id").agg(F.map_from_entries(F.collect_list(F.struct("mention", "shown"))).alias("shown_as"), F.array_distinct(F.flatten(F.collect_list("surnames"))).alias("surnames"))
     maps = Stored(seen.df.join(by_text, "text_id"))

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -98,6 +99,59 @@ def test_full_names_and_later_mentions(spark):
     assert five[3].upper() == five[4] and not {"Mary", "Jane", "Watson"} & set(five.groups())
 
 
+def test_runs_of_titles_possessives_and_words_between(spark):
+    got = run(spark, [
+        (1, "Herr Dr. Müller, Frau Prof. Schmidt, Prof. Dr. Anna Weber"), (2, "MR. SMITH AND MR SMITH"), (3, "Mr  Jones and Mr.Jones"),
+        (4, "Mr. John Miller left; John came."), (5, "Dr. Baker or Mr. Baker? Baker."), (6, "Mr. Carter's house, MRS. O'BRIEN'S HOUSE"), (7, "Mr Adams Monday, Mrs Lane May"),
+    ])
+    for i, words in {1: "Müller Schmidt Anna Weber", 2: "SMITH", 3: "Jones", 4: "John Miller", 5: "Baker", 6: "Carter BRIEN", 7: "Adams Lane"}.items():
+        assert not any(w in got[i].text for w in words.split()), got[i].text
+    one = re.fullmatch(r"Herr Dr\. (\w+), Frau Prof\. (\w+), Prof\. Dr\. (\w+) (\w+)", got[1].text)
+    assert re.search("(rd|nt|lf|ck)$", one[1]) and re.search("a$", one[2])
+    two = re.fullmatch(r"MR\. ([A-Z]+) AND MR ([A-Z]+)", got[2].text)
+    assert two[1] == two[2]
+    three = re.fullmatch(r"Mr  (\w+) and Mr\.(\w+)", got[3].text)
+    assert three[1] == three[2]
+    four = re.fullmatch(r"Mr\. (\w+) (\w+) left; (\w+) came\.", got[4].text)
+    assert four[1] == four[3] != four[2]
+    five = re.fullmatch(r"Dr\. (\w+) or Mr\. (\w+)\? (\w+)\.", got[5].text)
+    assert five[1] == five[2] == five[3]
+    assert re.fullmatch(r"Mr\. [A-Z][a-z]+'s house, MRS\. [A-Z]+'S HOUSE", got[6].text)
+    assert re.fullmatch(r"Mr \w+ Monday, Mrs \w+ May", got[7].text)
+
+
+def test_letters_stay_letters_and_short_addresses_grow(spark):
+    got = run(spark, [(1, "bea@face.org ada@cafe.de dad@x.com")])
+    assert re.fullmatch(r"[a-z]{3}@[a-z]{4}\.org [a-z]{3}@[a-z]{4}\.de [a-z]{3}@[a-z]\.com", got[1].text) and "bea" not in got[1].text
+    ents = spark.range(0, 2100).select(F.lit("ipv6").alias("kind"), F.concat(F.lower(F.hex(F.expr("id div 256"))), F.lit(":"), F.lower(F.hex(F.expr("id div 16 % 16"))), F.lit("::"), F.lower(F.hex(F.col("id") % 16))).alias("canon"))
+    rows = p.assign(ents, "k").df.collect()
+    assert len(rows) == 2100 == len({r.s for r in rows}) and not {r.s for r in rows} & {r.canon for r in rows}
+
+
+def test_names_against_brute_force(spark):
+    """Whatever stands between names is untouched, and a name's word has one surrogate for each gender."""
+    rng = random.Random(9)
+    titles, words = ["Mr.", "Mrs.", "Herr", "Frau Dr.", "Dr.", "Señor"], ["Ahl", "Bauer", "O'Neil", "Dietz-Horn", "Évrard"]
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join(x for _ in range(rng.randint(1, 4)) for x in (rng.choice(["so", "then, while", "with"]), rng.choice(titles), rng.choice(words), "went"))))
+    out = run(spark, rows)
+    seen = defaultdict(set)
+    for i, t in rows:
+        was, now = t.split(), out[i].text.split()
+        assert len(was) == len(now)
+        for a, b in zip(was, now, strict=True):
+            if a in words:
+                k = was.index(a)
+                assert b not in words and k >= 0
+                seen[a].add(b)
+            else:
+                assert a == b
+    assert all(len(v) <= 3 for v in seen.values()) and not set.intersection(*seen.values())
+    all_ = [x for v in seen.values() for x in v]
+    assert len(all_) == len(set(all_))
+
+
 def test_numbers_of_other_kinds(spark):
     got = run(spark, [(1, "SSN 123-45-6789."), (2, "IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432"), (3, "2001:0db8:85a3:0000:0000:8a2e:0370:7334 fe80:1::beef at 10:30:15"), (4, "+1 (578) 555-6437 578-555-6437 +44 20 7946 0958")])
     assert re.fullmatch(r"SSN \d{3}-\d{2}-\d{4}\.", got[1].text) and "123-45-6789" not in got[1].text
