@@ -77,7 +77,7 @@ def test_templates_make_few_pairs(spark, monkeypatch):
     """Join rows follow the documents, and what is alike is found all the same."""
     rows = []
     for n in (500, 1000, 2000):
-        docs = template(n)
+        docs = template(n, words=15)
         near = docs[7].split()
         docs |= {n + 1: " ".join([*near[:100], "edited", *near[101:]]), n + 2: docs[9] + " with an end of its own"}
         df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4).cache()
@@ -95,5 +95,5 @@ def test_crowds_are_found_on_every_level(spark, monkeypatch):
     """With every key crowded, documents go down to the last level, and nothing is lost."""
     monkeypatch.setattr(s, "CROWD", 0)
     monkeypatch.setattr(s, "LATE_CROWD", 0)
-    docs = template(60, 8, 6, 30) | {100 + k: f"other {k} text" for k in range(5)}
+    docs = template(24, 8, 6, 12) | {100 + k: f"other {k} text" for k in range(5)}
     assert similar(spark, docs) == brute(docs) != set()
