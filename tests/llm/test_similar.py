@@ -95,5 +95,5 @@ def test_crowds_are_found_on_every_level(spark, monkeypatch):
     """With every key crowded, documents go down to the last level, and nothing is lost."""
     monkeypatch.setattr(s, "CROWD", 0)
     monkeypatch.setattr(s, "LATE_CROWD", 0)
-    docs = template(24, 8, 6, 12) | {100 + k: f"other {k} text" for k in range(5)}
+    docs = template(40, 16, 14, 24) | {100 + k: f"other {k} text" for k in range(5)}
     assert similar(spark, docs) == brute(docs) != set()
