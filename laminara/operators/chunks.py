@@ -82,3 +82,43 @@ def filtered(chunks: DataFrame, size: int, height: int, width: int, radius: int,
         return pd.DataFrame({"z": [z], "ci": [oi], "cj": [oj], "data": [np.ascontiguousarray(f(img)).tobytes()]})
 
     return found.groupBy("own", "oi", "oj").applyInPandas(run, "z int, ci int, cj int, data binary")
+
+
+def inside_outline(outline, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pixels of rows ``i`` and columns ``j`` lie in a closed polygon of (x, y), by the even-odd rule."""
+    out = np.zeros((len(i), len(j)), bool)
+    for p, q in zip(outline, [*outline[1:], outline[0]], strict=True):
+        (px, py), (qx, qy) = ((c["x"], c["y"]) for c in (p, q))
+        between = (py > i) != (qy > i)
+        if between.any():
+            out[between] ^= j[None, :] < ((qx - px) * (i[between] - py) / (qy - py) + px)[:, None]
+    return out
+
+
+def preprocessed(chunks: DataFrame, size: int, extent: tuple[int, int], ends: DataFrame, outlines: DataFrame, order: DataFrame) -> DataFrame:
+    """Chunks stretched, masked and put in order, in one pass; no chunk meets another one.
+
+    ``ends`` (z, lo, hi) stretches a section's pixels, zeros too, to 1..255; sections without ends, or with equal ones, stay.
+    Pixels beyond the height and width of ``extent`` are 0.
+    ``outlines`` (z, outline array<struct<x, y>>) holds what is kept of a section, all else becomes 0; sections without an
+    outline, or with fewer than three corners, are empty. ``order`` (dst_z, src_z) names where each section comes from: a
+    source may go to several targets, of several sources of a target the smallest counts, and sections that it doesn't
+    name as a source are left out. Each of the three has a row for a section at most, in its source's numbers.
+    """
+    wanted = order.where("src_z is not null and dst_z is not null").groupBy("dst_z").agg(F.min("src_z").alias("z"))
+    rows = chunks.join(wanted, "z").join(ends.select("z", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi")), "z", "left")
+    rows = rows.join(outlines.select("z", "outline"), "z", "left").select("dst_z", "mip", "ci", "cj", "data", "lo", "hi", "outline")
+
+    def run(batches):
+        for b in batches:
+            for r in b.itertuples(index=False):
+                img = np.frombuffer(r.data, np.uint8).reshape(size, size)
+                if r.lo == r.lo and r.hi == r.hi and r.lo != r.hi:
+                    img = np.floor(255 * np.minimum(1.0, np.maximum(1 / 255, (np.arange(256) - r.lo) / (r.hi - r.lo)))).astype(np.uint8)[img]
+                kept = np.zeros((size, size), bool)
+                if r.outline is not None and len(r.outline) > 2:
+                    kept = inside_outline(list(r.outline), np.arange(1, size + 1) + r.ci * size, np.arange(1, size + 1) + r.cj * size)
+                kept[max(0, extent[0] - r.ci * size) :] = kept[:, max(0, extent[1] - r.cj * size) :] = False
+                yield chunk_row(r.dst_z, r.mip, r.ci, r.cj, np.where(kept, img, 0).astype(np.uint8))
+
+    return rows.mapInPandas(run, CHUNK)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laminara.plans import q_images, q_points, q_systems, q_tasks
+from laminara.plans import q_images, q_montage, q_points, q_systems, q_tasks
 
-MODULES = (q_points, q_images, q_systems, q_tasks)
+MODULES = (q_points, q_images, q_systems, q_tasks, q_montage)
 FLAGSHIP = "flt_chain"
 
 
