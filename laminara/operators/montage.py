@@ -101,17 +101,54 @@ def shrunk(img: np.ndarray, times: int) -> np.ndarray:
     return img
 
 
-def best_offsets(template: np.ndarray, window: np.ndarray, keep: int, rows: int, cols: int) -> list[tuple[int, int, float]]:
-    """(row, column, r) from 0 of the ``keep`` best offsets within the first ``rows`` and ``cols``, ties to smaller columns, then
-    rows; none for a constant template."""
-    if template.shape[0] > window.shape[0] or template.shape[1] > window.shape[1]:
-        return []
-    xc = bm.ncc(template.astype(float), window.astype(float))[:rows, :cols]
-    if np.isnan(xc).any() or not xc.size:
+#: Templates of more pixels are correlated by Fourier transforms, others as one product of matrices.
+SMALL = 256
+#: Numbers of that product that are held at once.
+HELD = 1 << 20
+
+
+def best_offsets(templates: np.ndarray, window: np.ndarray, keep: int, rows: int, cols: int) -> list[list[tuple[int, int, float]]]:
+    """For each template (row, column, r) from 0 of the ``keep`` best offsets within the first ``rows`` and ``cols``, ties to
+    smaller columns, then rows; none for a constant template, or for a window that is smaller than the templates.
+
+    The correlation is 0 where the window's variance is at most 1e-4.
+    """
+    h, w = templates.shape[1:]
+    rows, cols = min(rows, window.shape[0] - h + 1), min(cols, window.shape[1] - w + 1)
+    if rows < 1 or cols < 1:
+        return [[] for _ in templates]
+    if h * w > SMALL:
+        flat = (bm.ncc(t.astype(float), window.astype(float))[:rows, :cols].T.ravel() for t in templates)
+        return [_top(x, keep, rows) for x in flat]
+    views = np.lib.stride_tricks.sliding_window_view(window, (h, w))[:rows, :cols]
+    # In order of columns, so that ties are in order too.
+    views = views.transpose(1, 0, 2, 3).reshape(rows * cols, h * w).astype(float)
+    views -= views.mean(1, keepdims=True)
+    power = (views * views).sum(1)
+    flat_there = power <= 1e-4 * h * w
+    views /= np.where(flat_there, 1.0, np.sqrt(power))[:, None]
+    views[flat_there] = 0
+    out, step = [], max(1, HELD // len(views))
+    for k in range(0, len(templates), step):
+        t = templates[k : k + step].reshape(-1, h * w).astype(float)
+        t -= t.mean(1, keepdims=True)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            t /= np.sqrt((t * t).sum(1, keepdims=True))
+        out += [_top(x, keep, rows) for x in t @ views.T]
+    return out
+
+
+def _top(xc: np.ndarray, keep: int, rows: int) -> list[tuple[int, int, float]]:
+    if np.isnan(xc).any():
         return []
-    flat = np.round(xc, 9).T.ravel()
-    top = np.argsort(-flat, kind="stable")[:keep]
-    return [(int(k % xc.shape[0]), int(k // xc.shape[0]), float(flat[k])) for k in top]
+    if keep < xc.size:
+        # Rounding comes after, and may put what is a little less at par.
+        at = np.flatnonzero(xc >= np.partition(xc, -keep)[-keep] - 2e-9)
+    else:
+        at = np.arange(xc.size)
+    r = np.round(xc[at], 9)
+    first = np.argsort(-r, kind="stable")[:keep]
+    return [(int(at[k] % rows), int(at[k] // rows), float(r[k])) for k in first]
 
 
 def _ranked(found: DataFrame, keep: int) -> DataFrame:
@@ -120,15 +157,21 @@ def _ranked(found: DataFrame, keep: int) -> DataFrame:
 
 
 def _refiner(h: int, w: int, keep: int):
-    """Search of one tile around each of its offsets."""
+    """Search of each tile around each of its offsets."""
 
-    def refine(t: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (i0, i1, j0, j1), p in t.groupby(["bi0", "bi1", "bj0", "bj1"]):
-            r = p.iloc[0]
-            got = best_offsets(np.frombuffer(r.img, np.uint8).reshape(h, w), assembled(p, i0, i1, j0, j1), keep, i1, j1)
-            out += [(r.own, r.tile, i0 + i, j0 + j, x) for i, j, x in got]
-        return pd.DataFrame(out, columns=["z", "tile", "i", "j", "r"])
+    def refine(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                template = np.frombuffer(r.img, np.uint8).reshape(1, h, w)
+                for box in r.boxes:
+                    i0, i1, j0, j1 = (int(box[f"b{a}{e}"]) for a in "ij" for e in "01")
+                    window = np.zeros((i1 - i0 + 1, j1 - j0 + 1), np.uint8)
+                    for p in box["parts"]:
+                        block = np.stack([np.frombuffer(s, np.uint8) for s in p["strips"]])
+                        window[p["top"] - i0 : p["top"] - i0 + block.shape[0], p["left"] - j0 : p["left"] - j0 + block.shape[1]] = block
+                    out += [(r.z, r.tile, i0 + i, j0 + j, x) for i, j, x in best_offsets(template, window, keep, i1, j1)[0]]
+            yield pd.DataFrame(out, columns=["z", "tile", "i", "j", "r"])
 
     return refine
 
@@ -178,8 +221,9 @@ def place_in_overview(tiles: DataFrame, overview: DataFrame, size: int, extent:
             for r in b.itertuples(index=False):
                 i0, j0 = r.oi * size, r.oj * size
                 img = np.frombuffer(r.part, np.uint8).reshape(size + h - 1, size + w - 1)[: high - i0, : wide - j0]
-                for one in r.pack:
-                    out += [(r.z, one["tile"], i0 + i + 1, j0 + j + 1, x) for i, j, x in best_offsets(np.frombuffer(one["img"], np.uint8).reshape(h, w), img, keep, size, size)]
+                templates = np.frombuffer(b"".join(one["img"] for one in r.pack), np.uint8).reshape(-1, h, w)
+                for one, got in zip(r.pack, best_offsets(templates, img, keep, size, size), strict=True):
+                    out += [(r.z, one["tile"], i0 + i + 1, j0 + j + 1, x) for i, j, x in got]
             yield pd.DataFrame(out, columns=["z", "tile", "i", "j", "r"])
 
     found = _ranked(packs.join(parts, "z").select("z", "oi", "oj", "part", "pack").mapInPandas(search, FOUND), keep)
@@ -189,9 +233,11 @@ def place_in_overview(tiles: DataFrame, overview: DataFrame, size: int, extent:
         lh, lw = (n >> level for n in extent)
         lo = lambda c: F.greatest(F.lit(1), 2 * F.col(c) - 1 - margin).cast("int")
         hi = lambda c, n, m: F.least(F.lit(n), 2 * F.col(c) - 1 + margin + m).cast("int")
-        boxes = found.join(at_level(level), ["z", "tile"]).select("z", F.col("z").alias("own"), "tile", "img", lo("i").alias("bi0"), hi("i", lh, th).alias("bi1"), lo("j").alias("bj0"), hi("j", lw, tw).alias("bj1"))
+        boxes = found.select("z", F.col("z").alias("own"), "tile", lo("i").alias("bi0"), hi("i", lh, th).alias("bi1"), lo("j").alias("bj0"), hi("j", lw, tw).alias("bj1"))
         boxes = boxes.withColumns({f"{a}{e}": F.col(f"b{a}{e}") for a in "ij" for e in "01"})
-
-        cut = pieces(boxes, overview.where(F.col("mip") == level), size)
-        found = _ranked(cut.groupBy("own", "tile").applyInPandas(_refiner(th, tw, keep), FOUND), keep)
+        # A tile has ``keep`` boxes, and a box few parts.
+        box = ["bi0", "bi1", "bj0", "bj1"]
+        parts = pieces(boxes, overview.where(F.col("mip") == level), size).groupBy("own", "tile", *box).agg(F.collect_list(F.struct("top", "left", "strips")).alias("parts"))
+        cut = parts.groupBy(F.col("own").alias("z"), "tile").agg(F.collect_list(F.struct(*box, "parts")).alias("boxes"))
+        found = _ranked(cut.join(at_level(level), ["z", "tile"]).mapInPandas(_refiner(th, tw, keep), FOUND), keep)
     return _ranked(found, 1)

@@ -80,6 +80,23 @@ def test_tiles_found_in_a_half_size_overview(spark):
         mo.place_in_overview(layers, volume, 32, over.shape, (8, 8), 3)
 
 
+def test_offsets_by_product_and_by_transform_agree(monkeypatch):
+    rng = np.random.default_rng(2)
+    window = np.kron(rng.integers(0, 4, (9, 12)), np.ones((2, 2))).astype(np.uint8)
+    window[:8, :8] = 5  # nothing varies here
+    window[10:14, 2:8] = window[10:14, 14:20]  # a tie
+    templates = np.stack([window[10:14, 2:8], window[4:8, 9:15], np.full((4, 6), 7, np.uint8), rng.integers(0, 255, (4, 6)).astype(np.uint8)])
+    got = mo.best_offsets(templates, window, 5, 99, 99)
+    monkeypatch.setattr(mo, "HELD", 1)
+    assert mo.best_offsets(templates, window, 5, 99, 99) == got
+    monkeypatch.setattr(mo, "SMALL", 0)
+    assert [[x[:2] for x in g] for g in mo.best_offsets(templates, window, 5, 99, 99)] == [[x[:2] for x in g] for g in got]
+    for k, t in enumerate(templates):
+        r = sorted((-round(float(np.corrcoef(t.ravel(), x.ravel())[0, 1]), 9) if x.var() > 1e-4 else 0.0, j, i) for i in range(15) for j in range(19) for x in [window[i : i + 4, j : j + 6]]) if t.std() else []
+        assert [(j, i) for i, j, _ in got[k]] == [(j, i) for _, j, i in r[:5]]
+    assert got[0][:2] == [(10, 2, 1.0), (10, 14, 1.0)] and mo.best_offsets(templates, window[:3], 5, 9, 9) == [[]] * 4
+
+
 def test_preprocessing_in_one_pass(spark):
     a = np.arange(11 * 13, dtype=np.uint8).reshape(11, 13)
     chunks = as_chunks(spark, {0: a, 1: a, 2: a}, 8)
