@@ -5,11 +5,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laminara.operators import blockmatch as bm
 from laminara.operators.chunks import assembled, pieces
+from laminara.sources.storage import read_volume
 
 FOUND = "src_z int, dst_z int, src_sub int, dst_sub int, node int, pre_i double, pre_j double, dv_i double, dv_j double, r_max double, delta_5 double, delta_10 double, delta_15 double, sigma_05 double, sigma_075 double, sigma_095 double, dyn_range double, kurt_src double, kurt_dst double"
 
@@ -110,3 +111,53 @@ def translations(patches: DataFrame, least: int, highpass: float = 0, scale: int
             yield pd.DataFrame(out, columns=[*keys, "di", "dj", "r"])
 
     return patches.mapInPandas(run, schema)
+
+
+def correspondence_patches(spark: SparkSession, matches: str, image: str, roi: str | None, src_z: int, dst_z: int, node: int, size: int, extent: tuple[int, int], block_r: int, search_r: int, bandpass: tuple[float, float] = (0, 0)) -> DataFrame:
+    """(layer, i, j, v): what one stored correspondence was made of, for review: the pixels of its block ("src") and of its
+    window ("dst") at their places in the planes, and the correlation ("xc") by shift, from 0.
+
+    One row of the stored matches is looked up; of the volumes at ``image`` and ``roi`` only the folders of the two sections
+    are read, and in them only row groups with the chunks that the boxes touch. A correspondence that isn't there gives no row.
+    """
+    schema = "layer string, i int, j int, v double"
+    found = spark.read.schema(FOUND).parquet(matches).where((F.col("src_z") == src_z) & (F.col("dst_z") == dst_z) & (F.col("node") == node))
+    row = found.select("pre_i", "pre_j").first()
+    if row is None:
+        return spark.createDataFrame([], schema)
+    boxes = {}
+    for side, z in (("src", src_z), ("dst", dst_z)):
+        out = [z]
+        for c, n in zip(row, extent, strict=True):
+            c = int(np.ceil(c))
+            lo, hi = (max(1, c - block_r), min(c + block_r, n)) if side == "src" else (c - block_r - search_r, c + block_r + search_r)
+            # Blocks are made odd in length at their end, as for the match.
+            out += [lo, hi - (side == "src" and (hi - lo + 1) % 2 == 0)]
+        boxes[side] = out
+    parts = None
+    for side, (z, i0, i1, j0, j1) in boxes.items():
+        box = spark.createDataFrame([(1, z, i0, i1, j0, j1)], "one int, z int, i0 int, i1 int, j0 int, j1 int")
+        near = lambda c, a, b: F.col(c).between((a - 1) // size, (b - 1) // size)
+        for layer, path in (("image", image), ("roi", roi)):
+            if path is not None:
+                chunks = read_volume(spark, path, z=[z], mip=0).where(near("ci", i0, i1) & near("cj", j0, j1))
+                some = pieces(box, chunks, size, f"{side} {layer}")
+                parts = some if parts is None else parts.unionByName(some)
+    kernel = bm.gauss_pair(*bandpass) if tuple(bandpass) != (0, 0) else None
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        rows, patch = [], {}
+        for side, (_, i0, i1, j0, j1) in boxes.items():
+            img = assembled(t[t.layer == f"{side} image"], i0, i1, j0, j1)
+            if roi is not None:
+                img[assembled(t[t.layer == f"{side} roi"], i0, i1, j0, j1) != 1] = 0
+            patch[side] = bm.mean_padded(img)
+            i, j = np.mgrid[i0 : i1 + 1, j0 : j1 + 1]
+            rows.append(pd.DataFrame({"layer": side, "i": i.ravel(), "j": j.ravel(), "v": img.ravel().astype(float)}))
+        if kernel:
+            patch = {k: bm.mean_bordered(x, kernel) for k, x in patch.items()}
+        xc = bm.ncc(patch["src"], patch["dst"])
+        i, j = np.mgrid[: xc.shape[0], : xc.shape[1]]
+        return pd.concat([*rows, pd.DataFrame({"layer": "xc", "i": i.ravel(), "j": j.ravel(), "v": xc.ravel()})])
+
+    return parts.groupBy("one").applyInPandas(run, schema)

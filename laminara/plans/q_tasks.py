@@ -156,6 +156,25 @@ def tsk_match(spark, sf):
     return found.select("src_z", "dst_z", "node", *(F.round(c, 4).alias(c) for c in ("dv_i", "dv_j")), R(F.col("r_max")).alias("r_max"))
 
 
+PATCH = f"""WITH {SQL_PLANE}, img AS (SELECT z, i, j, px FROM plane WHERE (i + 2 * j + z) % 7 <> 3), m AS ({MATCHED}),
+one AS (SELECT src_z, dst_z, node // {ACROSS} * 8 + 4 AS ci, node % {ACROSS} * 8 + 4 AS cj FROM m ORDER BY r_max, src_z, dst_z, node LIMIT 1),
+box AS (SELECT 'src' AS layer, src_z AS z, greatest(ci - {BLOCK_R}, 1) AS i0, greatest(cj - {BLOCK_R}, 1) AS j0, {ODD("ci", "h")} AS n, {ODD("cj", "w")} AS k FROM one, extent
+UNION ALL SELECT 'dst', dst_z, ci - {BLOCK_R + SEARCH_R}, cj - {BLOCK_R + SEARCH_R}, {FULL}, {FULL} FROM one),
+spot AS (SELECT layer, z, i0 + a AS i, j0 + b AS j FROM box, generate_series(0, {FULL}) x(a), generate_series(0, {FULL}) y(b) WHERE a < n AND b < k)
+SELECT layer, CAST(i AS INT) AS i, CAST(j AS INT) AS j, COALESCE(px, 0)::DOUBLE AS v FROM spot LEFT JOIN img USING (z, i, j)"""
+
+
+@query("mat_patches", PATCH)
+def mat_patches(spark, sf):
+    """Block and window of the weakest of all correspondences, ties to smaller sections and nodes."""
+    folder = scratch(spark)
+    matched(spark, sf, folder)
+    found = spark.read.schema(mt.FOUND).parquet(f"{folder}/matches")
+    one = found.orderBy(F.round("r_max", 6), "src_z", "dst_z", "node").select("src_z", "dst_z", "node").first()
+    out = mt.correspondence_patches(spark, f"{folder}/matches", f"{folder}/image", f"{folder}/roi", *one, SIZE, mosaic_extent(spark, sf), BLOCK_R, SEARCH_R)
+    return out.where("layer <> 'xc'")
+
+
 # Filtering and translations
 
 SIGMAS = (0.7, 1.6)

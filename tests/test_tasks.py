@@ -143,3 +143,17 @@ def test_translation_over_partial_overlap(spark):
         assert got == {0: (-10, 3), 1: (10, -3)}
     coarse = {r.id: (r.di, r.dj) for r in mt.translations(df, 30, scale=2).collect()}
     assert abs(coarse[0][0] + 10) <= 1 and abs(coarse[0][1] - 3) <= 1
+
+
+def test_patches_of_one_correspondence_read_their_chunks_only(spark, sf, tmp_path):
+    folder = str(tmp_path)
+    q_tasks.matched(spark, sf, folder)
+    r = spark.read.schema(mt.FOUND).parquet(f"{folder}/matches").orderBy(F.desc("node"), "src_z").first()
+    look = lambda node: mt.correspondence_patches(spark, f"{folder}/matches", f"{folder}/image", f"{folder}/roi", r.src_z, r.dst_z, node, q_tasks.SIZE, q_tasks.mosaic_extent(spark, sf), q_tasks.BLOCK_R, q_tasks.SEARCH_R)
+    df = look(r.node)
+    got = df.toPandas()
+    assert abs(got[got.layer == "xc"].v.max() - r.r_max) < 1e-9 and len(got[got.layer == "dst"]) == q_tasks.FULL**2
+    scans = df._jdf.queryExecution().sparkPlan().toString()
+    assert scans.count("PartitionFilters: [") == 4 and scans.count("(z#") >= 4
+    assert scans.count("GreaterThanOrEqual(ci,") == 4 and scans.count("LessThanOrEqual(ci,") == 4
+    assert look(10**6).isEmpty()
