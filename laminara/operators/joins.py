@@ -178,18 +178,41 @@ def gather_sections(dst_to_src: DataFrame, values: DataFrame, fill: int = 0) ->
     return got.unionByName(bare.select(F.col("dst_z").alias("z")).join(F.broadcast(grid), F.lit(True)).select("z", "i", "j", F.lit(fill).alias("px")))
 
 
-def minus_neighbour_mean(rows: DataFrame, keys: list[str], id_: str, i: str, j: str, value: str, radius: float, k: int = 30) -> DataFrame:
+def minus_neighbour_mean(rows: DataFrame, keys: list[str], id_: str, i: str, j: str, value: str, radius: float, k: int = 30, finer: int = 10) -> DataFrame:
     """Value minus the mean of the ``k`` nearest rows by the larger of the two distances, within the radius
-    (inclusive, itself too); ties to smaller ids."""
-    cell = lambda c: F.floor(F.col(c) / radius)
-    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))).alias("s")
-    left = rows.select(*keys, id_, F.col(i).alias("_i"), F.col(j).alias("_j"), F.col(value).alias("_v"), around, cell(i).alias("_ci"), cell(j).alias("_cj"))
-    left = left.withColumn("_ci", F.col("_ci") + F.col("s.a")).withColumn("_cj", F.col("_cj") + F.col("s.b")).drop("s")
-    right = rows.select(*keys, F.col(id_).alias("_nid"), F.col(i).alias("_ni"), F.col(j).alias("_nj"), F.col(value).alias("_nv"), cell(i).alias("_ci"), cell(j).alias("_cj"))
+    (inclusive, itself too); ties to smaller ids. Ids differ within their keys.
+
+    Rows at one place have the same nearest rows, and none but a place's ``k`` smallest ids are among them, so places are
+    compared and not rows. A place with ``k`` rows needs no other one. Each other place looks into its own square and the
+    eight around, of the finest of ``finer`` halvings of the radius at which its own square holds ``k`` rows: these lie within
+    a square's width, so nothing outside is nearer. Below it every square holds fewer, so a square is looked into by few
+    places, however dense the rows are.
+    """
+    place = [*keys, "_i", "_j"]
+    # Differences are zero for finite numbers only; others, and nulls, are near to nothing.
+    found = rows.select(*keys, F.col(id_).alias("_id"), F.col(i).alias("_i"), F.col(j).alias("_j"), F.col(value).alias("_v")).dropna(subset=keys).where("_i - _i = 0 and _j - _j = 0")
+    first = found.withColumn("_k", F.row_number().over(Window.partitionBy(*place).orderBy("_id"))).where(F.col("_k") <= k)
+    places = first.groupBy(*place).agg(F.collect_list(F.struct(F.col("_id").alias("id"), F.col("_v").alias("v"))).alias("_near"))
+    crowds, sparse = places.where(F.size("_near") >= k), places.where(F.size("_near") < k)
+
+    def laid(df: DataFrame) -> DataFrame:
+        cell = lambda c: F.floor(F.col(c) / radius * F.pow(F.lit(2.0), F.col("_l")))
+        return df.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(finer)))).withColumns({"_ci": cell("_i"), "_cj": cell("_j")})
+
+    square = [*keys, "_l", "_ci", "_cj"]
+    full = laid(places.select(*place, F.size("_near").alias("_n"))).groupBy(*square).agg(F.sum("_n").alias("_n")).where(F.col("_n") >= k).select(*square, F.lit(True).alias("_full"))
+    level = laid(sparse.select(*place)).join(full, square, "left").where("_full or _l = 0").groupBy(*place).agg(F.max(F.struct("_l", "_ci", "_cj")).alias("_s")).select(*place, "_s.*")
+    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))).alias("_s")
+    asks = level.select(*place, "_l", "_ci", "_cj", around).withColumns({"_ci": F.col("_ci") + F.col("_s.a"), "_cj": F.col("_cj") + F.col("_s.b")}).drop("_s")
+    there = laid(places.withColumnsRenamed({"_i": "_ni", "_j": "_nj"}).withColumns({"_i": F.col("_ni"), "_j": F.col("_nj")})).drop("_i", "_j")
     d = F.greatest(F.abs(F.col("_i") - F.col("_ni")), F.abs(F.col("_j") - F.col("_nj")))
-    near = left.join(right, [*keys, "_ci", "_cj"]).withColumn("d", d).where(F.col("d") <= radius)
-    w = Window.partitionBy(*keys, id_).orderBy("d", "_nid")
-    return near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).groupBy(*keys, id_).agg((F.max("_v") - F.avg("_nv")).alias("rest"))
+    # A little more than a square's width, for the sake of rounding.
+    width = F.least(F.lit(float(radius)), F.lit(1.001 * radius) / F.pow(F.lit(2.0), F.col("_l")))
+    near = asks.join(there, square).withColumn("_d", d).where(F.col("_d") <= width).select(*place, "_d", F.inline("_near"))
+    nearest = near.withColumn("_k", F.row_number().over(Window.partitionBy(*place).orderBy("_d", "id"))).where(F.col("_k") <= k)
+    own = crowds.select(*place, F.inline("_near")).groupBy(*place).agg(F.avg("v").alias("_mean"))
+    means = own.unionByName(nearest.groupBy(*place).agg(F.avg("v").alias("_mean")))
+    return found.join(means, place).select(*keys, F.col("_id").alias(id_), (F.col("_v") - F.col("_mean")).alias("rest"))
 
 
 def spanning_tree(edge: DataFrame, section: str = "z") -> DataFrame:
