@@ -111,19 +111,30 @@ def consensus(rows: DataFrame, radius: float, accepted_neighbours: bool = False)
     return out.select(*rows.columns, F.coalesce("n", F.lit(0)).alias("n_near"), F.sqrt(z("dv_i") * z("dv_i") + z("dv_j") * z("dv_j")).alias("score"), F.hypot(F.col("dv_i") - F.col("m_dv_i"), F.col("dv_j") - F.col("m_dv_j")).alias("off"))
 
 
+#: Ids of one shape that meet another shape in one row.
+MEMBERS = 256
+
+
 def box_overlaps(boxes: DataFrame, cell: int = 100) -> DataFrame:
     """(a, b) for all two boxes (id, i, j, h, w) that meet, edges included, in both directions.
 
-    A box stands in every square of the grid that it touches; a pair is taken from the square that holds the upper
-    left corner of what they share, so it comes once.
+    Boxes of equal corner and size are one shape: shapes are compared, and a pair of them is spread over its boxes at the end,
+    where only pairs that meet are made. A shape stands in every square of the grid that it touches; a pair is taken from the
+    square that holds the upper left corner of what they share, so it comes once.
     """
+    shape = ["i", "j", "h", "w"]
+    pack = F.floor((F.row_number().over(Window.partitionBy(*shape).orderBy("id")) - 1) / MEMBERS)
+    packs = boxes.where("id is not null").withColumn("pack", pack).groupBy(*shape, "pack").agg(F.collect_list("id").alias("ids"))
     span = lambda c, s: F.sequence(F.floor(F.col(c) / cell), F.floor((F.col(c) + F.col(s)) / cell))
-    laid = boxes.withColumn("ci", F.explode(span("i", "h"))).withColumn("cj", F.explode(span("j", "w")))
+    laid = packs.withColumn("ci", F.explode(span("i", "h"))).withColumn("cj", F.explode(span("j", "w")))
+    # What a square yields grows with the square of its rows: few bytes must not be put together into few tasks.
+    laid = laid.repartition(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ci", "cj")
     a, b = laid.alias("a"), laid.alias("b")
     hit = (F.col("a.i") <= F.col("b.i") + F.col("b.h")) & (F.col("b.i") <= F.col("a.i") + F.col("a.h")) & (F.col("a.j") <= F.col("b.j") + F.col("b.w")) & (F.col("b.j") <= F.col("a.j") + F.col("a.w"))
     once = (F.floor(F.greatest("a.i", "b.i") / cell) == F.col("a.ci")) & (F.floor(F.greatest("a.j", "b.j") / cell) == F.col("a.cj"))
     on = (F.col("a.ci") == F.col("b.ci")) & (F.col("a.cj") == F.col("b.cj"))
-    return a.join(b, on).where(hit & once & (F.col("a.id") != F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    met = a.join(b, on).where(hit & once).select(F.col("a.ids").alias("a_ids"), F.col("b.ids").alias("b_ids"))
+    return met.select(F.explode("a_ids").alias("a"), "b_ids").select("a", F.explode("b_ids").alias("b")).where("a <> b")
 
 
 def tile_neighbours(tiles: DataFrame, least: int = 1000) -> DataFrame:

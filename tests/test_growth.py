@@ -55,3 +55,14 @@ def test_minus_neighbour_mean_leaves_out_what_has_no_place(spark):
     df = spark.createDataFrame(rows, "z int, id long, i double, j double, v double")
     got = {r.id: r.rest for r in jon.minus_neighbour_mean(df, ["z"], "id", "i", "j", "v", 80.0, 8).collect()}
     assert got == {1: 0.0, 6: None}
+
+
+def test_box_overlaps_of_copies(spark, join_rows, monkeypatch):
+    """Copies of boxes are spread over at the end: joins make pairs of shapes."""
+    monkeypatch.setattr(jon, "MEMBERS", 7, raising=False)
+    boxes = [(n, n % 5 * 60, n % 3 * 90, 50 + n % 2, 70) for n in range(240)] + [(900, 5000, 5000, 1, 1), (901, None, 1, 1, 1)]
+    got, made = join_rows(jon.box_overlaps(spark.createDataFrame(boxes, "id long, i long, j long, h long, w long")))
+    whole = [b for b in boxes if b[1] is not None]
+    want = [(a, b) for a, i, j, h, w in whole for b, y, x, g, v in whole if a != b and i <= y + g and y <= i + h and j <= x + v and x <= j + w]
+    assert sorted((r.a, r.b) for r in got) == sorted(want)
+    assert made < len(want) / 10
