@@ -42,6 +42,12 @@ def assembled(found: pd.DataFrame, i0: int, i1: int, j0: int, j1: int) -> np.nda
     return out
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by the keys into as many tasks as shuffles have. Before work in Python that follows rows more than bytes:
+    few bytes are else put together into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def chunk_row(z: int, mip: int, ci: int, cj: int, img: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"z": [z], "mip": [mip], "ci": [ci], "cj": [cj], "h": [img.shape[0]], "w": [img.shape[1]], "data": [img.tobytes()]})
 

@@ -1,19 +1,24 @@
 """Matching of pairs of sections on chunks: for every node its block and its window are cut out of the chunks they touch
-and correlated, a node to a group. What is found replaces the pair's earlier result, so that a task can run again."""
+and correlated, a few nodes to a group. What is found replaces the pair's earlier result, so that a task can run again."""
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laminara.operators import blockmatch as bm
-from laminara.operators.chunks import assembled, pieces
+from laminara.operators.chunks import assembled, dealt, pieces
 from laminara.sources.storage import read_volume
 
 FOUND = "src_z int, dst_z int, src_sub int, dst_sub int, node int, pre_i double, pre_j double, dv_i double, dv_j double, r_max double, delta_5 double, delta_10 double, delta_15 double, sigma_05 double, sigma_075 double, sigma_095 double, dyn_range double, kurt_src double, kurt_dst double"
 
+#: Nodes of a group at most, and pixels of its windows.
+NODES, PIXELS = 64, 1 << 21
+
 
 def match_pairs(pairs: DataFrame, nodes: DataFrame, layers: dict[str, DataFrame], size: int, height: int, width: int, block_r: int, search_r: int, bandpass: tuple[float, float] = (0, 0)) -> DataFrame:
     """Correspondences of ``pairs`` (src_z, dst_z) at ``nodes`` (node, src_i, src_j), with their features.
@@ -35,10 +40,13 @@ def match_pairs(pairs: DataFrame, nodes: DataFrame, layers: dict[str, DataFrame]
             found = some if found is None else found.unionByName(some)
     kernel = bm.gauss_pair(*bandpass) if tuple(bandpass) != (0, 0) else None
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        r = t.iloc[0]
-        box = lambda kind: tuple(int(r[f"{kind}_{a}{e}"]) for a in "ij" for e in "01")
-        layer = lambda name, kind: assembled(t[t.layer == name], *box(kind))
+    def matches(r, layers: dict) -> list[dict]:
+        box = lambda kind: tuple(int(getattr(r, f"{kind}_{a}{e}")) for a in "ij" for e in "01")
+
+        def layer(name: str, kind: str) -> np.ndarray:
+            some = layers.get(name, [])
+            return assembled(SimpleNamespace(top=[p.top for p in some], left=[p.left for p in some], strips=[p.strips for p in some]), *box(kind))
+
         src, dst = layer("src image", "src"), layer("dst image", "full")
         if "roi" in names:
             src[layer("src roi", "src") != 1] = 0
@@ -55,9 +63,19 @@ def match_pairs(pairs: DataFrame, nodes: DataFrame, layers: dict[str, DataFrame]
                 got["dv_i"] = got.pop("peak_i") - 1 - (int(r.src_i0) - int(r.full_i0))
                 got["dv_j"] = got.pop("peak_j") - 1 - (int(r.src_j0) - int(r.full_j0))
                 out.append({"src_z": r.src_z, "dst_z": r.dst_z, "src_sub": x, "dst_sub": y, "node": r.node, "pre_i": r.i, "pre_j": r.j} | got)
+        return out
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        by_node: dict = {}
+        for r in t.itertuples(index=False):
+            by_node.setdefault(r.node, (r, {}))[1].setdefault(r.layer, []).append(r)
+        out = [one for r, some in by_node.values() for one in matches(r, some)]
         return pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
 
-    return found.groupBy("src_z", "dst_z", "node").applyInPandas(run, FOUND)
+    # As many nodes to a group as their pixels allow.
+    many = max(1, min(NODES, PIXELS // (len(names) * (2 * (block_r + search_r) + 1) ** 2)))
+    found = dealt(found.withColumn("some", F.floor(F.col("node") / many)), "src_z", "dst_z", "some")
+    return found.groupBy("src_z", "dst_z", "some").applyInPandas(run, FOUND)
 
 
 def write_matches(found: DataFrame, path: str) -> None:
