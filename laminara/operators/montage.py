@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from laminara.operators import blockmatch as bm
-from laminara.operators.chunks import assembled, pieces
+from laminara.operators.chunks import assembled, dealt, pieces
 from laminara.sources.storage import Stored
 
 # Seams
@@ -226,7 +226,7 @@ def place_in_overview(tiles: DataFrame, overview: DataFrame, size: int, extent:
                     out += [(r.z, one["tile"], i0 + i + 1, j0 + j + 1, x) for i, j, x in got]
             yield pd.DataFrame(out, columns=["z", "tile", "i", "j", "r"])
 
-    found = _ranked(packs.join(parts, "z").select("z", "oi", "oj", "part", "pack").mapInPandas(search, FOUND), keep)
+    found = _ranked(dealt(packs.join(parts, "z").select("z", "g", "oi", "oj", "part", "pack"), "z", "g", "oi", "oj").mapInPandas(search, FOUND), keep)
 
     for level in range(levels - 1, -1, -1):
         th, tw = (n >> (shrink + level) for n in tile_shape)
