@@ -66,3 +66,23 @@ def test_box_overlaps_of_copies(spark, join_rows, monkeypatch):
     want = [(a, b) for a, i, j, h, w in whole for b, y, x, g, v in whole if a != b and i <= y + g and y <= i + h and j <= x + v and x <= j + w]
     assert sorted((r.a, r.b) for r in got) == sorted(want)
     assert made < len(want) / 10
+
+
+def test_points_are_located_once(spark):
+    """The triangle's case, the only lambda of the plan, is not repeated for each weight."""
+    from pyspark.sql import functions as F
+
+    from laminara.operators import mesh as ms
+
+    points = spark.range(100).select(F.col("id").alias("corr_id"), (F.col("id") * 1.5).alias("x"), (F.col("id") * 2.5).alias("y"))
+    found = ms.located(points, ms.Lattice(1000.0, 800.0, 100.0), "x", "y")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("transform(array(struct(") + found._jdf.queryExecution().optimizedPlan().toString().count("transform(array(named_struct(") == 1
+    assert found.count() == 100
+
+
+def test_small_rows_are_dealt(spark):
+    """Few bytes stay in as many tasks as shuffles have, where much work follows."""
+    from laminara.operators.chunks import dealt
+
+    rows = dealt(spark.range(400), "id").groupBy("id").count()
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
