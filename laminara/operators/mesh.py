@@ -129,7 +129,7 @@ def weights(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column
 
 def located(points: DataFrame, m: Lattice, x: str, y: str) -> DataFrame:
     """``points`` with k0, ka, kb and w0, wa, wb; points without a triangle are left out."""
-    # An explode is worked out once; a column would be by the filter and by each of the weights.
+    # An explode is worked out once; a column would be by the filter and by what comes after it.
     found = points.select(*points.columns, F.explode(F.array_compact(F.array(locate(m, F.col(x), F.col(y))))).alias("_t")).select(*points.columns, "_t.*")
     xy = [c for k in ("k0", "ka", "kb") for c in coordinate(m, *node_place(m, F.col(k)))]
     w = weights(F.col(x), F.col(y), *xy)
