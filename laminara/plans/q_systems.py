@@ -318,10 +318,11 @@ def tsk_queue(spark, sf):
 
 @query("src_volume", f"WITH {SQL_PX} SELECT CAST(tile AS INT) AS z, i, j, px FROM px WHERE tile IN (3, 7, 11) AND i > 4 AND px > 0")
 def src_volume(spark, sf):
-    """Pixels written as chunks, and a cut-out read again by section and rows."""
+    """Pixels written as chunks, and a cut-out read again by section and rows. Every tile is a section, so that these are
+    many and small and share folders."""
     path = scratch(spark)
     p = images(spark, sf).select(F.col("z").cast("int").alias("z"), "i", "j", "px")
-    storage.write_volume(storage.to_chunks(p.repartition("z"), 4), path)
+    storage.write_volume(storage.by_blocks(storage.to_chunks(p, 4), 1024), path)
     return storage.from_chunks(storage.read_volume(spark, path, z=[3, 7, 11], mip=0, box=(5, 8, 1, 8))).select("z", "i", "j", "px").where("i > 4")
 
 

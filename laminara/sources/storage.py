@@ -41,19 +41,25 @@ class Stored:
 
 
 def to_chunks(px: DataFrame, size: int, mip: int = 0) -> DataFrame:
-    """Pixel rows (z, i, j, px) as chunks of ``size`` squared bytes, pixels that are missing as zero; each chunk is a
-    group of bounded size."""
+    """Pixel rows (z, i, j, px) as chunks of ``size`` squared bytes, pixels that are missing as zero. Spark gathers each
+    chunk's places and values as one number a pixel; Python lays out many chunks at a time."""
+    at = lambda c: F.floor((F.col(c) - 1) / size).cast("int")
+    inside = lambda c: F.pmod(F.col(c) - 1, F.lit(size)).cast("long")
+    code = (inside("i") * size + inside("j")) * 256 + F.pmod(F.col("px").cast("int"), F.lit(256))
+    cells = px.select("z", at("i").alias("ci"), at("j").alias("cj"), code.alias("code"))
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        img = np.zeros((size, size), np.uint8)
-        img[(rows.i - 1) % size, (rows.j - 1) % size] = rows.px
-        first = rows.iloc[0]
-        return pd.DataFrame({"z": [first.z], "mip": [mip], "ci": [first.ci], "cj": [first.cj], "h": [size], "w": [size], "data": [img.tobytes()]})
+        step = max(1, (1 << 24) // size**2)  # chunks laid out at a time
+        for whole in batches:
+            for k in range(0, len(whole), step):
+                b = whole.iloc[k : k + step]
+                code, img = np.concatenate(b.codes.to_list()), np.zeros((len(b), size * size), np.uint8)
+                img[np.repeat(np.arange(len(b)), b.codes.str.len()), code >> 8] = code & 255
+                yield pd.DataFrame({"z": b.z, "mip": mip, "ci": b.ci, "cj": b.cj, "h": size, "w": size, "data": [x.tobytes() for x in img]})
 
-    at = lambda c: F.floor((F.col(c) - 1) / size).cast("int")
-    return px.select("z", "i", "j", "px", at("i").alias("ci"), at("j").alias("cj")).groupBy("z", "ci", "cj").applyInPandas(pack, CHUNK)
+    return cells.groupBy("z", "ci", "cj").agg(F.collect_list("code").alias("codes")).mapInPandas(pack, CHUNK)
 
 
 def from_chunks(chunks: DataFrame) -> DataFrame:
@@ -71,22 +77,56 @@ def from_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.mapInPandas(unpack, "z int, mip int, i int, j int, px int")
 
 
+#: Name of the folders that hold more than one section, before the number of sections in each.
+BLOCK = "z_by_"
+
+
+def by_blocks(chunks: DataFrame, sections: int) -> DataFrame:
+    """``chunks`` for a volume of many small sections, of which so many in a row share a folder. A volume keeps the number
+    that it began with."""
+    return chunks.withColumn(f"{BLOCK}{sections}", F.floor(F.col("z") / sections).cast("int"))
+
+
+def block_of(columns: list[str]) -> str | None:
+    return next((c for c in columns if c.startswith(BLOCK)), None)
+
+
 def write_volume(chunks: DataFrame, path: str) -> None:
-    """Overwrite the sections and levels that ``chunks`` holds, and no others."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("z", "mip").parquet(path)
+    """Overwrite the sections and levels that ``chunks`` holds, and no others. Each section and level has its folder, or
+    each block of sections and level if ``chunks`` come from ``by_blocks``; what other sections a block has is kept."""
+    block, stored = block_of(chunks.columns), []
+    if block is not None:
+        spark = chunks.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            new = Stored(chunks)
+            old = spark.read.schema(CHUNK).parquet(path)
+            if block in old.columns:
+                old = old.join(new.df.select(block, "mip").distinct(), [block, "mip"], "left_semi")
+                kept = Stored(old.join(new.df.select("z", "mip").distinct(), ["z", "mip"], "left_anti"))
+                stored, chunks = [new, kept], new.df.unionByName(kept.df)
+            else:
+                stored, chunks = [new], new.df
+        chunks = chunks.repartition(block, "mip").sortWithinPartitions(block, "mip", "z", "ci", "cj")
+    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(block or "z", "mip").parquet(path)
+    for t in stored:
+        t.drop()
 
 
 def read_volume(spark: SparkSession, path: str, z: list[int] | None = None, mip: int | None = None, box: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """Chunks of a volume; sections and level prune folders, a box (i0, i1, j0, j1) is pushed to the files."""
+    """Chunks of a volume; sections (or their blocks) and level prune folders, a box (i0, i1, j0, j1) is pushed to the files."""
     df = spark.read.schema(CHUNK).parquet(path)
+    block = block_of(df.columns)
     if z is not None:
         df = df.where(F.col("z").isin(z))
+        if block is not None:
+            df = df.where(F.col(block).isin(sorted({k // int(block.removeprefix(BLOCK)) for k in z})))
     if mip is not None:
         df = df.where(F.col("mip") == mip)
     if box is not None:
         i0, i1, j0, j1 = box
         df = df.where(((F.col("ci") + 1) * F.col("h") >= i0) & (F.col("ci") * F.col("h") < i1) & ((F.col("cj") + 1) * F.col("w") >= j0) & (F.col("cj") * F.col("w") < j1))
-    return df
+    return df if block is None else df.drop(block)
 
 
 def points_table(df: DataFrame, manual_only: bool = True) -> DataFrame:
