@@ -228,6 +228,26 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return lists.select("doc_id", "size", "alone", F.posexplode("keys").alias("at", "key")).select("doc_id", "size", (F.col("alone") + F.col("at")).alias("place"), "key")
 
 
+def reachable(keys: DataFrame, percent: int, spent: list[Stored]) -> DataFrame:
+    """The entries ``keys`` (doc_id, size, place, key) of ``prefixes`` by which a set can be similar to another one of the
+    key; ``spent`` gets a stored table that the result is read from.
+
+    Sets that share no shingle before this one share no more than what either has from here on. So a set of size s with r
+    shingles from here on is similar to none larger than r * (100 + percent) / percent - s, here its bound, and the smaller
+    set of a pair has a bound of its own size or more. What goes are entries whose bound lies below the smallest such set of
+    their key that is not far too small to be similar. Of sets of about one size these are the ones with over a ninth of
+    their shingles before this one (at 80 percent), as copies have that were edited too much to be similar.
+    """
+    bound = F.expr(f"(size - place) * {100 + percent} div {percent} - size")
+    # Sizes of similar sets lie in one class or in two neighbours; the margin keeps rounding out of this.
+    span = F.floor(F.log(F.col("size")) / math.log(1.04 * 100 / percent)).cast("int")
+    keys = keys.withColumns({"bound": bound, "span": span})
+    least = keys.where("bound >= size").groupBy("key", "span").agg(F.min("size").alias("least"))
+    least = Stored(least.withColumn("span", F.explode(F.array("span", F.col("span") + 1))).groupBy("key", "span").agg(F.min("least").alias("least")))
+    spent.append(least)
+    return keys.join(least.df, ["key", "span"]).where("bound >= least").drop("bound", "span", "least")
+
+
 def similar_rows(docs: DataFrame, signed: DataFrame, n: int = 5, percent: int = 80, joined: list | None = None) -> Stored | None:
     """(doc_id) of the documents that have one of smaller id at a Jaccard similarity of ``percent`` or more of their
     shingles; None if there is none.
@@ -235,7 +255,7 @@ def similar_rows(docs: DataFrame, signed: DataFrame, n: int = 5, percent: int =
     ``docs`` has the texts (doc_id, text), ``signed`` the signatures (doc_id, size, bands) of those that take part; ids
     differ. Candidates share a band. Two rounds compare each document with the smallest one left in each of its bands
     and take out those found, so that a large group of copies falls to its smallest document. What is then left is
-    compared with all smaller candidates, level by level: by bands, by ``prefixes``, then by bands of more hashes. A level
+    compared with all smaller candidates, level by level: by bands, by ``prefixes`` that are ``reachable``, then by bands of more hashes. A level
     pairs the documents of its keys, but for crowded ones; documents of crowded keys go on to the next level, which would
     find each of their pairs too. So no level makes more than ``CROWD`` (``LATE_CROWD``) pairs for each entry of its keys, however many
     documents one template has made, and only the last takes crowds as they are. ``joined`` gets the numbers of rows that
@@ -278,6 +298,9 @@ def similar_rows(docs: DataFrame, signed: DataFrame, n: int = 5, percent: int =
         else:
             keys = prefixes(inside, percent) if level == "prefixes" else longer_bands(inside, level)
         keys = Stored(keys.select("doc_id", "size", "place", "key").join(asking.df, "doc_id", "left"))
+        if level == "prefixes":
+            spent.append(keys)
+            keys = Stored(reachable(keys.df, percent, spent))
         counts = keys.df.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count("asks").alias("ask")).where("all > 1 and ask > 0")
         crowded = F.col("all") * F.col("ask") > (LATE_CROWD if level in LEVELS else CROWD) * (F.col("all") + F.col("ask")) if level != LEVELS[-1] else F.lit(False)
         counts = Stored(counts.select("key", crowded.alias("crowded")))

@@ -97,3 +97,37 @@ def test_crowds_are_found_on_every_level(spark, monkeypatch):
     monkeypatch.setattr(s, "LATE_CROWD", 0)
     docs = template(40, 16, 14, 24) | {100 + k: f"other {k} text" for k in range(5)}
     assert similar(spark, docs) == brute(docs) != set()
+
+
+def test_copies_edited_too_much_leave_the_crowd(spark, monkeypatch):
+    """Crowded keys: only documents that can be similar by one of them get the keys of longer bands."""
+    draw, docs = random.Random(11), {}
+    for k in range(60):
+        words = [f"w{i}" for i in range(200)]
+        for i in range(k % 5, 200, 28):
+            words[i] = f"edit{draw.random()}"
+        docs[k] = " ".join(words)
+    docs[100] = docs[3].replace("w100 ", "other ")
+    seen, longer = [], s.longer_bands
+    monkeypatch.setattr(s, "longer_bands", lambda sets, level: (seen.append(sets.count()), longer(sets, level))[1])
+    monkeypatch.setattr(s, "CROWD", 0)
+    assert similar(spark, docs) == brute(docs) == {100}
+    assert max(seen, default=0) < 10
+
+
+def test_prefixes_that_can_be_reached_hold_every_similar_pair(spark):
+    """Sets of one family at sizes up to twice each other's: similar ones share an entry that stays, and some entries go."""
+    draw, sets = random.Random(12), {}
+    for k in range(150):
+        size = draw.randint(4, 60)
+        sets[k] = {draw.randint(0, size + 8) if draw.random() < 0.97 else draw.randint(1000, 9000) for _ in range(3 * size)}
+    df = spark.createDataFrame([(k, sorted(x)) for k, x in sets.items()], "doc_id long, set array<long>")
+    spent, keys = [], s.prefixes(df, 80)
+    got = {}
+    for r in s.reachable(keys, 80, spent).collect():
+        got.setdefault(r.doc_id, set()).add(r.key)
+    pairs = [(u, v) for u in sets for v in sets if u < v and 10 * len(sets[u] & sets[v]) >= 8 * len(sets[u] | sets[v])]
+    assert len(pairs) > 50 and all(got[u] & got[v] for u, v in pairs)
+    assert sum(map(len, got.values())) < keys.count()
+    for t in spent:
+        t.drop()
